@@ -1,3 +1,855 @@
 """The registry of queries over the given tables."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from . import fixtures as fx
+from .functions import text
+from .functions.versions import choose_fix, version_key
+from .operators import correlate, grounding as grounding_ops, ingest, merge, reports, retrieval, risk, tickets, worklist as worklist_ops
+from .sources import feeds
+from .streaming import findings as stream
+
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+class Tables:
+    """The domain tables of one folder; nothing is read before it is used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return fx.table(self.spark, self.sf_dir, name)
+
+    @property
+    def assets(self) -> DataFrame:
+        return fx.assets(self.spark, self.sf_dir)
+
+    @property
+    def cves(self) -> DataFrame:
+        return fx.cves(self.spark, self.sf_dir)
+
+    @property
+    def staged(self) -> DataFrame:
+        return fx.staged(self.spark, self.sf_dir)
+
+    @property
+    def findings(self) -> DataFrame:
+        return fx.findings(self.spark, self.sf_dir)
+
+    @property
+    def view(self) -> DataFrame:
+        return risk.current_risk(risk.assess(self.findings, self.cves, self.assets), fx.AS_OF)
+
+    @property
+    def actions(self) -> DataFrame:
+        return correlate.fix_actions(self.view)
+
+    @property
+    def chunks(self) -> DataFrame:
+        return retrieval.fact_chunks(retrieval.corpus_facts(self.cves, self.findings))
+
+    @property
+    def drafted(self) -> DataFrame:
+        """A plan for each action; some name a version or an id that nothing supports, or hold a placeholder."""
+        a = worklist_ops.representative(self.actions)
+        a = a.withColumn("n", F.conv(F.substring("idempotency_key", 1, 6), 16, 10).cast("long"))
+        version = F.expr("CASE WHEN n % 7 = 0 THEN concat(fixed_version, '9') ELSE fixed_version END")
+        named = F.expr("CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END")
+        command = F.expr("CASE os_family WHEN 'debian' THEN concat('apt-get install ', package_name, '=') WHEN 'rhel' THEN concat('dnf install ', package_name, '-') ELSE concat('apk add ', package_name, '=') END")
+        place = F.expr("CASE WHEN n % 13 = 0 THEN ' Restart /path/to/app.' ELSE '' END")
+        fix = F.concat(F.lit("Upgrade `"), "package_name", F.lit("` to "), version, F.lit(" for "), named, F.lit(".\n\n```bash\n"), command, version, F.lit("\n```\n\nRollback to "), "installed_version", F.lit("."), place)
+        none = F.concat(F.lit("No fix is out for "), named, F.lit("; isolate the service."), place)
+        context = F.array_compact(F.array(F.concat(F.lit("Target "), "fixed_version", F.lit(" .")), F.concat(F.lit("Installed "), "installed_version", F.lit(" .")), F.array_join("cve_ids", " ")))
+        return a.select(
+            F.col("idempotency_key").alias("plan_id"), "n", "cve_id", "package_name", "os_family", "fixed_version", F.col("fixed_version").alias("target_version"), "risk_band", "max_risk_score", "due_date",
+            F.coalesce(fix, none).alias("markdown"), context.alias("context"), F.array_compact(F.array("fixed_version")).alias("required"), F.expr("date_add(date '1999-01-01', cast(n % 300 AS int))").alias("created_at"),
+        )
+
+    @property
+    def checked(self) -> DataFrame:
+        return grounding_ops.check_grounding(self.drafted)
+
+    @property
+    def plans(self) -> DataFrame:
+        return self.drafted.withColumn("grounded", F.expr("NOT (n % 11 = 0 OR (n % 7 = 0 AND fixed_version IS NOT NULL))"))
+
+    @property
+    def tickets(self) -> DataFrame:
+        return tickets.ticket_rows(self.actions, self.plans)
+
+    def counted(self) -> dict[str, DataFrame]:
+        return {"assets": self.assets, "cves": self.cves, "findings": self.findings, "findings_open": self.view, "kev_cves": self.cves.where("kev_listed"), "documents": self.table("documents")}
+
+
+# Sources and merges
+
+
+@query
+def assets(spark, sf_dir):
+    return Tables(spark, sf_dir).assets
+
+
+@query
+def cves(spark, sf_dir):
+    return Tables(spark, sf_dir).cves
+
+
+@query
+def findings(spark, sf_dir):
+    return Tables(spark, sf_dir).findings
+
+
+@query
+def asset_merge(spark, sf_dir):
+    """Half the fleet is known under another system, which a new scan doesn't change."""
+    fleet = Tables(spark, sf_dir).assets
+    known = fleet.where("asset_id % 2 = 1").withColumns({"os_family": F.lit("unknown"), "environment": F.lit("dev"), "hostname": F.col("hostname")})
+    return ingest.merge_assets(known, fleet)
+
+
+@query
+def cve_seeds(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = t.staged.join(t.assets.select("asset_id", "hostname"), "asset_id").select("cve_id", F.expr("CASE row_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' END").alias("severity"), "hostname", F.col("row_id").alias("position"))
+    return ingest.seed_cves(rows)
+
+
+@query
+def staged_dedup(spark, sf_dir):
+    rows = Tables(spark, sf_dir).staged.drop("finding_id").select(F.col("row_id").alias("finding_id"), *ingest.IDENTITY, "scan_id", F.col("fixed_raw").alias("fixed_version"))
+    return ingest.dedup_staged(rows).drop("fixed_version")
+
+
+@query
+def findings_merged(spark, sf_dir):
+    """Scans 3 to 7 merged into what scans 1 to 4 left."""
+    t = Tables(spark, sf_dir)
+    old, new = (fx.findings_of(t.staged.where(c)) for c in ("scan_id <= 4", "scan_id > 2"))
+    return ingest.merge_findings(old, new).drop("fixed_version")
+
+
+@query
+def load_summary(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = t.staged.join(t.assets.select("asset_id", "hostname"), "asset_id")
+    return ingest.load_summary(rows, t.assets.where("asset_id % 10 > 0"))
+
+
+@query
+def skipped_ids(spark, sf_dir):
+    rows = Tables(spark, sf_dir).staged.select(F.expr("CASE row_id % 5 WHEN 0 THEN 'GHSA-xx' WHEN 1 THEN NULL ELSE cve_id END").alias("cve_id"))
+    return ingest.skipped(rows)
+
+
+@query
+def scan_ledger(spark, sf_dir):
+    return ingest.scan_ledger(Tables(spark, sf_dir).staged)
+
+
+def _catalogue(cves: DataFrame) -> DataFrame:
+    return cves.where("kev_listed").select("cve_id", F.col("kev_due_date").alias("due_date"), F.col("kev_ransomware").alias("ransomware"))
+
+
+def _bare(cves: DataFrame) -> DataFrame:
+    return cves.withColumns({"kev_listed": F.lit(False), "kev_ransomware": F.lit(False), "kev_due_date": F.lit(None).cast("date")})
+
+
+@query
+def kev_enrich(spark, sf_dir):
+    c = Tables(spark, sf_dir).cves
+    return ingest.enrich_exploited(_bare(c), _catalogue(c)).select("cve_id", "kev_listed", "kev_ransomware", "kev_due_date")
+
+
+@query
+def kev_summary(spark, sf_dir):
+    c = Tables(spark, sf_dir).cves
+    return ingest.enrich_exploited(_bare(c), _catalogue(c)).agg(F.count_if("kev_listed").alias("matched"), F.count_if(F.col("kev_listed") & F.col("kev_ransomware")).alias("ransomware"))
+
+
+def _scores(cves: DataFrame) -> DataFrame:
+    return cves.where("epss_score IS NOT NULL").select("cve_id", F.col("epss_score").alias("epss"), F.expr("cast((cve_key % 100) / 100 AS decimal(6,5))").alias("percentile"))
+
+
+@query
+def epss_enrich(spark, sf_dir):
+    c = Tables(spark, sf_dir).cves
+    return ingest.enrich_scores(c.withColumn("epss_score", F.lit(None).cast("decimal(6,5)")), _scores(c)).select("cve_id", "epss_score", "epss_percentile")
+
+
+@query
+def epss_summary(spark, sf_dir):
+    c = Tables(spark, sf_dir).cves
+    rows = ingest.enrich_scores(c.withColumn("epss_score", F.lit(None).cast("decimal(6,5)")), _scores(c))
+    return rows.agg(F.count("epss_score").alias("scored"), F.count_if(F.col("epss_score") >= 0.1).alias("at_least_10pct"))
+
+
+@query
+def cve_record_normalise(spark, sf_dir):
+    """Records as JSON text, parsed and normalised."""
+    metric = lambda c: f"CASE WHEN {c} IS NOT NULL THEN array(named_struct('type', 'Secondary', 'cvssData', named_struct('baseScore', 1D, 'vectorString', 'x', 'baseSeverity', cast(NULL AS string))), named_struct('type', 'Primary', 'cvssData', named_struct('baseScore', cast({c} AS double), 'vectorString', 'v', 'baseSeverity', cvss_severity))) END"
+    made = Tables(spark, sf_dir).cves.select(F.expr(f"""to_json(named_struct('id', cve_id, 'metrics', named_struct('cvssMetricV40', {metric("cvss_v40_score")}, 'cvssMetricV31', {metric("cvss_v31_score")}),
+        'descriptions', array(named_struct('lang', 'es', 'value', 'otra'), named_struct('lang', 'en', 'value', description)),
+        'weaknesses', array(named_struct('description', array(named_struct('value', concat('CWE-', cast(cve_key % 9 AS string))), named_struct('value', 'NVD-other'))), named_struct('description', array(named_struct('value', concat('CWE-', cast(cve_key % 4 AS string)))))),
+        'references', array(named_struct('url', concat('https://example.com/', cve_id)))))""").alias("json"))
+    return feeds.normalise_records(made.select(F.from_json("json", feeds.RECORD).alias("r")).select("r.*"))
+
+
+@query
+def record_merge(spark, sf_dir):
+    c = Tables(spark, sf_dir).cves
+    known = c.select("cve_id", "description", "cvss_v31_score", F.array(F.lit("CWE-1")).alias("cwe_ids"), F.lit(None).cast("date").alias("enriched_at"))
+    new = c.where("cve_key % 3 = 0").select("cve_id", F.concat("description", F.lit(" (revised)")).alias("description"), F.lit(None).cast("decimal(3,1)").alias("cvss_v31_score"), F.array(F.expr("concat('CWE-', cast(cve_key % 9 AS string))")).alias("cwe_ids"))
+    return ingest.merge_records(known, new, fx.AS_OF)
+
+
+@query
+def pending_enrichment(spark, sf_dir):
+    c = Tables(spark, sf_dir).cves
+    return ingest.pending(c.withColumn("enriched_at", F.expr("CASE WHEN cve_key % 3 = 0 THEN date '2000-01-01' END")))
+
+
+@query
+def cvss_preference(spark, sf_dir):
+    """Scores of up to four sources per id; the preferred one's."""
+    c = Tables(spark, sf_dir).cves
+    entry = lambda name, mod, least: f"CASE WHEN cve_key % 4 <= {least} THEN named_struct('key', '{name}', 'value', named_struct('V3Score', cast(cve_key % {mod} AS double), 'V3Vector', '{name}')) END"
+    scores = F.expr(f"map_from_entries(array_compact(array({entry('amazon', 7, 3)}, {entry('redhat', 8, 2)}, {entry('ghsa', 9, 1)}, {entry('nvd', 10, 0)})))")
+    best = c.select("cve_id", feeds.best_cvss(scores).alias("b"))
+    return best.select("cve_id", F.col("b.V3Score").alias("score"), F.col("b.V3Vector").alias("vector"))
+
+
+@query
+def report_flatten(spark, sf_dir):
+    """Reports of five hosts, written as JSON files and read back."""
+    import uuid
+
+    where = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fathomline-shared'}/reports-{uuid.uuid4().hex}"
+    rows = Tables(spark, sf_dir).staged.withColumn("host", F.expr("concat('host-', cast(row_id % 5 AS string))"))
+    item = F.struct(F.col("cve_id").alias("VulnerabilityID"), F.col("package_name").alias("PkgName"), F.col("installed_version").alias("InstalledVersion"), F.col("fixed_raw").alias("FixedVersion"), F.expr("CASE row_id % 3 WHEN 0 THEN 'HIGH' ELSE 'LOW' END").alias("Severity"))
+    # A report is a host's and a scan's; at a time it holds what one scan of one host found.
+    report = rows.groupBy("host", F.expr("pmod(xxhash64(row_id), 64)").alias("part")).agg(F.collect_list(item).alias("v")).select("host", F.array(F.struct(F.lit("os-pkgs").alias("Type"), F.col("v").alias("Vulnerabilities"))).alias("Results"))
+    report.write.partitionBy("host").json(where)
+    read = spark.read.schema(feeds.REPORT + ", host string").json(where)
+    flat = read.select("host", F.explode("Results").alias("r")).select("host", F.explode("r.Vulnerabilities").alias("x"))
+    return flat.groupBy(F.col("host").alias("hostname"), F.col("x.VulnerabilityID").alias("cve_id"), F.col("x.PkgName").alias("package_name"), F.col("x.InstalledVersion").alias("installed_version"), F.col("x.FixedVersion").alias("fixed_raw"), F.col("x.Severity").alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query
+def store_reconcile(spark, sf_dir):
+    d = Tables(spark, sf_dir).table("documents").select("doc_id", "text", "lang")
+    other = d.where("doc_id % 10 <> 2").withColumn("lang", F.expr("CASE WHEN doc_id % 10 = 3 THEN 'xx' ELSE lang END"))
+    return merge.reconcile(d.where("doc_id % 10 <> 1"), other, "doc_id")
+
+
+# Versions
+
+
+@query
+def version_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    v = Tables(spark, sf_dir).findings.where("fixed_version IS NOT NULL").select(F.col("fixed_version").alias("version")).distinct()
+    return v.withColumn("version_rank", F.rank().over(Window.orderBy(version_key(F.col("version"))))).select("version", F.col("version_rank").cast("long").alias("version_rank"))
+
+
+@query
+def fix_selection(spark, sf_dir):
+    rows = Tables(spark, sf_dir).staged.where("fixed_raw IS NOT NULL").select("fixed_raw", "installed_version").distinct()
+    return rows.withColumn("fixed_version", choose_fix(F.col("fixed_raw"), F.col("installed_version")))
+
+
+# Risk
+
+
+@query
+def risk_components(spark, sf_dir):
+    return Tables(spark, sf_dir).view.select("finding_id", "cvss_base", "cvss_source", "severity_points", "exploit_points", "exploit_reason", "exposure_points", "exposure_reason", "criticality_points", "data_points", "asset_points")
+
+
+@query
+def risk_scored(spark, sf_dir):
+    return Tables(spark, sf_dir).view.select("finding_id", "risk_score", "scored_band", "risk_band", "floor_rule")
+
+
+@query
+def sla(spark, sf_dir):
+    return Tables(spark, sf_dir).view.select("finding_id", "sla_days", "due_date", "sla_rule", "kev_deadline_passed")
+
+
+@query
+def current_risk(spark, sf_dir):
+    return Tables(spark, sf_dir).view.select("finding_id", "asset_id", "cve_id", "risk_score", "risk_band", "due_date", "overdue", "days_remaining")
+
+
+@query
+def factors(spark, sf_dir):
+    return risk.explain(Tables(spark, sf_dir).view)
+
+
+def _two_runs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A history in which every third finding scored a point more, and the new run."""
+    new = t.view.select("finding_id", F.lit(risk.POLICY).alias("policy_version"), "risk_band", "due_date", "risk_score")
+    return new.withColumns({"risk_score": F.expr("cast(CASE WHEN finding_id % 3 = 0 THEN risk_score + 1 ELSE risk_score END AS decimal(5,2))"), "is_current": F.lit(True)}), new
+
+
+@query
+def score_changes(spark, sf_dir):
+    history, new = _two_runs(Tables(spark, sf_dir))
+    found = risk.changed(new, history.where("is_current")).select("finding_id", F.lit(1).alias("_c"))
+    return new.join(found, "finding_id", "left").agg(F.count("*").alias("evaluated"), F.count("_c").alias("inserted"), F.count_if(F.col("_c").isNull()).alias("unchanged"))
+
+
+@query
+def history_after_run(spark, sf_dir):
+    history, new = _two_runs(Tables(spark, sf_dir))
+    after = risk.append_history(history, risk.changed(new, history.where("is_current")))
+    return after.groupBy("is_current").agg(F.count("*").alias("rows"), F.sum("risk_score").alias("score"))
+
+
+def _raw_history(t: Tables) -> DataFrame:
+    return t.staged.select("finding_id", F.col("row_id").alias("assessment_id"), F.col("scan_id").alias("computed_at"), "scan_id")
+
+
+@query
+def current_backfill(spark, sf_dir):
+    return risk.backfill_current(_raw_history(Tables(spark, sf_dir))).where("is_current").select("finding_id", "scan_id")
+
+
+@query
+def latest_assessment(spark, sf_dir):
+    return risk.latest(_raw_history(Tables(spark, sf_dir))).select("finding_id", "scan_id")
+
+
+@query
+def history_prune(spark, sf_dir):
+    rows = Tables(spark, sf_dir).staged.select(F.expr("row_id % 4 = 0").alias("is_current"), F.col("seen_at").alias("computed_at"), F.lit("why").alias("explanation"))
+    return risk.prune(rows, "1997-01-01").groupBy("is_current").agg(F.count("*").alias("rows"), F.count_if("pruned").alias("pruned"), F.count("explanation").alias("explained"))
+
+
+# Correlation
+
+
+@query
+def fix_actions(spark, sf_dir):
+    a = Tables(spark, sf_dir).actions
+    asked = F.array_join(F.transform(F.map_entries("version_requirements"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return a.withColumn("requirements", F.coalesce(asked, F.lit(""))).drop("version_requirements")
+
+
+@query
+def package_targets(spark, sf_dir):
+    return correlate.package_targets(Tables(spark, sf_dir).view)
+
+
+@query
+def version_requirements(spark, sf_dir):
+    return correlate.requirements(Tables(spark, sf_dir).view)
+
+
+@query
+def action_summary(spark, sf_dir):
+    return correlate.action_summary(Tables(spark, sf_dir).actions)
+
+
+@query
+def reduction_ladder(spark, sf_dir):
+    return correlate.reduction_ladder(Tables(spark, sf_dir).view)
+
+
+@query
+def mixed_bands(spark, sf_dir):
+    return correlate.mixed_bands(Tables(spark, sf_dir).view)
+
+
+@query
+def target_violations(spark, sf_dir):
+    return correlate.target_violations(Tables(spark, sf_dir).view)
+
+
+# Reports
+
+
+@query
+def table_counts(spark, sf_dir):
+    return reports.table_counts(Tables(spark, sf_dir).counted())
+
+
+@query
+def stats_row(spark, sf_dir):
+    return reports.stats_row(Tables(spark, sf_dir).counted())
+
+
+@query
+def band_distribution(spark, sf_dir):
+    return reports.band_distribution(Tables(spark, sf_dir).view)
+
+
+@query
+def due_backlog(spark, sf_dir):
+    return reports.due_backlog(Tables(spark, sf_dir).view, fx.AS_OF)
+
+
+@query
+def asset_list(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.asset_list(t.assets, t.view, limit=None)
+
+
+@query
+def asset_page(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.asset_list(t.assets, t.view, environment="prod", internet_facing=True, offset=50)
+
+
+@query
+def asset_detail(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.asset_list(t.assets.where("asset_id = 7"), t.view.where("asset_id = 7"))
+
+
+@query
+def findings_risk(spark, sf_dir):
+    return reports.finding_list(Tables(spark, sf_dir).view)
+
+
+@query
+def findings_due(spark, sf_dir):
+    return reports.finding_list(Tables(spark, sf_dir).view, "due_date", 100, 20, overdue_only=True, band="high")
+
+
+@query
+def findings_epss(spark, sf_dir):
+    return reports.finding_list(Tables(spark, sf_dir).view, "epss", kev_only=True, environment="prod")
+
+
+@query
+def findings_filtered(spark, sf_dir):
+    return reports.finding_list(Tables(spark, sf_dir).view, limit=None, team="asia", internet_facing=True, band="critical")
+
+
+@query
+def triage_queue(spark, sf_dir):
+    return reports.finding_list(Tables(spark, sf_dir).view, limit=20, band="critical")
+
+
+@query
+def cve_lookup(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.cve_lookup(t.cves, t.findings, ["cve-2013-10003", "CVE-2018-10023", "cve-2011-10001"])
+
+
+@query
+def cve_impact(spark, sf_dir):
+    """Affected assets and packages of every id with open findings."""
+    f = Tables(spark, sf_dir).findings.where("status = 'open'")
+    per = f.groupBy("cve_id", "asset_id").agg(F.collect_set("package_name").alias("p"))
+    return per.groupBy("cve_id").agg(F.count("*").alias("affected_assets"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("p")))).alias("affected_packages"))
+
+
+@query
+def team_workload(spark, sf_dir):
+    return reports.team_workload(Tables(spark, sf_dir).view)
+
+
+@query
+def overview(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.overview(t.view, t.actions)
+
+
+# Text and retrieval
+
+
+@query
+def id_extraction(spark, sf_dir):
+    rows = Tables(spark, sf_dir).cves.select("cve_key", F.concat(F.lit("see "), F.lower("cve_id"), F.lit(", "), "cve_id", F.lit(" and CVE-1999-0001x"), F.lit(" CVE-12-3")).alias("t"))
+    return rows.select("cve_key", text.cve_ids(F.col("t")).alias("ids"))
+
+
+@query
+def command_extraction(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.plans.select("plan_id", text.commands(F.col("markdown")).alias("commands"))
+
+
+@query
+def version_extraction(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = t.table("documents").select(F.col("doc_id").cast("string").alias("id"), text.versions(F.col("text")).alias("versions"))
+    return found.unionByName(t.plans.select(F.col("plan_id").alias("id"), text.versions(F.col("markdown")).alias("versions")))
+
+
+@query
+def split_text(spark, sf_dir):
+    return text.split_table(Tables(spark, sf_dir).table("documents"), "doc_id", "text")
+
+
+@query
+def corpus_facts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    f = retrieval.corpus_facts(t.cves, t.findings)
+    return f.select("cve_id", F.size(F.coalesce("fixes", F.array())).alias("n_fixes"), F.get("fixes", 0)["package_name"].alias("first_package"))
+
+
+@query
+def fact_chunks(spark, sf_dir):
+    return Tables(spark, sf_dir).chunks
+
+
+@query
+def documents_assembled(spark, sf_dir):
+    return retrieval.documents_assembled(Tables(spark, sf_dir).chunks).withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query
+def corpus_rebuild(spark, sf_dir):
+    d = text.split_table(Tables(spark, sf_dir).table("documents"), "doc_id", "text")
+    fresh = text.split_table(Tables(spark, sf_dir).table("documents").where("doc_id % 4 = 0").withColumn("text", F.substring("text", 1, 900)), "doc_id", "text")
+    return retrieval.rebuild(d, fresh, "doc_id").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("chunk_index").alias("last_index"))
+
+
+@query
+def postings(spark, sf_dir):
+    return retrieval.postings(Tables(spark, sf_dir).table("documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("docs"))
+
+
+def _two_words(rows: DataFrame, key: str) -> DataFrame:
+    """A query of the first two different longer words of each text."""
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{4,}"), 0)), 1, 2)
+    return rows.select(F.col(key).alias("query_id"), F.array_join(words, " ").alias("query"), F.size(words).alias("n")).where("n = 2").drop("n")
+
+
+@query
+def lexical_topk(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    index = retrieval.postings(t.table("documents"), "doc_id", "text")
+    found = retrieval.lexical_search(_two_words(t.table("benchmark"), "item_id"), index, "doc_id", 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def lexical_web(spark, sf_dir):
+    """Phrases, alternatives and exclusions."""
+    t = Tables(spark, sf_dir)
+    w = _two_words(t.table("benchmark"), "item_id")
+    word = lambda i: F.element_at(F.split("query", " "), i)
+    asked = w.select("query_id", F.concat(F.lit('"'), "query", F.lit('" OR '), word(1), F.lit(" -"), word(2)).alias("query"))
+    return retrieval.lexical_search(asked, retrieval.postings(t.table("documents"), "doc_id", "text"), "doc_id", 10).withColumn("score", F.round("score", 6))
+
+
+def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e = t.table("embeddings")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label"), e
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query
+def dense_topk(spark, sf_dir):
+    q, e = _vectors(Tables(spark, sf_dir))
+    return _rounded(retrieval.dense_search(q.drop("label"), e, 10))
+
+
+@query
+def dense_topk_filtered(spark, sf_dir):
+    q, e = _vectors(Tables(spark, sf_dir))
+    return _rounded(retrieval.dense_search(q, e, 10, on=["label"]))
+
+
+@query
+def ann_topk(spark, sf_dir):
+    q, e = _vectors(Tables(spark, sf_dir))
+    return _rounded(retrieval.ann_search(q, e, 10))
+
+
+@query
+def embed_hash(spark, sf_dir):
+    return retrieval.embed_hash(Tables(spark, sf_dir).table("documents"), "doc_id", "text").select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+
+
+def _branches(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Lexical and dense rankings of documents for every fiftieth vector, whose document's words are the query."""
+    q, e = _vectors(t)
+    docs = t.table("documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id")
+    asked = _two_words(docs.where("doc_id % 50 = 0"), "doc_id")
+    lexical = retrieval.lexical_search(asked, retrieval.postings(docs, "doc_id", "text"), "doc_id", retrieval.CANDIDATES)
+    dense = retrieval.dense_search(q.drop("label"), e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), retrieval.CANDIDATES).withColumnRenamed("vec_id", "doc_id")
+    return lexical, dense
+
+
+@query
+def rrf(spark, sf_dir):
+    """Fusion of two rankings by plain rules."""
+    d = Tables(spark, sf_dir).table("documents").where("n_chars IS NOT NULL").select((F.col("doc_id") % 20).alias("query_id"), "doc_id", "n_chars")
+    one = merge.top_k(d, ["query_id"], [F.desc("n_chars"), F.col("doc_id")], 50).select("query_id", "doc_id", "rank")
+    two = merge.top_k(d, ["query_id"], [F.col("doc_id") % 7, F.col("doc_id")], 50).select("query_id", "doc_id", "rank")
+    return retrieval.fuse(one, two, "doc_id", 8)
+
+
+@query
+def hybrid_topk(spark, sf_dir):
+    return retrieval.fuse(*_branches(Tables(spark, sf_dir)), "doc_id")
+
+
+@query
+def mode_comparison(spark, sf_dir):
+    """How often each mode's hits are of the query's language."""
+    t = Tables(spark, sf_dir)
+    lexical, dense = _branches(t)
+    lang = t.table("documents").select("doc_id", "lang")
+    modes = {"lexical": lexical.where("rank <= 8"), "dense": dense.where("rank <= 8"), "hybrid": retrieval.fuse(lexical, dense, "doc_id")}
+    out = None
+    for mode, hits in modes.items():
+        rows = hits.join(lang, "doc_id").join(lang.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("want")), "query_id")
+        one = rows.agg(F.count("*").alias("hits"), F.round(F.avg((F.col("lang") == F.col("want")).cast("int")), 4).alias("on_target")).select(F.lit(mode).alias("mode"), "hits", "on_target")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def retrieval_eval(spark, sf_dir):
+    q, e = _vectors(Tables(spark, sf_dir))
+    want = q.select("query_id", "label").join(e.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    return retrieval.evaluate(retrieval.dense_search(q.drop("label"), e, 8).select("query_id", "vec_id"), want, 8)
+
+
+@query
+def eval_grid(spark, sf_dir):
+    """Recall of the approximate search against the exact one, by the number of hash tables and how far it reaches."""
+    q, e = _vectors(Tables(spark, sf_dir))
+    want = retrieval.dense_search(q.drop("label"), e, 8).select("query_id", "vec_id")
+    out = None
+    for tables in (2, 6):
+        for reach in (1.1, 1.3):
+            one = retrieval.evaluate(retrieval.ann_search(q.drop("label"), e, 8, tables=tables, reach=reach).select("query_id", "vec_id"), want, 8).select(F.lit(tables).alias("tables"), F.lit(reach).alias("reach"), "queries", "recall_at_k", "precision_at_k")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def query_sample(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return retrieval.query_sample(t.cves, t.findings)
+
+
+@query
+def prefilter_ids(spark, sf_dir):
+    """Chunks that searches naming an id may find."""
+    t = Tables(spark, sf_dir)
+    asked = t.cves.where("cve_key % 10 = 1").select(F.col("cve_key").alias("query_id"), F.concat(F.lit("how to fix "), F.lower("cve_id")).alias("query"))
+    return retrieval.named_ids(asked).join(t.chunks, "cve_id").select("query_id", "cve_id", "chunk_index")
+
+
+@query
+def plan_context(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return retrieval.plan_context(t.actions, t.chunks).select("idempotency_key", "cve_id", F.size("context").alias("parts"), F.get("context", 0).alias("first"), F.length("prompt").alias("prompt_chars"))
+
+
+# Plans
+
+
+@query
+def grounding(spark, sf_dir):
+    return Tables(spark, sf_dir).checked.select("plan_id", "checked_cves", "ungrounded_cves", "passed", "reason")
+
+
+@query
+def grounding_ids(spark, sf_dir):
+    return Tables(spark, sf_dir).checked.select("plan_id", "checked_cves", "ungrounded_cves")
+
+
+@query
+def ungrounded_clusters(spark, sf_dir):
+    return grounding_ops.ungrounded_clusters(Tables(spark, sf_dir).checked)
+
+
+@query
+def plan_rubric(spark, sf_dir):
+    return grounding_ops.rubric(Tables(spark, sf_dir).plans).select("plan_id", *grounding_ops.CHECKS, "score", "actionable", "failures")
+
+
+@query
+def rubric_rates(spark, sf_dir):
+    return grounding_ops.rates(grounding_ops.rubric(Tables(spark, sf_dir).plans))
+
+
+@query
+def worst_plans(spark, sf_dir):
+    return grounding_ops.worst(grounding_ops.rubric(Tables(spark, sf_dir).plans), "plan_id").select("plan_id", "score", "failures")
+
+
+@query
+def plans_with_context(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    chunks = t.chunks.select(F.concat_ws("/", "cve_id", "chunk_index").alias("chunk_id"), "content")
+    plans = t.plans.select("plan_id", F.array(F.concat("cve_id", F.lit("/1")), F.concat("cve_id", F.lit("/0"))).alias("chunk_ids"))
+    return grounding_ops.with_context(plans, chunks).select("plan_id", F.md5(F.array_join("context", "\n").cast("binary")).alias("context"))
+
+
+@query
+def action_plan_flags(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.plan_flags(t.actions, t.plans).select("idempotency_key", "has_plan", "plan_grounded")
+
+
+@query
+def plan_list(spark, sf_dir):
+    return reports.plan_list(Tables(spark, sf_dir).plans).select("plan_id", "cve_id", "package_name", "fixed_version", "created_at")
+
+
+@query
+def plan_coverage(spark, sf_dir):
+    return reports.plan_coverage(Tables(spark, sf_dir).plans)
+
+
+# Worklist
+
+
+@query
+def representative_cve(spark, sf_dir):
+    return worklist_ops.representative(Tables(spark, sf_dir).actions).select("idempotency_key", "cve_id", "route")
+
+
+@query
+def worklist(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return worklist_ops.worklist(t.actions, t.plans.where("n % 2 = 0")).select("idempotency_key", "cve_id", "package_name", "os_family", "fixed_version")
+
+
+@query
+def cache_economics(spark, sf_dir):
+    return worklist_ops.cache_economics(Tables(spark, sf_dir).actions)
+
+
+def _unique_plans(t: Tables) -> DataFrame:
+    return merge.first_per_key(t.plans.select("plan_id", *worklist_ops.KEY, "grounded", "n"), worklist_ops.KEY, [F.col("plan_id")])
+
+
+@query
+def plan_persist(spark, sf_dir):
+    p = _unique_plans(Tables(spark, sf_dir))
+    fresh = p.where("n % 3 <> 0").withColumns({"grounded": F.lit(True), "plan_id": F.concat(F.lit("new-"), "plan_id")})
+    return worklist_ops.persist_plans(p.where("n % 5 <> 0"), fresh).select("plan_id", *worklist_ops.KEY, "grounded")
+
+
+@query
+def run_outcomes(spark, sf_dir):
+    rows = Tables(spark, sf_dir).plans.select(F.expr("CASE WHEN NOT grounded THEN 'ungrounded' WHEN n % 5 = 0 THEN 'cached' WHEN n % 17 = 0 THEN 'error' ELSE 'grounded' END").alias("status"))
+    return worklist_ops.run_outcomes(rows)
+
+
+@query
+def budget_cut(spark, sf_dir):
+    rows = Tables(spark, sf_dir).plans.select(F.col("plan_id").alias("idempotency_key"), F.col("max_risk_score").alias("urgency"), "due_date", worklist_ops.token_estimate("markdown").alias("tokens"))
+    return worklist_ops.budget_cut(rows, 500_000).select("idempotency_key", "tokens", "running", "planned")
+
+
+@query
+def attempt_outcomes(spark, sf_dir):
+    p = Tables(spark, sf_dir).plans.select(F.col("plan_id").alias("key"), "n", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
+    tries = p.select("key", "attempt", F.expr("cast(CASE WHEN n % 19 = 0 THEN 0 WHEN n % 4 = 0 THEN 5 ELSE 4 * attempt END AS int)").alias("context_size"), F.expr("n % 6 < attempt").alias("passed"))
+    return worklist_ops.attempt_outcomes(tries)
+
+
+# Tickets
+
+
+@query
+def best_plan(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return tickets.best_plan(t.actions, t.plans).select("idempotency_key", "plan_id", "grounded")
+
+
+@query
+def ticket_rows(spark, sf_dir):
+    return Tables(spark, sf_dir).tickets.drop("body")
+
+
+@query
+def ticket_bodies(spark, sf_dir):
+    return Tables(spark, sf_dir).tickets.select("idempotency_key", "body")
+
+
+def _filed(t: Tables) -> DataFrame:
+    return t.actions.where("asset_count % 3 = 0").select(F.concat(F.lit("T-"), F.substring("idempotency_key", 1, 8)).alias("ticket_id"), "idempotency_key", F.lit("old").alias("title"), "owner_team", "owner_email", "risk_band", "due_date", F.lit("open").alias("state"))
+
+
+@query
+def ticket_preview(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return tickets.preview(t.tickets, _filed(t))
+
+
+@query
+def ticket_upsert(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    new = t.tickets.select(F.concat(F.lit("N-"), F.substring("idempotency_key", 1, 8)).alias("ticket_id"), "idempotency_key", "title", "owner_team", "owner_email", "risk_band", "due_date", F.lit("open").alias("state"))
+    return tickets.upsert(_filed(t), new)
+
+
+def _action_findings(t: Tables) -> DataFrame:
+    v = t.view.withColumn("has_fix", F.col("fixed_version").isNotNull())
+    return v.select(correlate.action_key(F.col("has_fix")).alias("idempotency_key"), "finding_id")
+
+
+@query
+def ticket_links(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    every = _action_findings(t)
+    return tickets.links(t.actions.where("risk_band <> 'low'"), every, every.where("finding_id % 2 = 0"))
+
+
+@query
+def closable_tickets(spark, sf_dir):
+    """Of tickets over every finding, by package and asset group, those with nothing open."""
+    f = Tables(spark, sf_dir).findings.withColumn("idempotency_key", F.concat_ws("/", "package_name", (F.col("asset_id") % 50).cast("string"), F.substring("installed_version", 1, 6)))
+    filed = f.select("idempotency_key").distinct().withColumns({"title": F.concat(F.lit("Upgrade "), "idempotency_key"), "state": F.lit("open")})
+    return tickets.closable(filed, f.select("idempotency_key", "finding_id"), f)
+
+
+@query
+def tracker_payload(spark, sf_dir):
+    p = tickets.tracker_payload(Tables(spark, sf_dir).tickets)
+    return p.select("idempotency_key", F.get_json_object("issue", "$.fields.summary").alias("summary"), F.get_json_object("issue", "$.fields.priority.name").alias("priority"), F.get_json_object("issue", "$.fields.duedate").alias("duedate"), F.get_json_object("issue", "$.fields.labels[0]").alias("label"), F.get_json_object("alternative", "$.title").alias("title"))
+
+
+# Streams
+
+
+@query
+def stream_findings(spark, sf_dir):
+    """Seven scans, one micro-batch each, merged into the findings table."""
+    import uuid
+
+    where = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fathomline-shared'}/stream-{uuid.uuid4().hex}"
+    t = Tables(spark, sf_dir)
+    rows = t.staged
+    for scan in range(1, 8):
+        rows.where(F.col("scan_id") == scan).coalesce(1).write.parquet(f"{where}/in/scan={scan}")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*")
+    empty = fx.findings_of(rows)
+    stream.stream_merge(source, f"{where}/out", fx.findings_of, f"{where}/checkpoint", empty)
+    return stream.latest_snapshot(spark, f"{where}/out", 7).select(*fx.IDENTITY, "first_seen")
+
+
+@query
+def incremental_score(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return stream.incremental_score(t.findings, t.cves, t.assets, "1998-01-01").select("finding_id", "risk_score", "risk_band", "due_date")
+
+
+@query
+def quota_audit(spark, sf_dir):
+    e = Tables(spark, sf_dir).table("events").select("event_id", F.col("user_id").alias("key"), "ts", F.col("value").alias("weight"))
+    return stream.quota_audit(e, 86_400, 3, 150.0).select("event_id", "calls", F.round("used", 4).alias("used"), "breach")
