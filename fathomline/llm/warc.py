@@ -22,6 +22,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .session import checkpoint
+
 #: Payloads of at least so many bytes are stored once; the others that equal them become revisit records.
 REVISIT_BYTES = 0
 RECORDS_PER_ARCHIVE = 2000
@@ -63,7 +65,8 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html"))
     big = rows.where(F.col("bytes") >= revisit_bytes)
-    first = big.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 AND first.page_id IS NOT NULL").select(F.col("digest").alias("_d"), F.col("bytes").alias("_b"), "first")
+    # Cut off here, so that the join deals both sides out by itself and can split a payload that many pages have.
+    first = checkpoint(big.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 AND first.page_id IS NOT NULL").select(F.col("digest").alias("_d"), F.col("bytes").alias("_b"), "first"))
     rows = rows.join(first, (F.col("digest") == F.col("_d")) & (F.col("bytes") == F.col("_b")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), "html"))
@@ -202,7 +205,7 @@ def read_ranges(captures: DataFrame) -> DataFrame:
 def resolve(spark: SparkSession, captures: DataFrame, index: str) -> DataFrame:
     """captures with the full payload's size and digest also for revisits, taken from the records they refer to."""
     revisit = captures.where("record_type = 'revisit'").withColumn("key", surt(F.col("refers_to_url")))
-    found = read_ranges(lookup(spark, index, revisit.select("key", F.col("refers_to").alias("page_id")))).dropDuplicates(["page_id", "url"])
+    found = checkpoint(read_ranges(lookup(spark, index, revisit.select("key", F.col("refers_to").alias("page_id")))).dropDuplicates(["page_id", "url"]))
     found = found.select(F.col("page_id").alias("_p"), surt(F.col("url")).alias("_k"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d"))
     full = revisit.join(found, (F.col("refers_to") == F.col("_p")) & (F.col("key") == F.col("_k"))).select("page_id", "_n", "_d", "record_type", "refers_to")
     same = captures.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
