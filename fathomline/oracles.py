@@ -275,7 +275,7 @@ ORACLES = {
         SELECT count(*) AS queries, round(avg(found / least(n, 8)), 4) AS recall_at_k, round(avg(found / greatest(got, 1)), 4) AS precision_at_k FROM (SELECT n.query_id, n, count(h.vec_id) AS got, count(*) FILTER (WHERE want = label) AS found FROM n LEFT JOIN h ON n.query_id = h.query_id GROUP BY ALL)""",
     "query_sample": sql(", c AS (SELECT c.cve_id, description, kev_listed, epss_score, count(*) AS findings FROM cves c JOIN findings f ON c.cve_id = f.cve_id GROUP BY ALL) SELECT cve_id, description, findings FROM (SELECT * FROM c WHERE kev_listed OR epss_score > 0.1 ORDER BY findings DESC, cve_id LIMIT 30) UNION SELECT cve_id, description, findings FROM (SELECT * FROM c WHERE description IS NOT NULL ORDER BY md5(cve_id), cve_id LIMIT 30)", "findings"),
     "grounding_ids": sql("SELECT plan_id, [CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END] AS checked_cves, CASE WHEN n % 11 = 0 THEN ['CVE-1999-0001'] ELSE [] END AS ungrounded_cves FROM plans", "plans"),
-    "ungrounded_clusters": sql("SELECT package_name, count(*) AS plans, count(*) FILTER (WHERE NOT grounded) AS failed FROM plans GROUP BY ALL", "plans"),
+    "ungrounded_clusters": sql("SELECT package_name, count(*) AS plans, count(*) FILTER (WHERE n % 11 = 0 OR (n % 7 = 0 AND fixed_version IS NOT NULL AND os_family <> 'debian')) AS failed FROM plans GROUP BY ALL", "plans"),
     "plan_rubric": sql("""
         SELECT plan_id, grounded, fixed_version IS NOT NULL AS names_target, fixed_version IS NOT NULL AS has_commands, fixed_version IS NOT NULL AS commands_match_os, fixed_version IS NOT NULL AS has_rollback, n % 13 <> 0 AS no_placeholders, true AS not_vague,
             round((cast(grounded AS INTEGER) + 4 * cast(fixed_version IS NOT NULL AS INTEGER) + cast(n % 13 <> 0 AS INTEGER) + 1) / 7, 3) AS score, grounded AND fixed_version IS NOT NULL AND n % 13 <> 0 AS actionable,

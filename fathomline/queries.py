@@ -851,5 +851,5 @@ def incremental_score(spark, sf_dir):
 
 @query
 def quota_audit(spark, sf_dir):
-    e = Tables(spark, sf_dir).table("events").select("event_id", F.col("user_id").alias("key"), "ts", F.col("value").alias("weight"))
+    e = Tables(spark, sf_dir).table("events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("weight"))
     return stream.quota_audit(e, 86_400, 3, 150.0).select("event_id", "calls", F.round("used", 4).alias("used"), "breach")
