@@ -2,12 +2,16 @@
 
 Seeds are winnowed anchors: of the 5-word grams in each run of 13 words the one with the least hash, so equal runs
 share an anchor. Which anchors stand in two different documents is found by one exchange of their hashes, packed
-in arrays and already reduced to one entry a task. Around such anchors, the match is extended to all 13-word runs
-that hold the anchor: their 128-bit hashes are exchanged and each learns the smallest document that has it. Runs
-that also start in a smaller document cover words to remove, and neighbouring runs join to maximal repeats.
+in arrays and already reduced to one entry a task. Then matches are extended from such anchors both ways:
 
-The set of shared anchors travels back as a filter of a fixed number of bits. It only saves work: what it lets
-through in error finds no partner among the exact hashes.
+1. A segment is all the neighbouring runs with one anchor, so up to 12 words before it and after it. Segments'
+   128-bit hashes are exchanged and each learns the smallest document that has it: there all its runs match.
+2. Of anchors with several different segments, where matches end inside one, each run is exchanged by itself.
+
+Runs that also start in a smaller document cover words to remove, and neighbouring runs join to maximal repeats.
+
+The sets of anchors travel back as filters of a fixed number of bits. They only save work: what they let through in
+error finds no partner among the exact hashes.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .session import partitions
-from .textbytes import SPACED, U, Texts, Words, grams, slices, slide, within
+from .session import bound_batches, checkpoint, partitions
+from .textbytes import _GRAM_BASES, SPACED, U, Texts, Words, _ranges, grams, slices, slide, within
 
 #: Words of a repeat, at least, and of an anchor.
 LENGTH, ANCHOR = 13, 5
@@ -38,13 +42,28 @@ class Grams:
     def __init__(self, texts: Texts, length: int, anchor: int):
         self.words: Words = texts.words(SPACED)
         n = len(self.words)
-        self.length, self.ok, self.least = length, np.zeros(0, bool), np.zeros(0, U)
+        self.length, self.ok, self.least, self._words = length, np.zeros(0, bool), np.zeros(0, U), {}
         if n >= length:
-            self.hashes = self.words.hashes()
+            self._words[0] = self.words.hashes()
             self.ok = within(self.words.bounds, n - length + 1, length)
-            self.least = slide(grams(self.hashes, anchor), length - anchor + 1)
+            self.least = slide(grams(self._words[0], anchor), length - anchor + 1)
         self.text = self.words.texts()
 
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, number of runs and end of the words of each stretch of neighbouring runs with one anchor in one text."""
+        run = np.flatnonzero(self.ok)
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1] + 1) | (self.least[run[1:]] != self.least[run[:-1]])
+        at = np.flatnonzero(new)
+        last = run[np.append(at[1:], len(run)) - 1]
+        return run[at], last - run[at] + 1, last + self.length
+
+    def hash(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+        """Hash of the words start[i]:end[i]."""
+        if which not in self._words:
+            self._words[which] = self.words.hashes(which)
+        return _ranges(self._words[which], start, end, _GRAM_BASES[which])
+
 
 def _pack(first: np.ndarray, columns: dict[str, np.ndarray], bits: int) -> pa.RecordBatch:
     """Rows (pack, one binary per column): `columns` dealt out by the top `bits` bits of `first`, which is sorted."""
@@ -77,123 +96,174 @@ def _least_per_key(keys: list[np.ndarray], doc: np.ndarray, many: np.ndarray) ->
     return [k[at] for k in keys], doc[at], np.logical_or.reduceat(many, at) | (doc[at] != doc[last])
 
 
-def shared_anchors(docs: DataFrame, length: int, anchor: int, filter_bits: int) -> bytes:
-    """A filter of 2**filter_bits bits with the anchors that stand in two different documents."""
-    spark = docs.sparkSession
-    bits = min(_packs(spark), filter_bits - 3)
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-
-        def reduced():
-            h, d, m = (np.concatenate(x) for x in zip(*kept, strict=True))
-            (h,), d, m = _least_per_key([h], d, m)
-            return h, d, m
+def _flags(h: np.ndarray, bits: int, filter_bits: int) -> bytes:
+    """The part of the filter that belongs to the pack of these hashes, with them set."""
+    flags = np.zeros(1 << (filter_bits - bits), bool)
+    flags[((h << U(bits)) >> U(64 - filter_bits + bits)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
 
-        for batch in batches:
-            ids = _ids(batch, "doc_id")
-            for at, to, texts in slices(batch.column("text")):
-                g = Grams(texts, length, anchor)
-                if g.ok.any():
-                    run = np.flatnonzero(g.ok)
-                    h, doc = g.least[run], ids[at:to][g.text[run]]
-                    new = np.ones(len(h), bool)  # a run mostly has its neighbour's anchor
-                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    kept.append((h[new], doc[new], np.zeros(int(new.sum()), bool)))
-                if sum(len(k[0]) for k in kept) > 2_000_000:
-                    h, d, m = reduced()
-                    yield _pack(h, {"h": h, "doc": d, "many": m}, bits)
-                    kept = []
-        if kept:
-            h, d, m = reduced()
-            yield _pack(h, {"h": h, "doc": d, "many": m}, bits)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Only packs' numbers and hashes are held: 17 bytes an anchor of this partition.
-        by: dict[int, list] = {}
-        for batch in batches:
-            for pack, h, d, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(pack, []).append((np.frombuffer(h, U), np.frombuffer(d, np.int64), np.frombuffer(m, bool)))
-        for pack, parts in by.items():
-            h, d, m = (np.concatenate(x) for x in zip(*parts, strict=True))
-            (h,), d, m = _least_per_key([h], d, m)
-            flags = np.zeros(1 << (filter_bits - bits), bool)
-            flags[((h[m] << U(bits)) >> U(64 - filter_bits + bits)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_pydict({"pack": pa.array([pack], pa.int32()), "bits": [np.packbits(flags).tobytes()]})
-
-    dealt = docs.select("doc_id", "text").mapInArrow(seeds, "pack int, h binary, doc binary, many binary").repartition(partitions(spark), "pack")
+def _whole(parts: DataFrame, bits: int, filter_bits: int) -> bytes:
+    """The filter put together from rows (pack, bits); 2**filter_bits bits whatever the data."""
     size = 1 << (filter_bits - bits - 3)
-    whole = np.zeros(1 << (filter_bits - 3), np.uint8)
-    for r in dealt.mapInArrow(meet, "pack int, bits binary").collect():
-        whole[r.pack * size : (r.pack + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return whole.tobytes()
+    out = np.zeros(1 << (filter_bits - 3), np.uint8)
+    for r in parts.collect():
+        out[r.pack * size : (r.pack + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
 
 
-def _seeded_runs(g: Grams, flags: np.ndarray, filter_bits: int) -> np.ndarray:
-    """Starts of the runs whose anchor is in the filter."""
-    slot = (g.least[: len(g.ok)] >> U(64 - filter_bits)).astype(np.int64)
-    return np.flatnonzero(g.ok & ((flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool))
+def _in(filter_: bytes, h: np.ndarray, filter_bits: int) -> np.ndarray:
+    flags, slot = np.frombuffer(filter_, np.uint8), (h >> U(64 - filter_bits)).astype(np.int64)
+    return ((flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, row (hash of the text), runs array<int>: starts of the runs of `length` words that also start in a smaller document.
+_TYPES = {"h": U, "h1": U, "h2": U, "doc": np.int64, "many": bool}
 
-    Only rows with such runs; rows that equal each other in doc_id and text come once.
-    """
-    spark = docs.sparkSession
-    bits = _packs(spark)
-    sent = spark.sparkContext.broadcast(shared_anchors(docs, length, anchor, filter_bits))
 
-    def found(batches: Iterator[pa.RecordBatch]):
-        flags = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            ids, rows = _ids(batch, "doc_id"), batch.column("row").to_numpy()
-            for at, to, texts in slices(batch.column("text")):
-                g = Grams(texts, length, anchor)
-                run = _seeded_runs(g, flags, filter_bits) if len(g.ok) else np.zeros(0, np.int64)
-                if len(run):
-                    h1 = grams(g.hashes, length)[run]
-                    h2 = grams(g.words.hashes(1), length, 1)[run]
-                    text = g.text[run]
-                    yield h1, h2, ids[at:to][text], rows[at:to][text], run - g.words.bounds[:-1][text]
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit(found, names: list[str], bits: int):
+    """mapInArrow function: what `found` yields (arrays for names but the last, many), reduced to one entry per key, as packs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
 
         def out():
-            h1, h2, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
-            (h1, h2), doc, many = _least_per_key([h1, h2], doc, np.zeros(len(doc), bool))
-            return _pack(h1, {"h1": h1, "h2": h2, "doc": doc, "many": many}, bits)
-
-        for h1, h2, doc, _, _ in found(batches):
-            kept.append((h1, h2, doc))
-            held += len(h1)
-            if held > 2_000_000:
+            *keys, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
+            keys, doc, many = _least_per_key(keys, doc, np.zeros(len(doc), bool))
+            return _pack(keys[0], dict(zip(names, [*keys, doc, many], strict=True)), bits)
+
+        for arrays in found(batches):
+            kept.append(arrays)
+            held += len(arrays[0])
+            if held > 1_500_000:
                 yield out()
                 kept, held = [], 0
         if kept:
             yield out()
 
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    """(pack, keys, smallest document, many) for each pack of this partition; a pack's entries are held at once."""
+    by: dict[int, list] = {}
+    for batch in batches:
+        for pack, *cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by.setdefault(pack, []).append([np.frombuffer(c, _TYPES[n]) for c, n in zip(cols, names, strict=True)])
+    for pack in list(by):
+        *keys, doc, many = (np.concatenate(x) for x in zip(*by.pop(pack), strict=True))
+        yield pack, *_least_per_key(keys, doc, many)
+
+
+def _dealt(rows: DataFrame, function, names: list[str]) -> DataFrame:
+    return rows.mapInArrow(function, "pack int, " + ", ".join(f"{n} binary" for n in names)).repartition(partitions(rows.sparkSession), "pack")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
+    """(Grams, ids, rows) of each slice that has runs."""
+    for batch in batches:
+        ids, rows = _ids(batch, "doc_id"), batch.column("row").to_numpy()
+        for at, to, texts in slices(batch.column("text")):
+            g = Grams(texts, length, anchor)
+            if g.ok.any():
+                yield g, ids[at:to], rows[at:to]
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, row (16 bits of the text's hash), gone: the maximal stretches [a, b) of words in runs of `length` words that also start in a smaller document.
+
+    Only rows with such runs; rows that equal each other in doc_id and text come once.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    bits = min(_packs(spark), filter_bits - 3)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+
+    def anchors(batches):
+        for g, ids, _ in _slices(batches, length, anchor):
+            first, _, _ = g.segments()
+            yield g.least[first], ids[g.text[first]]
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, (h,), _, many in _met(batches, ["h", "doc", "many"]):
+            yield pa.RecordBatch.from_pydict({"pack": pa.array([pack], pa.int32()), "bits": [_flags(h[many], bits, filter_bits)]})
+
+    names = ["h", "doc", "many"]
+    seeds = spark.sparkContext.broadcast(_whole(_dealt(rows, _emit(anchors, names, bits), names).mapInArrow(shared, "pack int, bits binary"), bits, filter_bits))
+
+    def segments(batches):
+        for g, ids, own in _slices(batches, length, anchor):
+            first, n, end = g.segments()
+            keep = _in(seeds.value, g.least[first], filter_bits)
+            first, n, end = first[keep], n[keep], end[keep]
+            if len(first):
+                yield g.least[first], g.hash(first, end, 0), g.hash(first, end, 1), ids[g.text[first]], own[g.text[first]], first - g.words.bounds[:-1][g.text[first]], n
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, (h, h1, h2), doc, many in _met(batches, ["h", "h1", "h2", "doc", "many"]):
+            again = np.zeros(len(h), bool)
+            again[1:] = h[1:] == h[:-1]  # another segment of one anchor
+            size = int(many.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([None] * size, pa.int32()), pa.array([None] * size, pa.binary()), pa.array(h1[many].view(np.int64)), pa.array(h2[many].view(np.int64)), pa.array(doc[many])], names=["pack", "bits", "h1", "h2", "least"])
+            none = pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int32()), pa.array([_flags(h[again], bits, filter_bits)], pa.binary()), none, none, none], names=["pack", "bits", "h1", "h2", "least"])
+
+    names = ["h", "h1", "h2", "doc", "many"]
+    met = checkpoint(_dealt(rows, _emit(lambda b: (x[:4] for x in segments(b)), names, bits), names).mapInArrow(different, "pack int, bits binary, h1 long, h2 long, least long"))
+    whole = met.where("pack IS NULL").select("h1", "h2", "least")
+    ends = spark.sparkContext.broadcast(_whole(met.where("pack IS NOT NULL").select("pack", "bits"), bits, filter_bits))
+
+    def single(batches):
+        for g, ids, own in _slices(batches, length, anchor):
+            run = np.flatnonzero(g.ok & _in(ends.value, g.least[: len(g.ok)], filter_bits))
+            if len(run):
+                yield g.hash(run, run + length, 0), g.hash(run, run + length, 1), ids[g.text[run]], own[g.text[run]], run - g.words.bounds[:-1][g.text[run]], np.ones(len(run), np.int64)
+
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for batch in batches:
-            for pack, *cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(pack, []).append([np.frombuffer(c, t) for c, t in zip(cols, (U, U, np.int64, bool), strict=True)])
-        for parts in by.values():
-            h1, h2, doc, many = (np.concatenate(x) for x in zip(*parts, strict=True))
-            (h1, h2), doc, many = _least_per_key([h1, h2], doc, many)
+        for _, (h1, h2), doc, many in _met(batches, ["h1", "h2", "doc", "many"]):
             yield pa.RecordBatch.from_arrays([pa.array(h1[many].view(np.int64)), pa.array(h2[many].view(np.int64)), pa.array(doc[many])], names=["h1", "h2", "least"])
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h1, h2, doc, row, start in found(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32))], names=["h1", "h2", "doc", "row", "start"])
+    def places(found):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for h1, h2, doc, row, start, n in found(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h1", "h2", "doc", "row", "start", "n"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    known = rows.select("doc_id", "text", "row").mapInArrow(least, "pack int, h1 binary, h2 binary, doc binary, many binary").repartition(partitions(spark), "pack").mapInArrow(smallest, "h1 long, h2 long, least long")
-    here = rows.mapInArrow(places, "h1 long, h2 long, doc long, row long, start int")
-    later = here.join(known, ["h1", "h2"]).where(F.col("least") < F.col("doc"))
-    runs = later.groupBy("doc", "row").agg(F.collect_set("start").alias("runs"))  # no more than the text has words
-    return runs.select(F.when(F.col("doc") != NEVER, F.col("doc")).alias("doc_id"), "row", "runs")
+        return rows.mapInArrow(run, "h1 long, h2 long, doc long, row long, start int, n int").select("h1", F.shiftright("h2", 24).alias("h2"), "doc", F.shiftright("row", 48).alias("row"), "start", "n")
+
+    names = ["h1", "h2", "doc", "many"]
+    alone = _dealt(rows, _emit(lambda b: (x[:3] for x in single(b)), names, bits), names).mapInArrow(smallest, "h1 long, h2 long, least long")
+    # Of the 128 bits of a hash 104 are compared, and 16 of a text's, which only tell texts of one doc_id apart.
+    later = lambda here, known: here.join(known.select("h1", F.shiftright("h2", 24).alias("h2"), "least"), ["h1", "h2"]).where(F.col("least") < F.col("doc")).select("doc", "row", "start", "n")
+    found = later(places(lambda b: (x[1:] for x in segments(b))), whole).unionByName(later(places(single), alone))
+    runs = found.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # no more than the text has words
+    merged = runs.mapInArrow(_stretches(length), "doc long, row long, gone array<struct<a: int, b: int>>")
+    return merged.select(F.when(F.col("doc") != NEVER, F.col("doc")).alias("doc_id"), "row", "gone")
+
+
+def _stretches(length: int):
+    """mapInArrow function: runs (start, n) of a document to the maximal stretches [a, b) of words that they cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for runs in batch.column("runs"):
+                start, n = (np.asarray(runs.values.field(k)) for k in ("start", "n"))
+                order = np.argsort(start, kind="stable")
+                a, b = start[order], np.maximum.accumulate((start + n + (length - 1))[order])
+                new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+                out.append([{"a": int(x), "b": int(y)} for x, y in zip(a[new], b[np.append(new[1:], len(a)) - 1], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["doc", "row", "gone"])
+
+    return run
+
+
+#: Documents and stretches that may be broadcast: under 24 MB.
+SMALL_DOCS, SMALL_STRETCHES = 300_000, 1_000_000
+
+
+def _small(found: DataFrame) -> DataFrame:
+    """found with a broadcast hint if its rows and stretches are few enough, else as it is."""
+    n = found.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("stretches")).first()
+    return F.broadcast(found) if n.docs <= SMALL_DOCS and n.stretches <= SMALL_STRETCHES else found
 
 
 OUT = "n_words long, n_removed long, n_repeats long, kept_sha256 string, kept string"
@@ -209,29 +279,28 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, with_text: bool = True
     """
     keep = keep or ["doc_id"]
     slim = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    found = repeats(slim, length, anchor, filter_bits).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "runs")
+    found = _small(checkpoint(repeats(slim, length, anchor, filter_bits).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "gone")))
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    joined = rows.join(found, F.col("_doc").eqNullSafe(F.col("_d")) & (F.xxhash64("_text") == F.col("_r")), "left").drop("_d", "_r")
+    joined = rows.join(found, F.col("_doc").eqNullSafe(F.col("_d")) & (F.shiftright(F.xxhash64("_text"), 48) == F.col("_r")), "left").drop("_d", "_r")
     slots = [f"_k{i}" for i in range(len(keep))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column("runs")
+            stretches = batch.column("gone")
             for at, to, texts in slices(batch.column("_text")):
                 words = texts.words(SPACED)
                 data = texts.data.tobytes()
                 rows = []
                 for i in range(to - at):
                     a, b = words.bounds[i], words.bounds[i + 1]
-                    gone = np.zeros(b - a + 1, np.int64)
-                    if (r := runs[at + i]).is_valid:
-                        starts = np.asarray(r.values)
-                        np.add.at(gone, starts, 1)
-                        np.add.at(gone, starts + length, -1)
-                    gone = np.cumsum(gone[:-1]) > 0
+                    gone, many = np.zeros(b - a, bool), 0
+                    if (r := stretches[at + i]).is_valid:
+                        many = len(r)
+                        for x, y in zip(r.values.field("a").to_pylist(), r.values.field("b").to_pylist(), strict=True):
+                            gone[x:y] = True
                     left = np.flatnonzero(~gone) + a
                     kept = b" ".join([data[s:e] for s, e in zip(words.starts[left].tolist(), words.ends[left].tolist(), strict=True)])
-                    rows.append((b - a, int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(gone) else 0)), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                    rows.append((b - a, int(gone.sum()), many, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
                 n, g, m, s, t = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in slots), pa.array(n, pa.int64()), pa.array(g, pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.string()), pa.array(t, pa.string())], names=[*slots, "n_words", "n_removed", "n_repeats", "kept_sha256", "kept"])
 
