@@ -37,3 +37,8 @@ SMALL_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """df with a broadcast hint where it has at most `rows` rows, else as it is. For narrow rows of fixed width."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand texts to Python workers in batches of about `size`, however long they are: a worker then needs a bounded memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
