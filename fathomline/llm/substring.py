@@ -28,6 +28,8 @@ from .textbytes import _GRAM_BASES, SPACED, U, Texts, Words, _ranges, grams, sli
 
 #: Words of a repeat, at least, and of an anchor.
 LENGTH, ANCHOR = 13, 5
+#: Two hashes of a text: with the doc_id they tell rows apart.
+ROW = ["row1", "row2"]
 #: Bits of the filter of shared anchors (16 MB): documented bound of what is broadcast.
 FILTER_BITS = 27
 #: Exchanged packs per shuffle partition, so that partitions come out even.
@@ -117,6 +119,10 @@ def _in(filter_: bytes, h: np.ndarray, filter_bits: int) -> np.ndarray:
     return ((flags[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def _row(text: str) -> list[F.Column]:
+    return [F.xxhash64(text).alias("row1"), F.xxhash64(F.lit(17), text).alias("row2")]
+
+
 _TYPES = {"h": U, "h1": U, "h2": U, "doc": np.int64, "many": bool}
 
 
@@ -159,9 +165,9 @@ def _dealt(rows: DataFrame, function, names: list[str]) -> DataFrame:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
-    """(Grams, ids, rows) of each slice that has runs."""
+    """(Grams, ids, rows) of each slice that has runs. A row of rows is a text's two hashes."""
     for batch in batches:
-        ids, rows = _ids(batch, "doc_id"), batch.column("row").to_numpy()
+        ids, rows = _ids(batch, "doc_id"), np.stack([batch.column(c).to_numpy() for c in ROW], 1)
         for at, to, texts in slices(batch.column("text")):
             g = Grams(texts, length, anchor)
             if g.ok.any():
@@ -169,14 +175,14 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, row (16 bits of the text's hash), gone: the maximal stretches [a, b) of words in runs of `length` words that also start in a smaller document.
+    """doc_id, row1, row2 (two hashes of the text), gone: the maximal stretches [a, b) of words in runs of `length` words that also start in a smaller document.
 
     Only rows with such runs; rows that equal each other in doc_id and text come once.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     bits = min(_packs(spark), filter_bits - 3)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    rows = docs.select("doc_id", "text", *_row("text"))
 
     def anchors(batches):
         for g, ids, _ in _slices(batches, length, anchor):
@@ -225,18 +231,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_
     def places(found):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h1, h2, doc, row, start, n in found(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h1", "h2", "doc", "row", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h1", "h2", "doc", *ROW, "start", "n"])
 
-        return rows.mapInArrow(run, "h1 long, h2 long, doc long, row long, start int, n int").select("h1", F.shiftright("h2", 24).alias("h2"), "doc", F.shiftright("row", 48).alias("row"), "start", "n")
+        return rows.mapInArrow(run, "h1 long, h2 long, doc long, row1 long, row2 long, start int, n int").select("h1", F.shiftright("h2", 24).alias("h2"), "doc", *ROW, "start", "n")
 
     names = ["h1", "h2", "doc", "many"]
     alone = _dealt(rows, _emit(lambda b: (x[:3] for x in single(b)), names, bits), names).mapInArrow(smallest, "h1 long, h2 long, least long")
-    # Of the 128 bits of a hash 104 are compared, and 16 of a text's, which only tell texts of one doc_id apart.
-    later = lambda here, known: here.join(known.select("h1", F.shiftright("h2", 24).alias("h2"), "least"), ["h1", "h2"]).where(F.col("least") < F.col("doc")).select("doc", "row", "start", "n")
+    # Of the 128 bits of a segment's hash 104 are compared; of a text's, which tell texts of one doc_id apart, all 128.
+    later = lambda here, known: here.join(known.select("h1", F.shiftright("h2", 24).alias("h2"), "least"), ["h1", "h2"]).where(F.col("least") < F.col("doc")).select("doc", *ROW, "start", "n")
     found = later(places(lambda b: (x[1:] for x in segments(b))), whole).unionByName(later(places(single), alone))
-    runs = found.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # no more than the text has words
-    merged = runs.mapInArrow(_stretches(length), "doc long, row long, gone array<struct<a: int, b: int>>")
-    return merged.select(F.when(F.col("doc") != NEVER, F.col("doc")).alias("doc_id"), "row", "gone")
+    runs = found.groupBy("doc", *ROW).agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # no more than the text has words
+    merged = runs.mapInArrow(_stretches(length), "doc long, row1 long, row2 long, gone array<struct<a: int, b: int>>")
+    return merged.select(F.when(F.col("doc") != NEVER, F.col("doc")).alias("doc_id"), *ROW, "gone")
 
 
 def _stretches(length: int):
@@ -251,7 +257,7 @@ def _stretches(length: int):
                 a, b = start[order], np.maximum.accumulate((start + n + (length - 1))[order])
                 new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
                 out.append([{"a": int(x), "b": int(y)} for x, y in zip(a[new], b[np.append(new[1:], len(a)) - 1], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["doc", "row", "gone"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", *ROW)), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["doc", *ROW, "gone"])
 
     return run
 
@@ -279,9 +285,10 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, with_text: bool = True
     """
     keep = keep or ["doc_id"]
     slim = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    found = _small(checkpoint(repeats(slim, length, anchor, filter_bits).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), "gone")))
+    found = _small(checkpoint(repeats(slim, length, anchor, filter_bits).select(F.col("doc_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in ROW], "gone")))
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    joined = rows.join(found, F.col("_doc").eqNullSafe(F.col("_d")) & (F.shiftright(F.xxhash64("_text"), 48) == F.col("_r")), "left").drop("_d", "_r")
+    same = [h == F.col(f"_{c}") for h, c in zip(_row("_text"), ROW, strict=True)]
+    joined = rows.join(found, [F.col("_doc").eqNullSafe(F.col("_d")), *same], "left").drop("_d", "_row1", "_row2")
     slots = [f"_k{i}" for i in range(len(keep))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

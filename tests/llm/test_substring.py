@@ -46,3 +46,14 @@ def test_against_brute_force(spark):
         assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == brute(rows)
         assert all(r.runs == 1 and (r.n_repeats > 0) == (r.n_removed > 0) for r in got)
     assert S.dedup(df.limit(0)).count() == 0
+
+
+def test_many_texts_of_one_id(spark):
+    rng = random.Random(5)
+    piece = lambda k: " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
+    shared = [piece(20) for _ in range(40)]
+    text = lambda: " ".join([piece(rng.randrange(40)), *rng.sample(shared, rng.randrange(2)), piece(rng.randrange(40))])
+    rows = [(1, " ".join(shared))] + [(d, text()) for d in (None, 7) for _ in range(1500)]
+    rows += rows[-20:]
+    got = S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), with_text=False).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == brute(rows)
