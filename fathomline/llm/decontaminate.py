@@ -4,7 +4,7 @@ Each shard of documents (a slice of an Arrow batch) gets a suffix array over its
 doubling to the length of the longest benchmark text. Every suffix of every benchmark text is looked up in
 it by binary search, which gives its longest verbatim match and, at window length, all its places. Shards
 need no exchange: the pass over the documents has no shuffle. The benchmark goes out in broadcasts of a
-bounded size, one pass for each block of it; with several blocks, the hit ranges are merged per document.
+bounded size, one pass for each block of it; with several blocks, the hit ranges are merged per row.
 """
 
 from __future__ import annotations
@@ -199,13 +199,13 @@ def _ranges_of(hit: np.ndarray) -> list[dict]:
     return [{"a": a, "b": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _blocks(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of about `chars` characters; the driver holds one at a time."""
+def _blocks(benchmark: DataFrame, chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of blocks of about `chars` characters, and the benchmark in them; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id"), F.col("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     n = max(1, -(-total // chars))
-    for i in range(n):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()] if n > 1 else [(r.item_id, r.text) for r in items.collect()]
+    block = lambda i: items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else items
+    return n, ([(r.item_id, r.text) for r in block(i).collect()] for i in range(n))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -218,23 +218,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
     """
     spark, keep = docs.sparkSession, keep or ["doc_id"]
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = T.StructType([*(slim.schema[c] for c in keep), *T.StructType.fromDDL(SCHEMA)])
+    n, blocks = _blocks(benchmark, block_chars)
+    text = ["_text1", "_text2"] if n > 1 else []
+    if text:
+        slim = slim.withColumns({"_text1": F.xxhash64("text"), "_text2": F.xxhash64(F.lit(17), "text")})
+    schema = T.StructType([*(slim.schema[c] for c in [*keep, *text]), *T.StructType.fromDDL(SCHEMA)])
     parts = []
-    for items in _blocks(benchmark, block_chars):
+    for items in blocks:
         sent = spark.sparkContext.broadcast(Probes(items, window))
-        parts.append(slim.mapInArrow(_scan(sent, keep), schema))
-    if len(parts) == 1:
+        parts.append(slim.mapInArrow(_scan(sent, [*keep, *text]), schema))
+    if n == 1:
         return parts[0]
-    # Several blocks: number the rows the same way in each pass by their content, then merge.
-    key = [F.xxhash64(*keep).alias("_row"), *keep]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    # Several blocks: a row is its kept columns and its text, by two hashes. Equal rows have equal results, so of those
+    # one is kept for each block, with their number, before the blocks' results meet.
+    every = parts[0].withColumn("_block", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        every = every.unionByName(p.withColumn("_block", F.lit(i)))
+    fields = [f.name for f in T.StructType.fromDDL(SCHEMA)]
+    once = every.groupBy(*keep, *text, "_block").agg(*[F.first(c).alias(c) for c in fields], F.count("*").alias("_n"))
     best = F.max_by(F.struct("longest_words", "longest_item", "longest_start"), F.coalesce("longest_words", F.lit(-1)))
     return (
-        every.groupBy(*key)
-        .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("best"), F.count("*").alias("_n"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(parts)).cast("int"))))
+        once.groupBy(*keep, *text)
+        .agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("best"), F.first("_n").alias("_n"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
         .select(*keep, "n_words", "hit", "item_ids", "best.*")
     )
 

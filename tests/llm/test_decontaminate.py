@@ -75,3 +75,17 @@ def test_empty_tables_and_clean(spark):
     assert D.decontaminate(docs.limit(0), none).count() == 0
     bench = spark.createDataFrame([(5, "a b c")], "item_id long, text string")
     assert [tuple(r) for r in D.clean(docs, bench).collect()] == [(2, "q", None)]
+
+
+def test_in_blocks_with_shared_ids(spark):
+    """Different texts under a null and under one repeated doc_id, and equal rows, as one block gives them."""
+    docs, items = cases()
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else d, t) for i, (d, t) in enumerate(docs[:90] + docs[-4:])]
+    rows += [rows[0]] * 20 + rows[:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = D.matches(df, bench, block_chars=400).withColumn("n_hit", D.merged_length("hit")).selectExpr("doc_id", "n_words", "n_hit", "cast(size(item_ids) as long)", "sha2(array_join(item_ids, ','), 256)", "n_hit > 0 and 20 * n_hit >= n_words").collect()
+    want = brute([(i, t) for i, (_, t) in enumerate(rows)], items)
+    assert sorted(map(tuple, got), key=str) == sorted(((d, *want[i]) for i, (d, _) in enumerate(rows)), key=str)
+    packed = df.selectExpr("struct(*) AS _row", "text")
+    assert D.matches(packed, bench, ["_row"], block_chars=400).count() == len(rows)
