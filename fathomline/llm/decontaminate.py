@@ -50,14 +50,15 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of `seq` (values from 0 to 2**21 - 1), in the order of their first `depth` values."""
+    """Starts of the suffixes of `seq` (values from 0 to 2**31 - 2), in the order of their first `depth` values."""
     n = len(seq)
     padded = np.concatenate([seq.astype(np.int64) + 1, np.zeros(2, np.int64)])
-    key = (padded[:n] << 42) | (padded[1 : n + 1] << 21) | padded[2 : n + 2]
+    three = padded.max() < 1 << 21  # three values fit a key, else two
+    key = (padded[:n] << 42) | (padded[1 : n + 1] << 21) | padded[2 : n + 2] if three else (padded[:n] << 32) | padded[1 : n + 1]
     order = np.argsort(key, kind="stable")
     head = np.ones(n, bool)
     head[1:] = key[order[1:]] != key[order[:-1]]
-    done, rank = 3, np.empty(n, np.int64)
+    done, rank = 3 if three else 2, np.empty(n, np.int64)
     while done < depth:
         group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         tied = ~head
@@ -158,8 +159,6 @@ def _longest(seq, place, probe, value, left) -> np.ndarray:
 def _sequence(words: Words, probes: Probes) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers, 0 after each text, and the sorted hashes of the words that have a number from 1."""
     vocab, number = np.unique(words.hashes(), return_inverse=True)
-    if len(vocab) + 2 >= 1 << 21:
-        raise ValueError("a shard has too many different words; lower textbytes.SLICE_BYTES")
     seq = np.zeros(len(words) + len(words.bounds) - 1, np.int64)
     seq[np.arange(len(words)) + words.texts()] = number + 1
     return seq, vocab

@@ -2,7 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from fathomline.llm import decontaminate as D
+from fathomline.llm.textbytes import PLAIN, slices
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -89,3 +93,25 @@ def test_in_blocks_with_shared_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted(((d, *want[i]) for i, (d, _) in enumerate(rows)), key=str)
     packed = df.selectExpr("struct(*) AS _row", "text")
     assert D.matches(packed, bench, ["_row"], block_chars=400).count() == len(rows)
+
+
+def test_text_of_many_different_words():
+    """More different words in one text than fit three to a key."""
+    inside = [f"q{i}" for i in range(40)]
+    items = [(1, " ".join(inside)), (2, "5 6 7 8"), (3, "7 6 5"), (4, " ".join([*inside[:20], "no", *inside[20:]]))]
+    text = " ".join([*map(str, range(1 << 20)), *inside, *map(str, range(1 << 20, (1 << 21) + 100)), *inside[:13]])
+    (_, _, texts), = slices(pa.array([text]))
+    found = D.search(texts.words(PLAIN, lower=True), D.Probes(items, 13))[0]
+    n = (1 << 21) + 100
+    assert np.flatnonzero(found["hit"]).tolist() == [5, 6, 7, 8, *range(1 << 20, (1 << 20) + 40), *range(n + 40, n + 53)]
+    assert found["items"].tolist() == [0, 1, 3] and (found["longest"], found["start"]) == (40, 1 << 20)
+
+
+def test_suffixes_of_wide_values_are_in_order():
+    rng = np.random.default_rng(2)
+    small = rng.integers(0, 3, 300)
+    for depth in (3, 4, 9, 20):
+        for seq in (small, small + (1 << 22)):
+            order = D.suffix_array(seq, depth)
+            keys = [tuple(seq[i : i + depth]) for i in order]
+            assert keys == sorted(keys) and sorted(order) == list(range(300))
