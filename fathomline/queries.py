@@ -655,7 +655,11 @@ def prefilter_ids(spark, sf_dir):
 @query
 def plan_context(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return retrieval.plan_context(t.actions, t.chunks).select("idempotency_key", "cve_id", F.size("context").alias("parts"), F.get("context", 0).alias("first"), F.length("prompt").alias("prompt_chars"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/fathomline-shared")
+    # Both are used several times: computed once, and the plan stays small.
+    actions, chunks = t.actions.checkpoint(), t.chunks.checkpoint()
+    return retrieval.plan_context(actions, chunks).select("idempotency_key", "cve_id", F.size("context").alias("parts"), F.get("context", 0).alias("first"), F.length("prompt").alias("prompt_chars"))
 
 
 # Plans
