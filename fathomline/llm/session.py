@@ -26,6 +26,41 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store through Hadoop's file system, wherever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Tables:
+    """Written tables in a folder of the shared store: they cut the lineage, survive lost executors, and go when dropped."""
+
+    #: Rows of a few longs that make one written file.
+    ROWS = 200_000
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made, self.n = spark, scratch(spark, name), [], 0
+
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df written and read again; with the number of rows at most, in no more files than these need."""
+        if rows is not None:
+            df = df.coalesce(max(1, min(partitions(self.spark), -(-rows // self.ROWS))))
+        path = f"{self.root}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((out, path))
+        return out
+
+    def drop(self, *but: DataFrame, since: int = 0) -> None:
+        """Delete all tables from number `since` on but those given; nothing may read the others any more."""
+        stay = [(df, path) for i, (df, path) in enumerate(self.made) if i < since or any(df is x for x in but)]
+        for df, path in self.made:
+            if not any(path == p for _, p in stay):
+                delete(self.spark, path)
+        self.made = stay
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
