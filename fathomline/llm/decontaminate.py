@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .textbytes import PLAIN, Texts, Words, slices
+from .session import Tables, broadcast_if_small
+from .textbytes import _GRAM_BASES, PLAIN, Texts, Words, _ranges, slices
 
 #: Words of a window. A shorter benchmark text is one window.
 WINDOW = 13
-#: Characters of benchmark text in one broadcast.
+#: Characters of benchmark text in one broadcast, about; results are the same with any number.
 BLOCK_CHARS = 8_000_000
 #: A document is contaminated when at least one in so many of its words is hit.
 ONE_IN = 20
@@ -27,12 +28,12 @@ ONE_IN = 20
 
 
 class Probes:
-    """The words of a block of benchmark texts, as hashes, and where each text starts."""
+    """The words of a block of benchmark texts, as hashes, where each text starts, and the order of their suffixes."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         items = [(i, t) for i, t in items if t]
-        texts = Texts(*_joined([t for _, t in items]))
-        words = texts.words(PLAIN, lower=True)
+        raw = [t.encode() for _, t in items]
+        words = Texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).words(PLAIN, lower=True)
         sizes = words.counts()
         self.ids = [str(i) if i is not None else None for i, _ in items]
         self.hashes = words.hashes()
@@ -42,11 +43,29 @@ class Probes:
         first = np.arange(len(words)) == words.bounds[:-1][self.item]
         self.window = np.where(self.left >= window, window, np.where(first & (size < window), size, 0))
         self.longest = int(sizes.max(initial=0))
-
-
-def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+        self.vocab, number = np.unique(self.hashes, return_inverse=True)
+        self.seq, place = np.zeros(len(words) + len(items), np.int64), np.arange(len(words)) + self.item  # 0 ends a text
+        self.seq[place] = number + 1
+        order = suffix_array(self.seq, max(3, self.longest))
+        self.order = order[self.seq[order] > 0]  # without the ends
+        self.word = np.zeros(len(self.seq), np.int64)
+        self.word[place] = np.arange(len(words))
+        # Equal windows have one number, the least word that starts one; their items follow one another.
+        at = np.flatnonzero(self.window)
+        ends = at + self.window[at]
+        key = np.stack([_ranges(self.hashes, at, ends, b).view(np.int64) for b in _GRAM_BASES] + [self.window[at]], 1)
+        _, least, group = np.unique(key, axis=0, return_index=True, return_inverse=True)
+        self.group = np.full(len(words), -1, np.int64)
+        self.group[at] = at[least][group.ravel()]
+        pair = np.unique(np.stack([self.group[at], self.item[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        self.group_items, self.group_bounds = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(words) + 1))
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The benchmark's numbers of these words, -1 for others."""
+        if not len(self.vocab):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
+        return np.where(self.vocab[at] == hashes, at + 1, -1)
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -84,7 +103,7 @@ def _bound(seq, order, lo, hi, at, value, right: bool):
     n = len(seq)
     while (open_ := lo < hi).any():
         mid = (lo + hi) >> 1
-        place = order[np.minimum(mid, n - 1)] + at
+        place = order[np.minimum(mid, len(order) - 1)] + at
         have = np.where(place < n, seq[np.minimum(place, n - 1)], -1)
         below = (have <= value if right else have < value) & open_
         lo = np.where(below, mid + 1, lo)
@@ -104,8 +123,6 @@ def search(words: Words, probes: Probes) -> dict[int, dict]:
     value = np.where(known, rank + 1, -2)  # 0 ends a text, so words count from 1
     live = np.flatnonzero(known)
     lo, hi = np.zeros(len(live), np.int64), np.full(len(live), n)
-    length = np.zeros(len(value), np.int64)
-    first = np.zeros(len(value), np.int64)
     window_lo, window_hi = np.zeros(len(value), np.int64), np.zeros(len(value), np.int64)
     at = 0
     while len(live):
@@ -115,12 +132,12 @@ def search(words: Words, probes: Probes) -> dict[int, dict]:
         keep = new_lo < new_hi
         live, lo, hi = live[keep], new_lo[keep], new_hi[keep]
         at += 1
-        length[live], first[live] = at, order[lo] if len(lo) else 0
         full = probes.window[live] == at
         window_lo[live[full]], window_hi[live[full]] = lo[full], hi[full]
         more = probes.left[live] > at
         live, lo, hi = live[more], lo[more], hi[more]
     found = np.flatnonzero(window_hi > window_lo)
+    found = found[probes.group[found] == found]  # of equal windows one
     out: dict[int, dict] = {}
     if not len(found):
         return out
@@ -129,8 +146,9 @@ def search(words: Words, probes: Probes) -> dict[int, dict]:
     place = order[np.repeat(window_lo[found], many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
     text_start = words.bounds[:-1] + np.arange(len(counts))  # in seq, where each text is followed by one end mark
     doc = np.searchsorted(text_start, place, "right") - 1
-    by = np.argsort(doc, kind="stable")
+    by = np.lexsort((place, doc))
     cuts = np.flatnonzero(np.diff(doc[by])) + 1
+    size, item = _longest(words, probes, place - doc)
     for group in np.split(by, cuts):
         d = int(doc[group[0]])
         probe, start = which[group], place[group] - text_start[d]
@@ -138,22 +156,30 @@ def search(words: Words, probes: Probes) -> dict[int, dict]:
         np.add.at(edge, start, 1)
         np.add.at(edge, start + probes.window[probe], -1)
         hit = np.cumsum(edge[:-1]) > 0
-        # A probe's longest match in the shard may lie in another text; in this one it is measured word by word.
-        best = _longest(seq, text_start[d] + start, probe, value, probes.left)
-        k = int(np.argmax(best))
-        out[d] = {"hit": hit, "items": np.unique(probes.item[probe]), "longest": int(best[k]), "item": int(probes.item[probe[k]]), "start": int(start[k])}
+        items = [probes.group_items[probes.group_bounds[g] : probes.group_bounds[g + 1]] for g in np.unique(probe)]
+        k = int(np.argmax(size[group]))
+        out[d] = {"hit": hit, "items": np.unique(np.concatenate(items)), "longest": int(size[group[k]]), "item": int(item[group[k]]), "start": int(start[k])}
     return out
 
 
-def _longest(seq, place, probe, value, left) -> np.ndarray:
-    size, live = np.zeros(len(place), np.int64), np.arange(len(place))
+def _longest(words: Words, probes: Probes, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of these words of the shard the length of the longest match from it on, and its item: a search in the benchmark's suffixes."""
+    value = probes.numbers(words.hashes())
+    end = np.repeat(words.bounds[1:], words.counts())[word]
+    live, at = np.arange(len(word)), 0
+    lo, hi = np.zeros(len(word), np.int64), np.full(len(word), len(probes.order))
+    size, item = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
     while len(live):
-        p, q = place[live] + size[live], probe[live] + size[live]
-        same = (size[live] < left[probe[live]]) & (p < len(seq))
-        same &= seq[np.minimum(p, len(seq) - 1)] == value[np.minimum(q, len(value) - 1)]
-        live = live[same]
-        size[live] += 1
-    return size
+        want = value[word[live] + at]
+        new_lo = _bound(probes.seq, probes.order, lo, hi, at, want, False)
+        new_hi = _bound(probes.seq, probes.order, new_lo, hi, at, want, True)
+        keep = (new_lo < new_hi) & (want > 0)
+        live, lo, hi = live[keep], new_lo[keep], new_hi[keep]
+        at += 1
+        size[live], item[live] = at, probes.item[probes.word[probes.order[lo]]] if len(lo) else 0
+        more = word[live] + at < end[live]
+        live, lo, hi = live[more], lo[more], hi[more]
+    return size, item
 
 
 def _sequence(words: Words, probes: Probes) -> tuple[np.ndarray, np.ndarray]:
@@ -200,10 +226,10 @@ def _ranges_of(hit: np.ndarray) -> list[dict]:
 
 def _blocks(benchmark: DataFrame, chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
     """The number of blocks of about `chars` characters, and the benchmark in them; the driver holds one at a time."""
-    items = benchmark.select(F.col("item_id"), F.col("text")).where(F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id"), F.col("text")).where(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     n = max(1, -(-total // chars))
-    block = lambda i: items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else items
+    block = lambda i: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items
     return n, ([(r.item_id, r.text) for r in block(i).collect()] for i in range(n))
 
 
@@ -213,7 +239,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
     hit: ranges of words inside an occurrence of a benchmark window, as (a, b) with b exclusive. item_ids: the items
     with an occurring window, sorted as strings. longest_*: the longest verbatim match among them and its place.
     Null and empty texts have no words; items without words or with a null text match nothing; an item with a
-    null id hits words but isn't listed. Repeated rows each give a row. Other columns of either table don't matter.
+    null id hits words but isn't listed. Repeated rows each give a row. Other columns of either table don't matter. A
+    text of any length is one part of a shard, and is indexed whole.
     """
     spark, keep = docs.sparkSession, keep or ["doc_id"]
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
@@ -251,9 +278,9 @@ def merged_length(ranges: str) -> F.Column:
     return F.aggregate(F.array_sort(ranges), start, step)["n"]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """matches() with the verdict: n_words, n_hit, n_items, items_sha256, contaminated, and where the longest match is."""
-    found = matches(docs, benchmark, keep)
+    found = matches(docs, benchmark, keep, block_chars=block_chars)
     keep = keep or ["doc_id"]
     return found.withColumn("n_hit", merged_length("hit")).select(
         *keep, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
@@ -261,7 +288,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows, all columns kept."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return decontaminate(packed, benchmark, ["_row"]).where(~F.col("contaminated")).select("_row.*")
+def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the contaminated rows, all columns kept, whatever their names and types; equal rows go or stay together."""
+    if _blocks(benchmark, block_chars)[0] == 1:
+        packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+        return decontaminate(packed, benchmark, ["_row"], block_chars).where(~F.col("contaminated")).select("_row.*")
+    # Rows' other columns don't go through the merge of several blocks: a row's fate depends on its text alone.
+    hashes = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(17), "text").alias("_h2")]
+    keys = docs.select("text", *hashes)
+    gone = decontaminate(keys, benchmark, ["_h1", "_h2"], block_chars).where("contaminated").select("_h1", "_h2").distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), hashes[0].alias("_t1"), hashes[1].alias("_t2"))
+    gone = broadcast_if_small(Tables(docs.sparkSession, "contaminated").keep(gone))
+    return packed.join(gone, (F.col("_t1") == F.col("_h1")) & (F.col("_t2") == F.col("_h2")), "left_anti").select("_row.*")

@@ -115,3 +115,38 @@ def test_suffixes_of_wide_values_are_in_order():
             order = D.suffix_array(seq, depth)
             keys = [tuple(seq[i : i + depth]) for i in order]
             assert keys == sorted(keys) and sorted(order) == list(range(300))
+
+
+def test_longest_matches_and_equal_windows():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        word = lambda k: [f"w{i}" for i in rng.integers(0, 4, k)]
+        items = [(i, " ".join(word(rng.integers(3, 30)))) for i in range(8)]
+        items += [(20 + i, items[i][1] + " w9 " + items[0][1]) for i in range(3)]
+        docs = [" ".join(word(60)) + " " + items[rng.integers(len(items))][1] for _ in range(3)]
+        ((_, _, texts),) = slices(pa.array(docs))
+        found = D.search(texts.words(PLAIN, lower=True), D.Probes(items, 5))
+        for d, text in enumerate(docs):
+            w, best = text.split(), 0
+            for _, t in items:
+                v = t.split()
+                for a in range(len(w)):
+                    for b in range(len(v)):
+                        k = 0
+                        while a + k < len(w) and b + k < len(v) and w[a + k] == v[b + k]:
+                            k += 1
+                        best = max(best, k)
+            if best >= 5:
+                r = found[d]
+                assert r["longest"] == best and " ".join(w[r["start"] : r["start"] + best]) in items[r["item"]][1]
+
+
+def test_clean_in_blocks_with_any_columns(spark):
+    docs, items = cases()
+    df = spark.createDataFrame(docs + docs[:9], "doc_id long, text string").selectExpr("*", "map('a', doc_id) AS _row", "1 AS _h1", "doc_id AS n_words").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (D.clean(df, bench, block_chars=n) for n in (8_000_000, 400))
+    assert one.columns == many.columns == df.columns
+    ids = lambda x: sorted(r.doc_id for r in x.select("doc_id").collect())
+    want = brute(docs, items)
+    assert ids(one) == ids(many) == sorted(d for d, _ in docs + docs[:9] if not want[d][4])
