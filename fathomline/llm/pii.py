@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 KINDS = ("email", "ip", "card", "phone")
+#: An address' local part; what follows its @; and the other base patterns. A number is tried from its first digit
+#: only: from a later one it could match no more. So the work is in proportion to the text, whatever its runs.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -35,19 +38,29 @@ def luhn(digits: str) -> bool:
 def holds(kind: str, found: str) -> bool:
     if kind == "ip":
         return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
-    if kind == "email":
-        return True
     digits = _NOT_DIGIT.sub("", found)
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
-def matches(text: str) -> list[tuple[int, int, str]]:
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that don't overlap: from each @ back to the first sign that a local part can't have, and on over the host."""
+    low = 0  # no address starts before this
+    at = text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(_LOCAL))
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        low = host.end() if host else at + 1
+        at = text.find("@", low)
+
+
+def matches(text: str) -> list[tuple[int, int, int]]:
     """(kind's number, start, end) of the base patterns; a match that fails its test is dropped and not tried again."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if holds(kind, m.group())]
+    out = [(0, a, b) for a, b in emails(text)]
+    for k, kind in enumerate(KINDS[1:], 1):
+        if kind != "phone" or "+" in text:
+            out += [(k, m.start(), m.end()) for m in BASE[kind].finditer(text) if holds(kind, m.group())]
     return out
 
 
@@ -71,10 +84,10 @@ _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
 #: Three spelled digits (or single ones between them) at least: lone number words are ordinary prose.
 _SPELLED_RUN = re.compile(rf"(?i)(?<![^\W_])(?:plus[ ,.-]+)?(?:{_NUMBER})(?:[ ,.-]{{1,2}}(?:{_NUMBER}|[0-9]|dot|point|punkt|dash|hyphen)){{2,}}(?![^\W_])")
 _TOKEN = re.compile(rf"(?i)plus|{_NUMBER}|[0-9]|dot|point|punkt|dash|hyphen|[ ,.-]+")
-#: name at host dot tld, with or without brackets; bare words only in the whole pattern.
+#: name (of up to nine parts) at host dot tld, with or without brackets; bare words only in the whole pattern.
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*|\s+(?:at|arroba|ät)\s+(?!(?:the|a|an|this|that|my|our|your|his|her|its|their)\s)|\s*@\s*)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\s?\.\s?(?=[A-Za-z0-9-]))"
-_WORDED = re.compile(rf"(?i)[A-Za-z0-9._%+-]+(?:(?:\s+(?:dot|punkt|punto)\s+|\s*[\[({{<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}}>]\s*)[A-Za-z0-9_%+-]+)*(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_WORDED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(?:\s+(?:dot|punkt|punto)\s+|\s*[\[({{<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}}>]\s*)[A-Za-z0-9_%+-]+){{0,8}}(?P<at>{_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 _AT_RE, _DOT_RE = re.compile("(?i)" + _AT), re.compile("(?i)" + _DOT)
 _BRACKETED_DOT = re.compile(r"(?i)(?<=[0-9])\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*(?=[0-9])")
 _SIGNS = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.|arroba|punkt|point|punto|ät)\s*[\])}>]|\s@|@\s")
@@ -221,25 +234,39 @@ FOUND = "spans array<struct<kind: string, start: long, end: long, added: boolean
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.bool_())]))
 
 
-def detect(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span put as its kind in angle brackets; of spans that overlap, the one that starts first covers the others."""
+    parts, at = [], 0
+    for a, b, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))):
+        if a >= at:
+            parts += [text[at:a], f"<{kind.upper()}>"]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def detect(docs: DataFrame, keep: list[str] | None = None, with_masked: bool = False) -> DataFrame:
     """`keep` columns of docs (default: doc_id) and FOUND: all spans by start, then kind as in KINDS.
 
     Offsets are code points, the end exclusive. Null and empty texts have no spans; every row gives one row; other
-    columns don't matter. A span is added when its source characters overlap no base span of any kind.
+    columns don't matter. A span is added when its source characters overlap no base span of any kind. Texts of any
+    length are read whole, in time in proportion. with_masked adds the text with its spans masked, null without spans.
     """
     keep = keep or ["doc_id"]
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, texts = [], []
             for t in batch.column("text"):
-                base, added = find(t.as_py() or "")
+                text = t.as_py() or ""
+                base, added = find(text)
                 both = sorted([(a, KINDS.index(k), b, k, False) for a, b, k in base] + [(a, KINDS.index(k), b, k, True) for a, b, k in added]) if base or added else ()
                 rows.append([{"kind": k, "start": a, "end": b, "added": new} for a, _, b, k, new in both])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, _SPANS)], names=[*keep, "spans"])
+                texts.append(masked(text, base + added) if with_masked and both else None)
+            more = [pa.array(texts, pa.string())] if with_masked else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, _SPANS), *more], names=[*keep, "spans", *["masked"] * with_masked])
 
-    return slim.mapInArrow(run, T.StructType([*(slim.schema[c] for c in keep), *T.StructType.fromDDL(FOUND)]))
+    return slim.mapInArrow(run, T.StructType([*(slim.schema[c] for c in keep), *T.StructType.fromDDL(FOUND + ", masked string" * with_masked)]))
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -253,16 +280,10 @@ def digests(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets, and n_chars, where there is one, brought up to date."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    found = detect(packed, ["_row"])
-    # Spans of different kinds may overlap; what lies in an earlier one is part of it.
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    source = F.col("_row.text")
-    step = lambda s, x: F.when(x["start"] < s["at"], F.struct(s["text"].alias("text"), F.greatest(s["at"], x["end"]).alias("at"))).otherwise(F.struct(F.concat(s["text"], F.substring(source, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("text"), x["end"].alias("at")))
-    masked = F.aggregate("spans", start, step, lambda s: F.concat(s["text"], F.substring(source, (s["at"] + 1).cast("int"), F.length(source))))
-    text = F.when(F.size("spans") > 0, masked).otherwise(source)
-    out = found.select("_row", text.alias("_text"))
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*(new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns))
+    found = detect(packed, ["_row"], with_masked=True)
+    text = F.coalesce("masked", F.col("_row.text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*(new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def base_digest(text: str) -> str:
