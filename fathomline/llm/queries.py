@@ -17,7 +17,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_edited(token_counts.clean_up_edits(table(spark, sf_dir, "documents")))
+    return token_counts.count_clean_up(table(spark, sf_dir, "documents"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
