@@ -41,6 +41,31 @@ def test_recall_and_ties(spark):
     assert all(scores.get((q, a), s) == s for q, best in got.items() for a, s in best)
 
 
+def test_only_visited_cells_are_scored(spark):
+    """On clustered vectors a query is compared with a small part of all, in few shards, and finds its neighbours."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 16))
+    x = (centres[np.arange(6000) % 60] + 0.1 * rng.standard_normal((6000, 16))).tolist()
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").repartition(3)
+    asked = A.usable(df.where("vec_id % 50 = 0"))
+    index, entries = A.build(A.usable(df))
+    for block in (A.BLOCK, 10):  # many tasks for one shard give the same
+        per = A.compare(entries, asked, index, shard=500, block=block).groupBy("query_id").agg(A.F.sum("scored").alias("scored"), A.F.count("*").alias("shards")).toPandas()
+        assert len(per) == 120 and per.scored.mean() < 0.15 * 6000 and per.shards.mean() < 8
+        got, want = found(spark, df, shard=500, block=block), brute(list(enumerate(x)))
+        assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 5 for q in want]) >= 0.9
+    first, parts = index.shards(500)
+    assert (first[1:] >= first[:-1]).all() and all(index.counts[first == s].sum() <= 500 for s in set(first[parts == 1].tolist()))
+
+
+def test_lengths(spark):
+    rows = [(i, [float(i % 7 - 3.5)]) for i in range(200)] + [(500, [1.0, 2.0]), (550, []), (600, [1.0] * 9)]
+    got = found(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert set(got) == {0, 50, 100, 150} and all(s == 1.0 for best in got.values() for _, s in best)
+    twice = spark.createDataFrame([(50, [3.0, 1.0]), (50, [1.0, 3.0]), (1, [1.0, 3.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [a for a, _ in found(spark, twice)[50]] == [1, 2]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(50, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [a for a, _ in found(spark, df)[50]] == [1, 2]
