@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Fixed value: the form of an id.
 CVE_ID = r"(?i)(CVE-\d{4}-\d{4,})"
 # The forms of a version in prose, with guards so that no part of a longer token counts.
 _HEAD, _TAIL = r"(?<![\w.])", r"(?![\w-])(?!\.\w)"
@@ -19,6 +20,7 @@ def cve_ids(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CVE_ID), 1), lambda m: F.upper(m))))
 
 
+# The address ranges below.
 def _private(v: Column) -> Column:
     """Loopback, private, link-local, unspecified and mask addresses; other dotted quads may be versions."""
     part = lambda i: F.try_element_at(F.split(v, r"\."), F.lit(i)).try_cast("int")
@@ -64,25 +66,51 @@ def _last(window: Column, sep: str) -> Column:
 
 
 def split_long(text: Column, most: int = 1400, overlap: int = 150) -> Column:
-    """Parts of at most `most` characters that overlap by `overlap`, each ending after the last sentence, line or space past its half, else cut hard; trimmed, without empty ones."""
-    n = F.length(text)
-    steps = (n / (most // 2 - overlap)).cast("int") + 2
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"), F.lit(False).alias("done"))
-
-    def step(s, _):
-        window = F.substring(text, s["at"] + 1, F.lit(most))
-        cut = F.lit(most)
-        for sep in (" ", "\n", ". "):
-            place = _last(window, sep)
-            cut = F.when(place > most * 0.5, place + len(sep)).otherwise(cut)
-        end = F.when(s["at"] + most >= n, n).otherwise(s["at"] + cut)
-        part = F.btrim(F.substring(text, s["at"] + 1, end - s["at"]), F.lit(" \n\t\r"))
-        done = end >= n
-        new = F.struct(F.when(done, s["at"]).otherwise(F.greatest(end - overlap, s["at"] + 1)).alias("at"), F.concat(s["parts"], F.array(part)).alias("parts"), done.alias("done"))
-        return F.when(s["done"], s).otherwise(new)
-
-    many = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: F.filter(s["parts"], lambda p: p != ""))
-    return F.when(n <= most, F.array(text)).otherwise(many)
+    """Parts of at most `most` characters that overlap by `overlap`, each ending after the last sentence, line or space past its half, else cut hard; trimmed, without empty ones.
+
+    The work is in proportion to the text: a part is taken from pieces of a fixed size, and parts are gathered in two
+    levels, so that no step copies what all steps before it made.
+    """
+    size = 2 * most
+    least = most // 2 - overlap  # a step moves on by so much at least
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), 0)
+
+    def spread(s):
+        n, pieces = s["n"], s["pieces"]
+
+        def window(at):
+            """`most` characters from `at` on: they lie in two neighbouring pieces."""
+            k = (at / size).cast("int")
+            return F.substring(F.concat(F.get(pieces, k), F.coalesce(F.get(pieces, k + 1), F.lit(""))), at - k * size + 1, F.lit(most))
+
+        def cut(w):
+            end = F.lit(most)
+            for sep in (" ", "\n", ". "):
+                place = _last(w, sep)
+                end = F.when(place > most * 0.5, place + len(sep)).otherwise(end)
+            return end
+
+        def step(t, _):
+            def move(w):
+                end = F.when(t["at"] + most >= n, n).otherwise(t["at"] + cut(w))
+                part = F.btrim(F.substring(w, F.lit(1), end - t["at"]), F.lit(" \n\t\r"))
+                done = end >= n
+                return F.struct(F.when(done, t["at"]).otherwise(F.greatest(end - overlap, t["at"] + 1)).alias("at"), F.concat(t["parts"], F.array(part)).alias("parts"), done.alias("done"))
+
+            return F.when(t["done"], t).otherwise(F.get(F.transform(F.array(window(t["at"])), move), 0))
+
+        none = F.array().cast("array<string>")
+        inner = F.sequence(F.lit(1), F.ceil(F.sqrt(n / least)).cast("int") + 1)
+
+        def row(t, _):
+            start = F.struct(t["at"].alias("at"), none.alias("parts"), t["done"].alias("done"))
+            return F.when(t["done"], t).otherwise(F.aggregate(inner, start, step, lambda x: F.struct(x["at"].alias("at"), F.concat(t["rows"], F.array(x["parts"])).alias("rows"), x["done"].alias("done"))))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("rows"), F.lit(False).alias("done"))
+        return F.filter(F.flatten(F.aggregate(inner, start, row, lambda x: x["rows"])), lambda p: p != "")
+
+    once = F.array(F.struct(F.length(text).alias("n"), pieces.alias("pieces")))  # made once, not at each use
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.get(F.transform(once, spread), 0))
 
 
 def split_table(rows: DataFrame, key: str, text: str, most: int = 1400, overlap: int = 150) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.versions import version_key
 
 GROUP = ["owner_team", "owner_email", "package_name", "os_family", "risk_band", "has_fix"]
+#: Bands by urgency.
+URGENCY = "CASE risk_band WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
 #: Hosts that a wide row carries; all are in the link table.
 HOSTS = 200
 
@@ -21,17 +23,28 @@ def title(version: Column) -> Column:
     return F.concat(F.lit("["), F.upper("risk_band"), F.lit("] Upgrade "), "package_name", target, F.lit(" on "), hosts)
 
 
+#: What correlation reads of the view.
+USED = ["asset_id", "hostname", "environment", "internet_facing", "owner_team", "owner_email", "package_name", "os_family", "risk_band", "risk_score", "epss_score", "due_date", "cve_id", "kev_listed", "installed_version", "fixed_version"]
+
+
 def groups(view: DataFrame) -> DataFrame:
-    """Open findings by team, package, system, band and whether there is a fix; hosts are counted in two levels, so nothing is expanded."""
+    """Open findings by team, package, system, band and whether there is a fix; with the versions that its ids ask for.
+
+    Hosts and ids come down to one row of a group each first, and hosts beyond the HOSTS first never enter a list. The
+    three kinds of rows then meet in one aggregation, which combines them before its exchange; null keys are keys.
+    """
     rows = view.withColumn("has_fix", F.col("fixed_version").isNotNull())
-    per_asset = rows.groupBy(*GROUP, "asset_id").agg(
-        F.min("due_date").alias("due_date"), F.max("risk_score").alias("score"), F.max("epss_score").alias("epss"), F.min("installed_version").alias("installed"), F.first("hostname").alias("hostname"), F.first("environment").alias("environment"), F.max("internet_facing").alias("inet"),
-        F.collect_set("cve_id").alias("cves"), F.array_compact(F.collect_set(F.when(F.col("kev_listed"), F.col("cve_id")))).alias("kevs"), F.count("*").alias("n"),
+    host = rows.groupBy(*GROUP, "asset_id").agg(
+        F.min("due_date").alias("due_date"), F.max("risk_score").alias("score"), F.max("epss_score").alias("epss"), F.min("installed_version").alias("installed"), F.first("environment").alias("environment"), F.max("internet_facing").alias("inet"), F.count("*").alias("n"),
     )
-    return per_asset.groupBy(*GROUP).agg(
-        F.min("due_date").alias("due_date"), F.max("score").alias("max_risk_score"), F.count("*").alias("asset_count"), F.count_if("inet").alias("internet_facing_count"), F.count_if(F.col("environment") == "prod").alias("prod_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("cves")))).alias("cve_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kevs")))).alias("kev_cve_ids"), F.sum("n").alias("finding_count"),
-        F.slice(F.array_sort(F.collect_set("hostname")), 1, HOSTS).alias("hostnames"), F.array_sort(F.collect_set("environment")).alias("environments"), F.max("epss").alias("max_epss"), F.min("installed").alias("installed_version"),
+    first = rows.select(*GROUP, "hostname").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*GROUP).orderBy("hostname"))).where(F.col("_n") <= HOSTS).drop("_n")
+    met = host.withColumn("host", F.lit(1)).unionByName(first, allowMissingColumns=True).unionByName(requirements(view), allowMissingColumns=True)
+    hosts = lambda c: F.count_if((F.col("host") == 1) & c)
+    return met.groupBy(*GROUP).agg(
+        F.min("due_date").alias("due_date"), F.max("score").alias("max_risk_score"), F.count("host").alias("asset_count"), hosts(F.col("inet")).alias("internet_facing_count"), hosts(F.col("environment") == "prod").alias("prod_count"),
+        F.array_sort(F.collect_list("cve_id")).alias("cve_ids"), F.array_sort(F.collect_list(F.when(F.col("kev_listed"), F.col("cve_id")))).alias("kev_cve_ids"), F.sum("n").alias("finding_count"),
+        F.array_sort(F.collect_list("hostname")).alias("hostnames"), F.array_sort(F.collect_set("environment")).alias("environments"), F.max("epss").alias("max_epss"), F.min("installed").alias("installed_version"),
+        F.array_sort(F.collect_list(F.when(F.col("required_version").isNotNull(), F.struct("cve_id", "required_version")))).alias("asked"),
     )
 
 
@@ -42,22 +55,26 @@ def package_targets(view: DataFrame) -> DataFrame:
 
 
 def requirements(view: DataFrame) -> DataFrame:
-    """The version that each id asks for in a group: of several, the last as text."""
-    rows = view.withColumn("has_fix", F.col("fixed_version").isNotNull()).where("has_fix")
-    return rows.groupBy(*GROUP, "cve_id").agg(F.max("fixed_version").alias("required_version"))
+    """Each id of a group, whether it is listed, and the version that it asks for there: of several, the last as text."""
+    rows = view.withColumn("has_fix", F.col("fixed_version").isNotNull())
+    return rows.groupBy(*GROUP, "cve_id").agg(F.max("fixed_version").alias("required_version"), F.max("kev_listed").alias("kev_listed"))
+
 
+def fix_actions(view: DataFrame, bands: list[str] | None = None, teams: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """groups() with target, requirements, key and title; targets come from all bands, filters apply after.
 
-def fix_actions(view: DataFrame, bands: list[str] | None = None, teams: list[str] | None = None) -> DataFrame:
-    """groups() with target, requirements, key and title; targets come from all bands, filters apply after."""
+    With a limit the most urgent ones: by band, due date, score and key. The view is read several times: a written one is best.
+    """
     shown = view
     if bands:
         shown = shown.where(F.col("risk_band").isin(bands))
     if teams:
         shown = shown.where(F.col("owner_team").isin(teams))
-    asked = requirements(shown).groupBy(*GROUP).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cve_id", "required_version")))).alias("version_requirements"))
-    found = groups(shown).join(asked, GROUP, "left").join(package_targets(view), ["owner_team", "package_name", "os_family"], "left")
+    found = groups(shown).join(package_targets(view), ["owner_team", "package_name", "os_family"], "left")
     fixed = F.when(F.col("has_fix"), F.col("target_version"))
-    return found.withColumns({"fixed_version": fixed, "idempotency_key": action_key(F.col("has_fix")), "title": title(fixed)}).drop("target_version")
+    asked = F.when(F.col("has_fix"), F.map_from_entries("asked"))
+    out = found.withColumns({"fixed_version": fixed, "version_requirements": asked, "idempotency_key": action_key(F.col("has_fix")), "title": title(fixed)}).drop("target_version", "asked")
+    return out.orderBy(F.expr(URGENCY), "due_date", F.desc("max_risk_score"), "idempotency_key").limit(limit) if limit is not None else out
 
 
 def action_summary(actions: DataFrame) -> DataFrame:
@@ -70,11 +87,8 @@ def reduction_ladder(view: DataFrame) -> DataFrame:
     """How many tickets each candidate key would make."""
     rows = view.withColumn("fix", F.coalesce("fixed_version", F.lit(""))).withColumn("has_fix", F.col("fixed_version").isNotNull())
     keys = {"finding": ["finding_id"], "host_package_fix": ["hostname", "package_name", "fix"], "team_package_fix_band": ["owner_team", "package_name", "fix", "risk_band"], "team_package_band_hasfix": ["owner_team", "package_name", "risk_band", "has_fix"], "with_os": ["owner_team", "package_name", "os_family", "risk_band", "has_fix"]}
-    out = None
-    for name, cols in keys.items():
-        one = rows.select(*cols).distinct().agg(F.count("*").alias("tickets")).select(F.lit(name).alias("key"), "tickets")
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = rows.agg(*(F.count_distinct(F.struct(*cols)).alias(name) for name, cols in keys.items()))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("key"), F.col(n).alias("tickets")) for n in keys))).alias("x")).select("x.*")
 
 
 def mixed_bands(view: DataFrame) -> DataFrame:
@@ -83,9 +97,8 @@ def mixed_bands(view: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("groups"), F.count_if(F.col("bands") > 1).alias("mixed"), F.max("spread").alias("max_spread_days"))
 
 
-def target_violations(view: DataFrame) -> DataFrame:
-    """Actions whose target is below a requirement, is of another system's packaging, or whose key isn't their own."""
-    actions = fix_actions(view)
+def target_violations(actions: DataFrame) -> DataFrame:
+    """Actions (fix_actions()' columns) whose target is below a requirement, is of another system's packaging, or whose key isn't their own."""
     marks = {"debian": r"\+deb", "rhel": r"\.el[0-9]", "alpine": r"-r[0-9]+$"}
     foreign = F.lit(False)
     for own in marks:
@@ -94,5 +107,5 @@ def target_violations(view: DataFrame) -> DataFrame:
                 foreign = foreign | ((F.col("os_family") == own) & F.col("fixed_version").rlike(mark))
     low = F.exists(F.map_values("version_requirements"), lambda v: version_key(v) > version_key(F.col("fixed_version")))
     per_key = actions.groupBy("idempotency_key").agg(F.count("*").alias("_same"))
-    found = actions.join(per_key, "idempotency_key").select("idempotency_key", F.when(F.coalesce(low, F.lit(False)), "below_requirement").when(F.coalesce(foreign, F.lit(False)), "foreign_system").when(F.col("_same") > 1, "shared_key").alias("violation"))
+    found = actions.join(per_key, "idempotency_key").select("idempotency_key", *GROUP, F.when(F.coalesce(low, F.lit(False)), "below_requirement").when(F.coalesce(foreign, F.lit(False)), "foreign_system").when(F.col("_same") > 1, "shared_key").alias("violation"))
     return found.where("violation IS NOT NULL")
