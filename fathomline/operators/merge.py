@@ -45,6 +45,24 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], rules: dict[str
     return both.select(*out)
 
 
+def write_partitions(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Set-based table sink: of a table partitioned by columns, the partitions that rows has are replaced, the others stay. Writing again changes nothing."""
+    rows.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+
+
+def ranked(rows: DataFrame, key: Column, name: str, into: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with their rank by key (equal keys share one) as column `name`, without putting all in one task.
+
+    Keys are dealt out in ranges, ranked inside these, and moved on by what the ranges before hold. `into` writes a
+    table and reads it again: the ranges must stay as they are.
+    """
+    dealt = into(rows.withColumn("_key", key).repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # a row for each range
+    inside = Window.partitionBy("_part").orderBy("_key")
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.rank().over(inside) + F.col("_before")).drop("_part", "_key", "_before")
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key: the first in an order that leaves no ties open."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

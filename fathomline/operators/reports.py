@@ -89,11 +89,19 @@ def overview(view: DataFrame, actions: DataFrame) -> DataFrame:
     return v.crossJoin(a).withColumn("reduction", F.round(F.col("open_findings") / F.col("actions"), 1))  # one row each
 
 
+SHOWN_HOSTS = 20
+
+
 def plan_flags(actions: DataFrame, plans: DataFrame) -> DataFrame:
-    """Actions with whether a plan for their package and version exists, and whether one is grounded."""
+    """Actions, with their first hosts, whether a plan for their package and version exists, and whether one is grounded."""
     known = plans.groupBy(F.col("package_name").alias("_p"), F.col("fixed_version").alias("_v")).agg(F.max("grounded").alias("plan_grounded"))
     rows = actions.join(known, (F.col("package_name") == F.col("_p")) & F.col("fixed_version").eqNullSafe(F.col("_v")), "left")
-    return rows.withColumns({"has_plan": F.col("_p").isNotNull(), "plan_grounded": F.coalesce("plan_grounded", F.lit(False))}).drop("_p", "_v")
+    return rows.withColumns({"has_plan": F.col("_p").isNotNull(), "plan_grounded": F.coalesce("plan_grounded", F.lit(False)), "hostnames": F.slice("hostnames", 1, SHOWN_HOSTS)}).drop("_p", "_v")
+
+
+def plan_by_id(plans: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The plans with the ids in wanted (plan_id)."""
+    return plans.join(wanted.select("plan_id").distinct(), "plan_id", "left_semi")
 
 
 def plan_list(plans: DataFrame, grounded_only: bool = True, limit: int = 50) -> DataFrame:

@@ -96,6 +96,23 @@ def factors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("factors", F.struct(parts.alias("components"), floor.alias("band_floor")))
 
 
+def factors_json(rows: DataFrame) -> DataFrame:
+    """finding_id, policy_version and factors as JSON text; what is null isn't written."""
+    return factors(rows).select("finding_id", F.lit(POLICY).alias("policy_version"), F.to_json("factors").alias("factors"))
+
+
+_OLD = "components map<string, map<string, string>>, band_floor_rule string, scored_band string, sla struct<rule: string, kev_deadline_passed: boolean, kev_due_date: string>"
+
+
+def reshape_factors(factors: Column) -> Column:
+    """Factors of the old shape, as JSON text, in the new one: no `max` in the components, the floor's rule and band in one struct, flags of the date only where they hold."""
+    old = F.from_json(factors, _OLD)
+    parts = F.transform_values(old["components"], lambda _, v: F.map_filter(v, lambda k, _: k != "max"))
+    floor = F.when(old["band_floor_rule"].isNotNull(), F.struct(old["band_floor_rule"].alias("rule"), old["scored_band"].alias("scored_band")))
+    sla = F.when(old["sla"].isNotNull(), F.struct(old["sla"]["rule"].alias("rule"), F.when(old["sla"]["kev_deadline_passed"], F.lit(True)).alias("kev_deadline_passed"), old["sla"]["kev_due_date"].alias("kev_due_date")))
+    return F.when(old["components"].isNotNull(), F.to_json(F.struct(parts.alias("components"), floor.alias("band_floor"), sla.alias("sla")))).otherwise(factors)
+
+
 def explain(rows: DataFrame) -> DataFrame:
     """Each finding's components as rows, with the total added up anew."""
     pair = lambda n, c, r: F.struct(F.lit(n).alias("component"), F.col(c).alias("points"), F.col(r).cast("string").alias("reason"))

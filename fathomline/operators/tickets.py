@@ -86,6 +86,11 @@ def closable(filed: DataFrame, ticket_links: DataFrame, findings: DataFrame) ->
     return filed.where("state = 'open'").join(per, "idempotency_key").select("idempotency_key", "title", "total")
 
 
+def close(filed: DataFrame, done: DataFrame) -> DataFrame:
+    """filed with the tickets in done (closable()'s) closed; closing again changes nothing."""
+    return merge(filed, done.select("idempotency_key", F.lit("closed").alias("state")), ["idempotency_key"], {"state": "replace"}, insert=False)
+
+
 def tracker_payload(tickets: DataFrame, project: str = "SEC") -> DataFrame:
     """The fields of two kinds of trackers, as JSON text; sending them isn't done here."""
     tidy = F.transform("labels", lambda x: F.replace(F.replace(x, F.lit(":"), F.lit("-")), F.lit(" "), F.lit("-")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .merge import merge
 
@@ -44,7 +44,21 @@ def run_outcomes(runs: DataFrame) -> DataFrame:
     return out.withColumn("grounded_rate", F.round(F.col("grounded") / F.greatest(F.col("grounded") + F.col("ungrounded"), F.lit(1)), 3))
 
 
+def draft_markdown(draft: Column) -> Column:
+    """A drafted plan (summary, steps, commands, compensating_controls, rollback, requires_reboot) as markdown."""
+    # The headings.
+    part = lambda title, text: F.concat(F.lit(f"**{title}**\n"), text)
+    filled = lambda a: F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0
+    steps = F.array_join(F.transform(draft["steps"], lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n")
+    other = draft["compensating_controls"]
+    return F.concat_ws(
+        "\n\n", draft["summary"], F.when(filled(draft["steps"]), part("Steps", steps)), F.when(filled(draft["commands"]), part("Commands", F.concat(F.lit("```bash\n"), F.array_join(draft["commands"], "\n"), F.lit("\n```")))),
+        F.when(F.coalesce(other, F.lit("")) != "", part("Compensating controls", other)), part("Rollback", draft["rollback"]), F.when(draft["requires_reboot"], F.lit("_Requires a reboot._")),
+    )
+
+
 def failures(runs: DataFrame, n: int = 15) -> DataFrame:
+    """The first runs that neither made a plan nor found one."""
     return runs.where(~F.col("status").isin("grounded", "cached")).orderBy("idempotency_key").limit(n)
 
 
@@ -52,15 +66,17 @@ def token_estimate(prompt: str, reserved: int = 1500) -> F.Column:
     return (F.length(prompt) / 3.7).cast("long") + reserved
 
 
-def budget_cut(rows: DataFrame, budget: int, buckets: int = 256) -> DataFrame:
+def budget_cut(rows: DataFrame, budget: int) -> DataFrame:
     """rows (idempotency_key, urgency, due_date, tokens) with the running sum in the order of urgency and whether it stays within the budget.
 
-    Sums per urgency come first, so only rows of equal urgency are put in order together.
+    Sums per urgency and due date come first, so only rows that are equal in both are put in order together.
     """
-    per = rows.groupBy("urgency").agg(F.sum("tokens").alias("_sum"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(F.desc("urgency")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("urgency", "_before")
-    inside = Window.partitionBy("urgency").orderBy("due_date", "idempotency_key").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(before, "urgency").withColumn("running", F.col("_before") + F.sum("tokens").over(inside)).drop("_before")
+    level = ["urgency", "due_date"]
+    per = rows.groupBy(*level).agg(F.sum("tokens").alias("_sum"))
+    before = per.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(F.desc("urgency"), "due_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("urgency").alias("_u"), F.col("due_date").alias("_d"), "_before")
+    inside = Window.partitionBy(*level).orderBy("idempotency_key").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(before, F.col("urgency").eqNullSafe(F.col("_u")) & F.col("due_date").eqNullSafe(F.col("_d"))).drop("_u", "_d")
+    out = met.withColumn("running", F.col("_before") + F.sum("tokens").over(inside)).drop("_before")
     return out.withColumn("planned", F.col("running") <= budget)
 
 

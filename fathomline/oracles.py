@@ -123,11 +123,11 @@ CHAIN = {
     "led": "SELECT *, ('0x' || substr(idempotency_key, 1, 6))::BIGINT AS n, coalesce(kev_cve_ids[1], cve_ids[1]) AS cve_id FROM actions",
     "plans": """
         SELECT idempotency_key AS plan_id, n, cve_id, package_name, os_family, fixed_version, fixed_version AS target_version, risk_band, max_risk_score, due_date, DATE '1999-01-01' + cast(n % 300 AS INTEGER) AS created_at,
-            NOT (n % 11 = 0 OR (n % 7 = 0 AND fixed_version IS NOT NULL)) AS grounded,
+            NOT (n % 11 = 0 OR n % 17 = 0 OR (n % 7 = 0 AND fixed_version IS NOT NULL AND os_family <> 'debian')) AS grounded,
             coalesce('Upgrade `' || package_name || '` to ' || CASE WHEN n % 7 = 0 THEN fixed_version || '9' ELSE fixed_version END || ' for ' || CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END || '.' || chr(10) || chr(10) || '```bash' || chr(10)
                 || CASE os_family WHEN 'debian' THEN 'apt-get install ' || package_name || '=' WHEN 'rhel' THEN 'dnf install ' || package_name || '-' ELSE 'apk add ' || package_name || '=' END || CASE WHEN n % 7 = 0 THEN fixed_version || '9' ELSE fixed_version END
-                || chr(10) || '```' || chr(10) || chr(10) || 'Rollback to ' || installed_version || '.' || CASE WHEN n % 13 = 0 THEN ' Restart /path/to/app.' ELSE '' END,
-                'No fix is out for ' || CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END || '; isolate the service.' || CASE WHEN n % 13 = 0 THEN ' Restart /path/to/app.' ELSE '' END) AS markdown
+                || chr(10) || '```' || chr(10) || chr(10) || 'Rollback to ' || installed_version || '.' || CASE WHEN n % 13 = 0 THEN ' Restart /path/to/app.' ELSE '' END || CASE WHEN n % 17 = 0 THEN ' Then rm -rf / tmp.' ELSE '' END,
+                'No fix is out for ' || CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END || '; isolate the service.' || CASE WHEN n % 13 = 0 THEN ' Restart /path/to/app.' ELSE '' END || CASE WHEN n % 17 = 0 THEN ' Then rm -rf / tmp.' ELSE '' END) AS markdown
         FROM led""",
     "matched": """
         SELECT a.idempotency_key, p.plan_id, p.grounded, row_number() OVER (PARTITION BY a.idempotency_key ORDER BY p.grounded DESC, p.created_at DESC, p.plan_id) AS place
@@ -174,6 +174,34 @@ def split(source: str, ident: str, text: str) -> str:
 _SHOWN = "finding_id, hostname, owner_team, os_family, cve_id, package_name, installed_version, fixed_version, risk_score, risk_band, due_date, overdue, days_remaining, kev_listed, epss_score, internet_facing, environment"
 _WIDE = "owner_team, owner_email, package_name, os_family, risk_band, has_fix, due_date, max_risk_score, asset_count, internet_facing_count, prod_count, cve_ids, kev_cve_ids, finding_count, hostnames, environments, max_epss, installed_version, fixed_version, idempotency_key, title"
 
+_COUNTS = {
+    "assets": "count(*) FROM assets", "cves": "count(*) FROM cves", "findings": "count(*) FROM findings", "findings_open": "count(*) FROM v", "kev_cves": "count(*) FROM cves WHERE kev_listed", "chunks": "count(*) FROM parts",
+    "plans": "count(*) FROM plans", "plans_grounded": "count(*) FROM plans WHERE grounded", "tickets": "count(*) FROM actions", "fix_actions": "count(*) FROM actions",
+}
+
+
+def _chunked(body: str) -> str:
+    """`body` behind the whole chain and the table `parts` of its chunks."""
+    return sql("", "whole").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + split("whole", "cve_id, header, part, package_name", "body") + "\n" + body
+
+
+def _lexical(source: str, ident: str, which: str) -> str:
+    """Tables q (a query's two words) and s (cover density of each query and document)."""
+    words = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]{1}')".format
+    return f"""
+        WITH w AS (SELECT {ident} AS query_id, unnest(list_distinct({words('text', '{4,}')})) AS x FROM {source} WHERE {which}),
+        q AS (SELECT query_id, max(CASE WHEN i = 1 THEN x END) AS t1, max(CASE WHEN i = 2 THEN x END) AS t2 FROM (SELECT query_id, x, row_number() OVER (PARTITION BY query_id ORDER BY length(x) DESC, x) AS i FROM w) WHERE i <= 2 GROUP BY ALL HAVING count(*) = 2),
+        p AS (SELECT doc_id, unnest({words('text', '+')}) AS term, generate_subscripts({words('text', '+')}, 1) AS pos FROM documents),
+        h AS (SELECT query_id, doc_id, pos, max(CASE WHEN term = t1 THEN pos END) OVER w AS l1, max(CASE WHEN term = t2 THEN pos END) OVER w AS l2 FROM p JOIN q ON term = t1 OR term = t2 WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+        c AS (SELECT query_id, doc_id, least(l1, l2) AS a, min(pos) AS b FROM h WHERE l1 IS NOT NULL AND l2 IS NOT NULL GROUP BY ALL),
+        s AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (1 + greatest(0, b - a + 1 - 2))) AS score FROM c GROUP BY ALL)"""
+
+
+_COVERING = """
+    , covering AS (SELECT package_name || '/' || (asset_id % 50) || '/' || substr(installed_version, 1, 6) AS k, any_value((asset_id % 50) % 4 > 0) AS filed, count(*) AS total, count(*) FILTER (WHERE status = 'open') AS still FROM findings GROUP BY 1)
+    """.lstrip()
+
+
 ORACLES = {
     "assets": sql("SELECT * FROM assets", "assets"),
     "cves": sql("SELECT * FROM cves", "cves"),
@@ -184,6 +212,15 @@ ORACLES = {
         SELECT cve_id, severity, hostname, position FROM (
             SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY CASE upper(severity) WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, hostname, position) AS n
             FROM (SELECT s.cve_id, CASE s.row_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' END AS severity, a.hostname, s.row_id AS position FROM staged s JOIN assets a ON s.asset_id = a.asset_id)) WHERE n = 1""", "staged"),
+    "seed_merge": sql("""
+        SELECT cve_id, CASE WHEN cve_key % 3 <> 0 THEN coalesce(CASE WHEN cve_key % 4 <> 0 THEN cvss_severity END, 'HIGH') ELSE 'HIGH' END AS severity, CASE WHEN cve_key % 3 <> 0 AND cve_key % 5 <> 0 THEN description ELSE 'seen' END AS title FROM cves""", "cves"),
+    "host_resolution": sql("SELECT row_id, s.cve_id, a.asset_id FROM staged s JOIN assets a ON s.asset_id = a.asset_id WHERE a.asset_id % 10 > 0 AND row_id % 7 <> 0", "staged"),
+    "findings_closed": sql("""
+        , s AS (SELECT asset_id, cve_id, package_name, installed_version, scan_id > 4 AS new, max(scan_id) AS last_scan_id, CASE WHEN bool_or(status = 'open') THEN 'open' WHEN bool_or(status = 'accepted_risk') THEN 'accepted_risk' ELSE 'fixed' END AS status FROM staged GROUP BY ALL)
+        SELECT asset_id, cve_id, package_name, installed_version, max(last_scan_id) AS last_scan_id,
+            CASE WHEN NOT bool_or(new) THEN CASE max(status) WHEN 'open' THEN 'fixed' ELSE max(status) END WHEN bool_and(new) THEN max(status) ELSE CASE max(status) FILTER (WHERE NOT new) WHEN 'fixed' THEN 'open' ELSE max(status) FILTER (WHERE NOT new) END END AS status
+        FROM s GROUP BY ALL""".lstrip(), "staged"),
+    "findings_sink": sql("SELECT cast(asset_id % 16 AS INTEGER) AS shard, CASE WHEN asset_id % 16 < 4 THEN 'replaced' ELSE status END AS status, count(*) AS rows, cast(sum(finding_id % 1000003) AS BIGINT) AS ids FROM findings0 GROUP BY ALL", "findings0"),
     "staged_dedup": sql("SELECT finding_id, asset_id, cve_id, package_name, installed_version, scan_id FROM (SELECT * EXCLUDE (finding_id), row_id AS finding_id, row_number() OVER (PARTITION BY asset_id, cve_id, package_name, installed_version ORDER BY scan_id DESC, fixed_raw NULLS LAST, row_id) AS n FROM staged) WHERE n = 1", "staged"),
     "findings_merged": sql("""
         , old AS (SELECT asset_id, cve_id, package_name, installed_version, min(finding_id) AS finding_id, max(scan_id) AS last_scan_id, min(first_seen) AS first_seen, max(seen_at) AS last_seen, CASE WHEN bool_or(status = 'open') THEN 'open' WHEN bool_or(status = 'accepted_risk') THEN 'accepted_risk' ELSE 'fixed' END AS status FROM staged WHERE scan_id <= 4 GROUP BY ALL),
@@ -216,12 +253,19 @@ ORACLES = {
     "factors": sql("""
         SELECT finding_id, risk_score, cast(risk_score AS DECIMAL(7,2)) AS total, floor_rule, sla_rule, component, points, reason FROM (
             SELECT finding_id, risk_score, floor_rule, sla_rule, unnest(['severity', 'exploit', 'exposure', 'asset']) AS component, unnest([severity_points, exploit_points, exposure_points, asset_points]) AS points, unnest([cvss_source, exploit_reason, exposure_reason, data_classification]) AS reason FROM v)""", "v"),
+    "factors_json": sql("SELECT finding_id, '2026.09.1' AS policy_version, severity_points AS severity, exploit_reason AS exploit, environment, data_classification AS data, floor_rule AS floor, CASE WHEN floor_rule IS NOT NULL THEN scored_band END AS scored_band FROM v", "v"),
+    "factors_reshaped": sql("""
+        SELECT finding_id, severity_points AS severity, NULL::VARCHAR AS max, floor_rule AS floor, CASE WHEN floor_rule IS NOT NULL THEN scored_band END AS scored_band, NULL::VARCHAR AS old_floor, CASE WHEN finding_id % 3 > 0 THEN sla_rule END AS sla,
+            CASE WHEN finding_id % 3 > 0 AND kev_deadline_passed THEN 'true' END AS passed, CASE WHEN finding_id % 3 > 0 THEN cast(kev_due_date AS VARCHAR) END AS due FROM v""", "v"),
     "score_changes": sql("SELECT count(*) AS evaluated, count(*) FILTER (WHERE finding_id % 3 = 0) AS inserted, count(*) FILTER (WHERE finding_id % 3 <> 0) AS unchanged FROM v", "v"),
     "history_after_run": sql("SELECT is_current, count(*) AS rows, sum(risk_score) AS score FROM (SELECT CASE WHEN finding_id % 3 = 0 THEN risk_score + 1 ELSE risk_score END AS risk_score, finding_id % 3 <> 0 AS is_current FROM v UNION ALL SELECT risk_score, true FROM v WHERE finding_id % 3 = 0) GROUP BY ALL", "v"),
     "current_backfill": sql("SELECT finding_id, last_scan_id AS scan_id FROM (SELECT asset_id, cve_id, package_name, installed_version, min(finding_id) AS finding_id, max(scan_id) AS last_scan_id FROM staged GROUP BY ALL)", "staged"),
     "latest_assessment": sql("SELECT finding_id, last_scan_id AS scan_id FROM (SELECT asset_id, cve_id, package_name, installed_version, min(finding_id) AS finding_id, max(scan_id) AS last_scan_id FROM staged GROUP BY ALL)", "staged"),
     "history_prune": sql("SELECT is_current, count(*) AS rows, count(*) FILTER (WHERE NOT is_current AND computed_at < DATE '1997-01-01') AS pruned, count(*) FILTER (WHERE is_current OR computed_at >= DATE '1997-01-01') AS explained FROM (SELECT row_id % 4 = 0 AS is_current, seen_at AS computed_at FROM staged) GROUP BY ALL", "staged"),
     "fix_actions": sql(f"SELECT {_WIDE}, coalesce(n.requirements, '') AS requirements FROM actions a LEFT JOIN (SELECT owner_team AS t, owner_email AS e, package_name AS p, os_family AS o, risk_band AS b, has_fix AS h, string_agg(cve_id || '=' || required_version, ',' ORDER BY cve_id) AS requirements FROM asked GROUP BY ALL) n ON a.owner_team = t AND a.owner_email = e AND a.package_name = p AND a.os_family = o AND a.risk_band = b AND a.has_fix = h", "actions"),
+    "fix_actions_filtered": sql("""
+        SELECT idempotency_key, title, risk_band, due_date, fixed_version, asset_count, cast(finding_count AS BIGINT) AS finding_count FROM actions WHERE risk_band IN ('critical', 'medium') AND owner_team = 'asia'
+        ORDER BY CASE risk_band WHEN 'critical' THEN 1 ELSE 3 END, due_date, max_risk_score DESC, idempotency_key LIMIT 40""", "actions"),
     "package_targets": sql("SELECT * FROM targets", "targets"),
     "version_requirements": sql("SELECT * FROM asked", "asked"),
     "action_summary": sql("SELECT count(*) AS actions, cast(sum(finding_count) AS BIGINT) AS findings, round(sum(finding_count) / count(*), 1) AS reduction, count(*) FILTER (WHERE risk_band = 'critical') AS critical, count(*) FILTER (WHERE risk_band = 'high') AS high, count(*) FILTER (WHERE risk_band = 'medium') AS medium, count(*) FILTER (WHERE risk_band = 'low') AS low, count(*) FILTER (WHERE NOT has_fix) AS without_fix, count(*) FILTER (WHERE internet_facing_count > 0) AS touching_internet FROM actions", "actions"),
@@ -232,9 +276,12 @@ ORACLES = {
         UNION ALL SELECT 'team_package_band_hasfix', count(DISTINCT (owner_team, package_name, risk_band, fixed_version IS NOT NULL)) FROM v
         UNION ALL SELECT 'with_os', count(DISTINCT (owner_team, package_name, os_family, risk_band, fixed_version IS NOT NULL)) FROM v""", "v"),
     "mixed_bands": sql("SELECT count(*) AS groups, count(*) FILTER (WHERE bands > 1) AS mixed, max(spread) AS max_spread_days FROM (SELECT count(DISTINCT risk_band) AS bands, max(due_date) - min(due_date) AS spread FROM v GROUP BY owner_team, package_name, fixed_version)", "v"),
-    "target_violations": sql("SELECT idempotency_key, '' AS violation FROM actions WHERE false", "actions"),
-    "table_counts": sql("SELECT 'assets' AS name, count(*) AS rows FROM assets UNION ALL SELECT 'cves', count(*) FROM cves UNION ALL SELECT 'findings', count(*) FROM findings UNION ALL SELECT 'findings_open', count(*) FROM v UNION ALL SELECT 'kev_cves', count(*) FROM cves WHERE kev_listed UNION ALL SELECT 'documents', count(*) FROM documents", "v"),
-    "stats_row": sql("SELECT (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM cves) AS cves, (SELECT count(*) FROM findings) AS findings, (SELECT count(*) FROM v) AS findings_open, (SELECT count(*) FROM cves WHERE kev_listed) AS kev_cves, (SELECT count(*) FROM documents) AS documents", "v"),
+    "target_violations": sql("""
+        , planted AS (SELECT *, ('0x' || substr(idempotency_key, 1, 6))::BIGINT AS n FROM actions WHERE has_fix)
+        SELECT CASE n % 4 WHEN 2 THEN 'one-key' ELSE idempotency_key END AS idempotency_key, owner_team, owner_email, package_name, os_family, risk_band, has_fix, CASE n % 4 WHEN 0 THEN 'below_requirement' WHEN 1 THEN 'foreign_system' ELSE 'shared_key' END AS violation
+        FROM planted WHERE n % 4 IN (0, 1) OR (n % 4 = 2 AND (SELECT count(*) FROM planted WHERE n % 4 = 2) > 1)""".lstrip(), "actions"),
+    "table_counts": _chunked(" UNION ALL ".join(f"SELECT '{n}' AS name, (SELECT {c}) AS rows" for n, c in _COUNTS.items())),
+    "stats_row": _chunked("SELECT " + ", ".join(f"(SELECT {c}) AS {n}" for n, c in _COUNTS.items())),
     "band_distribution": sql("SELECT risk_band, count(*) AS findings, count(*) FILTER (WHERE overdue) AS overdue, count(DISTINCT asset_id) AS assets, count(*) FILTER (WHERE kev_listed) AS kev FROM v GROUP BY ALL", "v"),
     "due_backlog": sql("SELECT strftime(date_trunc('week', due_date), '%Y-%m-%d') AS week, count(*) AS findings, count(*) FILTER (WHERE risk_band IN ('critical', 'high')) AS urgent FROM v WHERE due_date < DATE '2000-01-01' + 84 GROUP BY ALL", "v"),
     "asset_list": sql("SELECT a.*, count(v.finding_id) AS open_findings, max(v.risk_score) AS worst_risk_score FROM assets a LEFT JOIN v ON v.asset_id = a.asset_id GROUP BY ALL", "v"),
@@ -254,15 +301,22 @@ ORACLES = {
     "split_text": "WITH RECURSIVE" + split("documents", "doc_id", "text") + " SELECT doc_id, cast(idx - 1 AS INTEGER) AS chunk_index, content FROM parts",
     "corpus_facts": sql("SELECT c.cve_id, coalesce(n, 0) AS n_fixes, p AS first_package FROM cves c LEFT JOIN (SELECT cve_id, count(*) AS n, min(package_name) AS p FROM (SELECT DISTINCT cve_id, package_name, installed_version, fixed_version FROM findings) GROUP BY ALL) f ON c.cve_id = f.cve_id", "findings"),
     "fact_chunks": sql("", "whole").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + split("whole", "cve_id, header, part, package_name", "body") + " SELECT cve_id, cast(row_number() OVER (PARTITION BY cve_id ORDER BY part, package_name, idx) - 1 AS INTEGER) AS chunk_index, header || '. ' || content AS content FROM parts",
-    "documents_assembled": sql("", "whole").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + split("whole", "cve_id, header, part, package_name", "body") + " SELECT cve_id, count(*) AS chunks, md5(string_agg(header || '. ' || content, chr(10) || chr(10) ORDER BY part, package_name, idx)) AS text FROM parts GROUP BY cve_id",
+    "documents_assembled": _chunked("""
+        SELECT p.cve_id, CASE WHEN any_value(c.cve_key) % 3 = 1 THEN upper(any_value(c.description)) ELSE p.cve_id || ' advisory' END AS title, [p.cve_id] AS cve_ids, count(*) AS chunks, md5(string_agg(header || '. ' || content, chr(10) || chr(10) ORDER BY part, package_name, idx)) AS text
+        FROM parts p JOIN cves c ON p.cve_id = c.cve_id GROUP BY p.cve_id"""),
+    "prefilter_ids": _chunked("SELECT c.cve_key AS query_id, c.cve_id, cast(row_number() OVER (PARTITION BY c.cve_id ORDER BY part, package_name, idx) - 1 AS INTEGER) AS chunk_index FROM parts p JOIN cves c ON p.cve_id = c.cve_id"),
+    "corpus_rebuild": "WITH RECURSIVE revised AS (SELECT doc_id, 'Revision 2.' || chr(10) || text AS text FROM documents WHERE text IS NOT NULL)," + split("revised", "doc_id", "text") + " SELECT doc_id, count(*) AS chunks, cast(max(idx) - 1 AS INTEGER) AS last_index FROM parts GROUP BY ALL",
     "postings": "SELECT term, count(*) AS places, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL",
-    "lexical_topk": """
-        WITH q AS (SELECT item_id AS query_id, w[1] AS t1, w[2] AS t2 FROM (SELECT item_id, list_distinct_ordered AS w FROM (SELECT item_id, list(x ORDER BY i) AS list_distinct_ordered FROM (SELECT item_id, x, min(i) AS i FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{4,}')) AS x, generate_subscripts(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{4,}'), 1) AS i FROM benchmark) GROUP BY ALL) GROUP BY ALL) WHERE len(list_distinct_ordered) >= 2)),
-        p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1) AS pos FROM documents),
-        h AS (SELECT query_id, doc_id, pos, max(CASE WHEN term = t1 THEN pos END) OVER w AS l1, max(CASE WHEN term = t2 THEN pos END) OVER w AS l2 FROM p JOIN q ON term = t1 OR term = t2 WINDOW w AS (PARTITION BY query_id, doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-        c AS (SELECT query_id, doc_id, least(l1, l2) AS a, min(pos) AS b FROM h WHERE l1 IS NOT NULL AND l2 IS NOT NULL GROUP BY ALL),
-        s AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (1 + greatest(0, b - a + 1 - 2))) AS score FROM c GROUP BY ALL)
+    "lexical_topk": _lexical("benchmark", "item_id", "true") + """
         SELECT query_id, doc_id, round(score, 6) AS score, cast(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 10""",
+    "lexical_web": _lexical("benchmark", "item_id", "true") + """,
+        n AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM p JOIN q ON term = t1 WHERE NOT EXISTS (SELECT 1 FROM p AS o WHERE o.doc_id = p.doc_id AND o.term = t2) GROUP BY ALL)
+        SELECT query_id, doc_id, round(score, 6) AS score, cast(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM n) WHERE r <= 10""",
+    "hybrid_topk": _lexical("documents", "doc_id", "doc_id % 50 = 0") + """,
+        l AS (SELECT * FROM (SELECT query_id, doc_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS lexical_rank FROM s) WHERE lexical_rank <= 50),
+        d AS (SELECT * FROM (SELECT query_id, vec_id AS doc_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS dense_rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)) WHERE dense_rank <= 50),
+        f AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.doc_id, d.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + dense_rank), 0), 6) AS rrf_score, lexical_rank, dense_rank FROM l FULL JOIN d ON l.query_id = d.query_id AND l.doc_id = d.doc_id)
+        SELECT query_id, doc_id, rrf_score, lexical_rank, dense_rank, cast(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, lexical_rank NULLS LAST, dense_rank) AS r FROM f) WHERE r <= 8""",
     "dense_topk": "SELECT query_id, vec_id, round(score, 6) AS score, cast(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)) WHERE r <= 10",
     "dense_topk_filtered": "SELECT query_id, vec_id, round(score, 6) AS score, cast(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)) WHERE r <= 10",
     "rrf": """
@@ -275,30 +329,69 @@ ORACLES = {
         SELECT count(*) AS queries, round(avg(found / least(n, 8)), 4) AS recall_at_k, round(avg(found / greatest(got, 1)), 4) AS precision_at_k FROM (SELECT n.query_id, n, count(h.vec_id) AS got, count(*) FILTER (WHERE want = label) AS found FROM n LEFT JOIN h ON n.query_id = h.query_id GROUP BY ALL)""",
     "query_sample": sql(", c AS (SELECT c.cve_id, description, kev_listed, epss_score, count(*) AS findings FROM cves c JOIN findings f ON c.cve_id = f.cve_id GROUP BY ALL) SELECT cve_id, description, findings FROM (SELECT * FROM c WHERE kev_listed OR epss_score > 0.1 ORDER BY findings DESC, cve_id LIMIT 30) UNION SELECT cve_id, description, findings FROM (SELECT * FROM c WHERE description IS NOT NULL ORDER BY md5(cve_id), cve_id LIMIT 30)", "findings"),
     "grounding_ids": sql("SELECT plan_id, [CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END] AS checked_cves, CASE WHEN n % 11 = 0 THEN ['CVE-1999-0001'] ELSE [] END AS ungrounded_cves FROM plans", "plans"),
-    "ungrounded_clusters": sql("SELECT package_name, count(*) AS plans, count(*) FILTER (WHERE n % 11 = 0 OR (n % 7 = 0 AND fixed_version IS NOT NULL AND os_family <> 'debian')) AS failed FROM plans GROUP BY ALL", "plans"),
+    "grounding": sql("""
+        SELECT plan_id, [CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END] AS checked_cves, CASE WHEN n % 11 = 0 THEN ['CVE-1999-0001'] ELSE [] END AS ungrounded_cves, grounded AS passed,
+            CASE WHEN grounded THEN 'grounded' ELSE concat_ws('; ', CASE WHEN n % 11 = 0 THEN 'ids without evidence: CVE-1999-0001' END, CASE WHEN n % 7 = 0 AND fixed_version IS NOT NULL AND os_family <> 'debian' THEN 'versions without evidence: ' || fixed_version || '9' END,
+                CASE WHEN n % 17 = 0 THEN 'forbidden commands: rm -rf /' END) END AS reason FROM plans""", "plans"),
+    "ungrounded_clusters": sql("SELECT package_name, count(*) AS plans, count(*) FILTER (WHERE NOT grounded) AS failed FROM plans GROUP BY ALL", "plans"),
     "plan_rubric": sql("""
         SELECT plan_id, grounded, fixed_version IS NOT NULL AS names_target, fixed_version IS NOT NULL AS has_commands, fixed_version IS NOT NULL AS commands_match_os, fixed_version IS NOT NULL AS has_rollback, n % 13 <> 0 AS no_placeholders, true AS not_vague,
             round((cast(grounded AS INTEGER) + 4 * cast(fixed_version IS NOT NULL AS INTEGER) + cast(n % 13 <> 0 AS INTEGER) + 1) / 7, 3) AS score, grounded AND fixed_version IS NOT NULL AND n % 13 <> 0 AS actionable,
             list_filter([CASE WHEN NOT grounded THEN 'grounded' END, CASE WHEN fixed_version IS NULL THEN 'names_target' END, CASE WHEN fixed_version IS NULL THEN 'has_commands' END, CASE WHEN fixed_version IS NULL THEN 'commands_match_os' END, CASE WHEN fixed_version IS NULL THEN 'has_rollback' END, CASE WHEN n % 13 = 0 THEN 'no_placeholders' END], lambda x: x IS NOT NULL) AS failures FROM plans""", "plans"),
     "rubric_rates": sql("SELECT count(*) AS plans, round(avg(round((g + 4 * f + p + 1) / 7, 3)), 3) AS mean_score, round(avg(g * f * p), 3) AS actionable_rate, round(avg(g), 3) AS grounded_rate, round(avg(f), 3) AS names_target_rate, round(avg(f), 3) AS has_commands_rate, round(avg(f), 3) AS commands_match_os_rate, round(avg(f), 3) AS has_rollback_rate, round(avg(p), 3) AS no_placeholders_rate, 1.0 AS not_vague_rate FROM (SELECT cast(grounded AS INTEGER) AS g, cast(fixed_version IS NOT NULL AS INTEGER) AS f, cast(n % 13 <> 0 AS INTEGER) AS p FROM plans)", "plans"),
-    "action_plan_flags": sql("SELECT idempotency_key, p IS NOT NULL AS has_plan, coalesce(g, false) AS plan_grounded FROM actions a LEFT JOIN (SELECT package_name AS p, fixed_version AS v, bool_or(grounded) AS g FROM plans GROUP BY ALL) ON a.package_name = p AND a.fixed_version IS NOT DISTINCT FROM v", "plans"),
+    "worst_plans": sql("""
+        SELECT plan_id, score, failures FROM (
+            SELECT plan_id, round((cast(grounded AS INTEGER) + 4 * cast(fixed_version IS NOT NULL AS INTEGER) + cast(n % 13 <> 0 AS INTEGER) + 1) / 7, 3) AS score,
+                list_filter([CASE WHEN NOT grounded THEN 'grounded' END, CASE WHEN fixed_version IS NULL THEN 'names_target' END, CASE WHEN fixed_version IS NULL THEN 'has_commands' END, CASE WHEN fixed_version IS NULL THEN 'commands_match_os' END, CASE WHEN fixed_version IS NULL THEN 'has_rollback' END, CASE WHEN n % 13 = 0 THEN 'no_placeholders' END], lambda x: x IS NOT NULL) AS failures
+            FROM plans WHERE NOT (grounded AND fixed_version IS NOT NULL AND n % 13 <> 0)) ORDER BY score, plan_id LIMIT 10""", "plans"),
+    "plans_with_context": sql("", "whole").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + split("whole", "cve_id, header, part, package_name", "body") + """,
+        numbered AS (SELECT cve_id, row_number() OVER (PARTITION BY cve_id ORDER BY part, package_name, idx) - 1 AS i, header || '. ' || content AS content FROM parts),
+        two AS (SELECT cve_id, md5(string_agg(content, chr(10) ORDER BY i)) AS context FROM numbered WHERE i <= 1 GROUP BY ALL)
+        SELECT plan_id, context FROM plans LEFT JOIN two USING (cve_id)""",
+    "action_plan_flags": sql("""
+        SELECT idempotency_key, title, owner_team, package_name, os_family, risk_band, fixed_version, due_date, asset_count, finding_count, hostnames[1:20] AS hostnames, p IS NOT NULL AS has_plan, coalesce(g, false) AS plan_grounded
+        FROM actions a LEFT JOIN (SELECT package_name AS p, fixed_version AS v, bool_or(grounded) AS g FROM plans GROUP BY ALL) ON a.package_name = p AND a.fixed_version IS NOT DISTINCT FROM v""", "plans"),
+    "plan_detail": sql("SELECT plan_id, cve_id, package_name, fixed_version, markdown, grounded, created_at FROM plans WHERE plan_id = (SELECT min(plan_id) FROM plans)", "plans"),
+    "draft_markdown": sql("""
+        SELECT idempotency_key, title || chr(10) || chr(10) || CASE WHEN has_fix THEN '**Steps**' || chr(10) || '1. Take a snapshot of ' || package_name || chr(10) || '2. Upgrade' || chr(10) || chr(10) || '**Commands**' || chr(10) || '```bash' || chr(10) || 'upgrade ' || package_name || chr(10) || '```' || chr(10) || chr(10)
+            ELSE '**Compensating controls**' || chr(10) || 'Isolate the hosts.' || chr(10) || chr(10) END || '**Rollback**' || chr(10) || 'Go back to ' || installed_version || CASE WHEN internet_facing_count > 0 THEN chr(10) || chr(10) || '_Requires a reboot._' ELSE '' END AS markdown FROM actions""", "actions"),
     "plan_list": sql("SELECT plan_id, cve_id, package_name, fixed_version, created_at FROM plans WHERE grounded ORDER BY created_at DESC, plan_id LIMIT 50", "plans"),
     "plan_coverage": sql("SELECT grounded, count(*) AS plans, count(DISTINCT package_name) AS packages FROM plans GROUP BY ALL", "plans"),
     "representative_cve": sql("SELECT idempotency_key, cve_id, CASE WHEN risk_band IN ('critical', 'high') THEN 'strong' ELSE 'bulk' END AS route FROM led", "led"),
     "worklist": sql("SELECT idempotency_key, cve_id, package_name, os_family, fixed_version FROM (SELECT *, row_number() OVER (PARTITION BY cve_id, package_name, os_family, fixed_version ORDER BY max_risk_score DESC, due_date, idempotency_key) AS place FROM led l WHERE NOT EXISTS (SELECT 1 FROM plans p WHERE p.grounded AND p.n % 2 = 0 AND p.cve_id = l.cve_id AND p.package_name = l.package_name AND p.os_family = l.os_family AND p.fixed_version IS NOT DISTINCT FROM l.fixed_version)) WHERE place = 1", "plans"),
     "cache_economics": sql("SELECT cast(sum(k) AS BIGINT) AS actions, count(*) AS plan_keys, round(1 - count(*) / sum(k), 3) AS hit_rate FROM (SELECT count(*) AS k FROM led GROUP BY cve_id, package_name, os_family, fixed_version)", "led"),
     "plan_persist": sql(", u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id, package_name, os_family, fixed_version ORDER BY plan_id) AS place FROM plans) WHERE place = 1) SELECT CASE WHEN n % 5 <> 0 THEN plan_id ELSE 'new-' || plan_id END AS plan_id, cve_id, package_name, os_family, fixed_version, CASE WHEN n % 3 <> 0 THEN true ELSE grounded END AS grounded FROM u WHERE n % 5 <> 0 OR n % 3 <> 0", "plans"),
-    "run_outcomes": sql(", r AS (SELECT CASE WHEN NOT grounded THEN 'ungrounded' WHEN n % 5 = 0 THEN 'cached' WHEN n % 17 = 0 THEN 'error' ELSE 'grounded' END AS s FROM plans) SELECT count(*) AS actions, count(*) FILTER (WHERE s = 'grounded') AS grounded, count(*) FILTER (WHERE s = 'cached') AS cached, count(*) FILTER (WHERE s = 'ungrounded') AS ungrounded, count(*) FILTER (WHERE s = 'no_context') AS no_context, count(*) FILTER (WHERE s = 'error') AS error, round(count(*) FILTER (WHERE s = 'grounded') / greatest(count(*) FILTER (WHERE s IN ('grounded', 'ungrounded')), 1), 3) AS grounded_rate FROM r", "plans"),
+    "run_outcomes": sql(", r AS (SELECT CASE WHEN NOT grounded THEN 'ungrounded' WHEN n % 5 = 0 THEN 'cached' WHEN n % 19 = 0 THEN 'error' ELSE 'grounded' END AS s FROM plans) SELECT count(*) AS actions, count(*) FILTER (WHERE s = 'grounded') AS grounded, count(*) FILTER (WHERE s = 'cached') AS cached, count(*) FILTER (WHERE s = 'ungrounded') AS ungrounded, count(*) FILTER (WHERE s = 'no_context') AS no_context, count(*) FILTER (WHERE s = 'error') AS error, round(count(*) FILTER (WHERE s = 'grounded') / greatest(count(*) FILTER (WHERE s IN ('grounded', 'ungrounded')), 1), 3) AS grounded_rate FROM r", "plans"),
+    "run_failures": sql("SELECT * FROM (SELECT plan_id AS idempotency_key, CASE WHEN NOT grounded THEN 'ungrounded' WHEN n % 5 = 0 THEN 'cached' WHEN n % 19 = 0 THEN 'error' ELSE 'grounded' END AS status FROM plans) WHERE status NOT IN ('grounded', 'cached') ORDER BY idempotency_key LIMIT 15", "plans"),
     "budget_cut": sql(", t AS (SELECT plan_id, max_risk_score, due_date, cast(floor(length(markdown) / 3.7) AS BIGINT) + 1500 AS tokens FROM plans), r AS (SELECT *, cast(sum(tokens) OVER (ORDER BY max_risk_score DESC, due_date, plan_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM t) SELECT plan_id AS idempotency_key, tokens, running, running <= 500000 AS planned FROM r", "plans"),
     "attempt_outcomes": sql(", a AS (SELECT plan_id AS key, n, unnest([1, 2, 3]) AS attempt FROM plans), c AS (SELECT key, attempt, cast(CASE WHEN n % 19 = 0 THEN 0 WHEN n % 4 = 0 THEN 5 ELSE 4 * attempt END AS INTEGER) AS context_size, n % 6 < attempt AS passed FROM a) SELECT *, CASE WHEN context_size = 0 THEN 'no_context' WHEN passed THEN 'done' WHEN attempt >= 3 OR context_size <= coalesce(lag(context_size) OVER (PARTITION BY key ORDER BY attempt), -1) THEN 'give_up' ELSE 'retry' END AS outcome FROM c", "plans"),
     "best_plan": sql("SELECT * FROM best", "best"),
     "ticket_rows": sql("SELECT * FROM tickets", "tickets"),
+    "ticket_bodies": sql(r"""
+        , asked_list AS (SELECT owner_team AS t, owner_email AS e, package_name AS p, os_family AS o, risk_band AS b, string_agg('| ' || cve_id || ' | ' || required_version || ' |', chr(10) ORDER BY cve_id) AS lines, count(DISTINCT required_version) AS several FROM asked GROUP BY ALL)
+        SELECT a.idempotency_key, concat_ws(chr(10) || chr(10), '<!-- action:' || a.idempotency_key || ' -->',
+            CASE WHEN has_fix THEN 'Upgrade `' || a.package_name || '` to **' || a.fixed_version || '** on ' || asset_count || ' host(s).' ELSE 'No fix is published for `' || a.package_name || '`; a compensating control is needed.' END,
+            'Due **' || a.due_date || '**, band **' || a.risk_band || '**, highest score ' || round(a.max_risk_score, 1),
+            CASE WHEN len(kev_cve_ids) > 0 OR max_epss >= 0.1 OR internet_facing_count > 0 OR prod_count > 0 THEN 'Why now:' || chr(10) || concat_ws(chr(10), CASE WHEN len(kev_cve_ids) > 0 THEN '- known to be exploited: ' || array_to_string(kev_cve_ids, ', ') END,
+                CASE WHEN max_epss >= 0.1 THEN '- exploit probability up to ' || max_epss END, CASE WHEN internet_facing_count > 0 THEN '- internet-facing hosts: ' || internet_facing_count END, CASE WHEN prod_count > 0 THEN '- production hosts: ' || prod_count END) END,
+            'Resolves ' || len(cve_ids) || ' id(s):', CASE WHEN has_fix THEN '| id | fixed in |' || chr(10) || '|---|---|' || chr(10) || lines ELSE array_to_string(list_transform(cve_ids, lambda i: '- ' || i), chr(10)) END,
+            CASE WHEN has_fix AND several > 1 THEN 'The target **' || a.fixed_version || '** is the highest of these, so one upgrade serves all.' END,
+            CASE WHEN m.grounded THEN 'Plan:' || chr(10) || chr(10) || q.markdown END,
+            'Hosts (' || asset_count || '): ' || array_to_string(list_transform(hostnames[1:12], lambda h: '`' || h || '`'), ', '), CASE WHEN asset_count > 12 THEN 'and ' || (asset_count - 12) || ' more' END,
+            'Scope: ' || array_to_string(environments, ', ') || '; ' || a.os_family || '; ' || a.owner_team || ' <' || a.owner_email || '>',
+            'Covers ' || finding_count || ' findings. The date follows from the policy.') AS body
+        FROM actions a LEFT JOIN asked_list ON a.owner_team = t AND a.owner_email = e AND a.package_name = p AND a.os_family = o AND a.risk_band = b AND has_fix
+            LEFT JOIN best m ON a.idempotency_key = m.idempotency_key LEFT JOIN plans q ON m.plan_id = q.plan_id""".lstrip(), "tickets"),
     "ticket_preview": sql("SELECT t.idempotency_key, t.title, t.owner_team, t.due_date, t.finding_count, CASE WHEN a.asset_count % 3 = 0 THEN 'update' ELSE 'create' END AS would, t.grounded AS has_grounded_plan FROM tickets t JOIN actions a ON t.idempotency_key = a.idempotency_key", "tickets"),
     "ticket_upsert": sql("SELECT CASE WHEN asset_count % 3 = 0 THEN 'T-' ELSE 'N-' END || substr(idempotency_key, 1, 8) AS ticket_id, idempotency_key, title, owner_team, owner_email, risk_band, due_date, 'open' AS state FROM actions", "actions"),
     "ticket_links": sql("SELECT idempotency_key, finding_id FROM covered WHERE finding_id % 2 = 0 UNION ALL SELECT idempotency_key, finding_id FROM covered c WHERE finding_id % 2 <> 0 AND EXISTS (SELECT 1 FROM actions a WHERE a.idempotency_key = c.idempotency_key AND a.risk_band <> 'low')", "covered"),
-    "closable_tickets": sql("SELECT package_name || '/' || (asset_id % 50) || '/' || substr(installed_version, 1, 6) AS idempotency_key, 'Upgrade ' || package_name || '/' || (asset_id % 50) || '/' || substr(installed_version, 1, 6) AS title, count(*) AS total FROM findings GROUP BY ALL HAVING count(*) FILTER (WHERE status = 'open') = 0", "findings"),
-    "tracker_payload": sql("SELECT idempotency_key, substr(title, 1, 255) AS summary, CASE risk_band WHEN 'critical' THEN 'Highest' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS priority, cast(due_date AS VARCHAR) AS duedate, 'scanner' AS label, title FROM tickets", "tickets"),
-    "stream_findings": sql("SELECT asset_id, cve_id, package_name, installed_version, arg_min(first_seen, scan_id) AS first_seen FROM (SELECT asset_id, cve_id, package_name, installed_version, scan_id, min(first_seen) AS first_seen FROM staged GROUP BY ALL) GROUP BY ALL", "staged"),
+    "closable_tickets": sql(_COVERING + "SELECT k AS idempotency_key, 'Upgrade ' || k AS title, total FROM covering WHERE filed AND still = 0", "findings"),
+    "close_tickets": sql(_COVERING + "SELECT k AS idempotency_key, CASE WHEN NOT filed THEN 'dropped' WHEN still = 0 THEN 'closed' ELSE 'open' END AS state FROM covering", "findings"),
+    "tracker_payload": sql("SELECT idempotency_key, substr(title, 1, 255) AS summary, CASE risk_band WHEN 'critical' THEN 'Highest' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' ELSE 'Low' END AS priority, cast(due_date AS VARCHAR) AS duedate, 'scanner' AS label, title, 'scanner' AS other_label FROM tickets", "tickets"),
+    "stream_findings": sql("""
+        , s AS (SELECT asset_id, cve_id, package_name, installed_version, scan_id, min(first_seen) AS first_seen, CASE WHEN bool_or(status = 'open') THEN 'open' WHEN bool_or(status = 'accepted_risk') THEN 'accepted_risk' ELSE 'fixed' END AS status FROM staged GROUP BY ALL)
+        SELECT asset_id, cve_id, package_name, installed_version, arg_min(first_seen, scan_id) AS first_seen, max(scan_id) AS last_scan_id, CASE WHEN count(*) > 1 AND arg_min(status, scan_id) = 'fixed' THEN 'open' ELSE arg_min(status, scan_id) END AS status FROM s GROUP BY ALL""".lstrip(), "staged"),
     "incremental_score": sql("SELECT finding_id, risk_score, risk_band, due_date FROM v WHERE last_seen > DATE '1998-01-01'", "v"),
+    "quota_stream": "SELECT strftime(make_timestamp(cast(start * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS start, user_id AS key, count(*) AS calls, round(sum(value), 4) AS used FROM (SELECT (floor(epoch(ts) / 43200) - unnest([0, 1])) * 43200 AS start, user_id, value FROM events) GROUP BY ALL",
     "quota_audit": "SELECT event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS used, count(*) OVER w > 3 OR sum(value) OVER w > 150 AS breach FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)",
 }

@@ -8,6 +8,7 @@ from . import fixtures as fx
 from .functions import text
 from .functions.versions import choose_fix, version_key
 from .operators import correlate, grounding as grounding_ops, ingest, merge, reports, retrieval, risk, tickets, worklist as worklist_ops
+from .session import scratch, written
 from .sources import feeds
 from .streaming import findings as stream
 
@@ -20,10 +21,19 @@ def query(f):
 
 
 class Tables:
-    """The domain tables of one folder; nothing is read before it is used."""
+    """The domain tables of one folder; nothing is read before it is used.
+
+    What several parts of a query build on (the findings' view, actions, plans) is written once and read again.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._once: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make) -> DataFrame:
+        if name not in self._once:
+            self._once[name] = written(make(), name)
+        return self._once[name]
 
     def table(self, name: str) -> DataFrame:
         return fx.table(self.spark, self.sf_dir, name)
@@ -46,25 +56,29 @@ class Tables:
 
     @property
     def view(self) -> DataFrame:
-        return risk.current_risk(risk.assess(self.findings, self.cves, self.assets), fx.AS_OF)
+        return self._once.get("view") or risk.current_risk(risk.assess(self.findings, self.cves, self.assets), fx.AS_OF)
+
+    @property
+    def kept_view(self) -> DataFrame:
+        return self.once("view", lambda: self.view.select(*correlate.USED, "finding_id", "overdue"))
 
     @property
     def actions(self) -> DataFrame:
-        return correlate.fix_actions(self.view)
+        return self.once("actions", lambda: correlate.fix_actions(self.kept_view))
 
     @property
     def chunks(self) -> DataFrame:
-        return retrieval.fact_chunks(retrieval.corpus_facts(self.cves, self.findings))
+        return self.once("chunks", lambda: retrieval.fact_chunks(retrieval.corpus_facts(self.cves, self.findings)))
 
     @property
     def drafted(self) -> DataFrame:
-        """A plan for each action; some name a version or an id that nothing supports, or hold a placeholder."""
+        """A plan for each action; some name a version or an id that nothing supports, forbidden commands, or a placeholder."""
         a = worklist_ops.representative(self.actions)
         a = a.withColumn("n", F.conv(F.substring("idempotency_key", 1, 6), 16, 10).cast("long"))
         version = F.expr("CASE WHEN n % 7 = 0 THEN concat(fixed_version, '9') ELSE fixed_version END")
         named = F.expr("CASE WHEN n % 11 = 0 THEN 'CVE-1999-0001' ELSE cve_id END")
         command = F.expr("CASE os_family WHEN 'debian' THEN concat('apt-get install ', package_name, '=') WHEN 'rhel' THEN concat('dnf install ', package_name, '-') ELSE concat('apk add ', package_name, '=') END")
-        place = F.expr("CASE WHEN n % 13 = 0 THEN ' Restart /path/to/app.' ELSE '' END")
+        place = F.expr("CASE WHEN n % 13 = 0 THEN ' Restart /path/to/app.' ELSE '' END || CASE WHEN n % 17 = 0 THEN ' Then rm -rf / tmp.' ELSE '' END")
         fix = F.concat(F.lit("Upgrade `"), "package_name", F.lit("` to "), version, F.lit(" for "), named, F.lit(".\n\n```bash\n"), command, version, F.lit("\n```\n\nRollback to "), "installed_version", F.lit("."), place)
         none = F.concat(F.lit("No fix is out for "), named, F.lit("; isolate the service."), place)
         context = F.array_compact(F.array(F.concat(F.lit("Target "), "fixed_version", F.lit(" .")), F.concat(F.lit("Installed "), "installed_version", F.lit(" .")), F.array_join("cve_ids", " ")))
@@ -75,18 +89,24 @@ class Tables:
 
     @property
     def checked(self) -> DataFrame:
-        return grounding_ops.check_grounding(self.drafted)
+        return self.once("checked", lambda: grounding_ops.check_grounding(self.drafted))
 
     @property
     def plans(self) -> DataFrame:
-        return self.drafted.withColumn("grounded", F.expr("NOT (n % 11 = 0 OR (n % 7 = 0 AND fixed_version IS NOT NULL))"))
+        """The drafted plans, with what the gate says of them."""
+        return self.checked.withColumn("grounded", F.col("passed"))
 
     @property
     def tickets(self) -> DataFrame:
         return tickets.ticket_rows(self.actions, self.plans)
 
     def counted(self) -> dict[str, DataFrame]:
-        return {"assets": self.assets, "cves": self.cves, "findings": self.findings, "findings_open": self.view, "kev_cves": self.cves.where("kev_listed"), "documents": self.table("documents")}
+        """What the statistics count; the view is written once for all that build on it."""
+        open_, plans = self.kept_view, self.plans
+        return {
+            "assets": self.assets, "cves": self.cves, "findings": self.findings, "findings_open": open_, "kev_cves": self.cves.where("kev_listed"), "chunks": self.chunks,
+            "plans": plans, "plans_grounded": plans.where("grounded"), "tickets": self.tickets, "fix_actions": self.actions,
+        }
 
 
 # Sources and merges
@@ -122,6 +142,41 @@ def cve_seeds(spark, sf_dir):
     return ingest.seed_cves(rows)
 
 
+@query
+def seed_merge(spark, sf_dir):
+    """Seeds of all ids into a table that knows two thirds of them, some without severity or title."""
+    c = Tables(spark, sf_dir).cves
+    known = c.where("cve_key % 3 <> 0").select("cve_id", F.expr("CASE WHEN cve_key % 4 <> 0 THEN cvss_severity END").alias("severity"), F.expr("CASE WHEN cve_key % 5 <> 0 THEN description END").alias("title"))
+    seeds = ingest.seed_cves(c.select("cve_id", F.lit("HIGH").alias("severity"), F.lit("seen").alias("title"), F.lit("h").alias("hostname"), F.col("cve_key").alias("position")))
+    return ingest.merge_seeds(known, seeds.select("cve_id", "severity", "title"))
+
+
+@query
+def host_resolution(spark, sf_dir):
+    """Scanned rows by host name, in any case; a tenth of the hosts is unknown. Ids that aren't any are left out first."""
+    t = Tables(spark, sf_dir)
+    rows = t.staged.join(t.assets.select("asset_id", F.upper("hostname").alias("hostname")), "asset_id").select("row_id", "hostname", F.expr("CASE WHEN row_id % 7 = 0 THEN 'GHSA-xx' ELSE cve_id END").alias("cve_id"))
+    return ingest.resolve_assets(ingest.valid_ids(rows), t.assets.where("asset_id % 10 > 0"))
+
+
+@query
+def findings_closed(spark, sf_dir):
+    """Scans 5 to 7 merged into what scans 1 to 4 left; what they don't have any more is fixed."""
+    t = Tables(spark, sf_dir)
+    old, new = (fx.findings_of(t.staged.where(c)) for c in ("scan_id <= 4", "scan_id > 4"))
+    return ingest.merge_findings(old, new, close_missing=True).select(*ingest.IDENTITY, "last_scan_id", "status")
+
+
+@query
+def findings_sink(spark, sf_dir):
+    """The findings as a partitioned table, some of whose partitions a second write replaces."""
+    f = Tables(spark, sf_dir).findings.select("finding_id", "asset_id", "status").withColumn("shard", F.expr("cast(asset_id % 16 AS int)"))
+    path = scratch(spark, "sink")
+    merge.write_partitions(f, path, ["shard"])
+    merge.write_partitions(f.where("shard < 4").withColumn("status", F.lit("replaced")), path, ["shard"])
+    return spark.read.schema(f.schema).parquet(path).groupBy("shard", "status").agg(F.count("*").alias("rows"), F.sum(F.col("finding_id") % 1_000_003).alias("ids"))
+
+
 @query
 def staged_dedup(spark, sf_dir):
     rows = Tables(spark, sf_dir).staged.drop("finding_id").select(F.col("row_id").alias("finding_id"), *ingest.IDENTITY, "scan_id", F.col("fixed_raw").alias("fixed_version"))
@@ -154,8 +209,19 @@ def scan_ledger(spark, sf_dir):
     return ingest.scan_ledger(Tables(spark, sf_dir).staged)
 
 
-def _catalogue(cves: DataFrame) -> DataFrame:
-    return cves.where("kev_listed").select("cve_id", F.col("kev_due_date").alias("due_date"), F.col("kev_ransomware").alias("ransomware"))
+#: Entries of a line of the files that feeds are written to.
+ENTRIES = 1000
+
+
+def _catalogue(t: Tables) -> DataFrame:
+    """The catalogue of exploited ids, written as files and read as the feed; it has an entry without an id, too."""
+    rows = t.cves.where("kev_listed").select(
+        "cve_key", F.struct(F.when(F.col("cve_key") % 40 == 3, F.concat(F.lit(" "), "cve_id", F.lit(" "))).otherwise(F.col("cve_id")).alias("cveID"), F.col("kev_due_date").cast("string").alias("dueDate"), F.when(F.col("kev_ransomware"), " KNOWN").otherwise("Unknown").alias("knownRansomwareCampaignUse")).alias("x"),
+    )
+    none = F.struct(F.lit(" ").alias("cveID"), F.lit("").alias("dueDate"), F.lit("Known").alias("knownRansomwareCampaignUse"))
+    path = scratch(t.spark, "catalogue")
+    rows.groupBy(F.floor(F.col("cve_key") / ENTRIES)).agg(F.concat(F.collect_list("x"), F.array(none)).alias("vulnerabilities")).select("vulnerabilities").write.json(path)
+    return feeds.exploited_catalogue(t.spark, path, lines=True)
 
 
 def _bare(cves: DataFrame) -> DataFrame:
@@ -164,42 +230,51 @@ def _bare(cves: DataFrame) -> DataFrame:
 
 @query
 def kev_enrich(spark, sf_dir):
-    c = Tables(spark, sf_dir).cves
-    return ingest.enrich_exploited(_bare(c), _catalogue(c)).select("cve_id", "kev_listed", "kev_ransomware", "kev_due_date")
+    t = Tables(spark, sf_dir)
+    return ingest.enrich_exploited(_bare(t.cves), _catalogue(t)).select("cve_id", "kev_listed", "kev_ransomware", "kev_due_date")
 
 
 @query
 def kev_summary(spark, sf_dir):
-    c = Tables(spark, sf_dir).cves
-    return ingest.enrich_exploited(_bare(c), _catalogue(c)).agg(F.count_if("kev_listed").alias("matched"), F.count_if(F.col("kev_listed") & F.col("kev_ransomware")).alias("ransomware"))
+    t = Tables(spark, sf_dir)
+    return ingest.enrich_exploited(_bare(t.cves), _catalogue(t)).agg(F.count_if("kev_listed").alias("matched"), F.count_if(F.col("kev_listed") & F.col("kev_ransomware")).alias("ransomware"))
 
 
-def _scores(cves: DataFrame) -> DataFrame:
-    return cves.where("epss_score IS NOT NULL").select("cve_id", F.col("epss_score").alias("epss"), F.expr("cast((cve_key % 100) / 100 AS decimal(6,5))").alias("percentile"))
+def _scores(t: Tables) -> DataFrame:
+    """Exploit scores, written as compressed CSV files with a comment line and rows that don't parse, and read as the feed."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    rows = t.cves.where("epss_score IS NOT NULL").select(F.col("cve_id").alias("cve"), F.col("epss_score").alias("epss"), F.expr("cast((cve_key % 100) / 100 AS decimal(6,5))").alias("percentile")).select("cve", text("epss"), text("percentile"))
+    bad = t.cves.where("epss_score IS NULL").select(F.col("cve_id").alias("cve"), F.lit("n/a").alias("epss"), F.lit("0.5").alias("percentile"))
+    comment = t.spark.range(1).select(F.lit("#model_version:v1").alias("cve"), F.lit("score_date").alias("epss"), F.lit("x").alias("percentile"))
+    path = scratch(t.spark, "scores")
+    rows.unionByName(bad).unionByName(comment).write.option("header", True).option("compression", "gzip").csv(path)
+    return feeds.exploit_scores(t.spark, path)
 
 
 @query
 def epss_enrich(spark, sf_dir):
-    c = Tables(spark, sf_dir).cves
-    return ingest.enrich_scores(c.withColumn("epss_score", F.lit(None).cast("decimal(6,5)")), _scores(c)).select("cve_id", "epss_score", "epss_percentile")
+    t = Tables(spark, sf_dir)
+    return ingest.enrich_scores(t.cves.withColumn("epss_score", F.lit(None).cast("decimal(6,5)")), _scores(t)).select("cve_id", "epss_score", "epss_percentile")
 
 
 @query
 def epss_summary(spark, sf_dir):
-    c = Tables(spark, sf_dir).cves
-    rows = ingest.enrich_scores(c.withColumn("epss_score", F.lit(None).cast("decimal(6,5)")), _scores(c))
+    t = Tables(spark, sf_dir)
+    rows = ingest.enrich_scores(t.cves.withColumn("epss_score", F.lit(None).cast("decimal(6,5)")), _scores(t))
     return rows.agg(F.count("epss_score").alias("scored"), F.count_if(F.col("epss_score") >= 0.1).alias("at_least_10pct"))
 
 
 @query
 def cve_record_normalise(spark, sf_dir):
-    """Records as JSON text, parsed and normalised."""
+    """Records written as JSON files, read and normalised."""
     metric = lambda c: f"CASE WHEN {c} IS NOT NULL THEN array(named_struct('type', 'Secondary', 'cvssData', named_struct('baseScore', 1D, 'vectorString', 'x', 'baseSeverity', cast(NULL AS string))), named_struct('type', 'Primary', 'cvssData', named_struct('baseScore', cast({c} AS double), 'vectorString', 'v', 'baseSeverity', cvss_severity))) END"
     made = Tables(spark, sf_dir).cves.select(F.expr(f"""to_json(named_struct('id', cve_id, 'metrics', named_struct('cvssMetricV40', {metric("cvss_v40_score")}, 'cvssMetricV31', {metric("cvss_v31_score")}),
         'descriptions', array(named_struct('lang', 'es', 'value', 'otra'), named_struct('lang', 'en', 'value', description)),
         'weaknesses', array(named_struct('description', array(named_struct('value', concat('CWE-', cast(cve_key % 9 AS string))), named_struct('value', 'NVD-other'))), named_struct('description', array(named_struct('value', concat('CWE-', cast(cve_key % 4 AS string)))))),
         'references', array(named_struct('url', concat('https://example.com/', cve_id)))))""").alias("json"))
-    return feeds.normalise_records(made.select(F.from_json("json", feeds.RECORD).alias("r")).select("r.*"))
+    path = scratch(spark, "records")
+    made.write.text(path)
+    return feeds.cve_records(spark, path)
 
 
 @query
@@ -228,18 +303,15 @@ def cvss_preference(spark, sf_dir):
 
 @query
 def report_flatten(spark, sf_dir):
-    """Reports of five hosts, written as JSON files and read back."""
-    import uuid
-
-    where = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fathomline-shared'}/reports-{uuid.uuid4().hex}"
+    """Reports of five hosts, written as JSON files and read by the report reader."""
+    where = scratch(spark, "reports")
     rows = Tables(spark, sf_dir).staged.withColumn("host", F.expr("concat('host-', cast(row_id % 5 AS string))"))
     item = F.struct(F.col("cve_id").alias("VulnerabilityID"), F.col("package_name").alias("PkgName"), F.col("installed_version").alias("InstalledVersion"), F.col("fixed_raw").alias("FixedVersion"), F.expr("CASE row_id % 3 WHEN 0 THEN 'HIGH' ELSE 'LOW' END").alias("Severity"))
-    # A report is a host's and a scan's; at a time it holds what one scan of one host found.
-    report = rows.groupBy("host", F.expr("pmod(xxhash64(row_id), 64)").alias("part")).agg(F.collect_list(item).alias("v")).select("host", F.array(F.struct(F.lit("os-pkgs").alias("Type"), F.col("v").alias("Vulnerabilities"))).alias("Results"))
+    # A report holds some thousand rows of a host, so the number of reports grows with the table.
+    parts = max(1, rows.count() // (5 * ENTRIES))
+    report = rows.groupBy("host", F.pmod(F.xxhash64("row_id"), F.lit(parts)).alias("part")).agg(F.collect_list(item).alias("v")).select("host", F.array(F.struct(F.lit("os-pkgs").alias("Type"), F.col("v").alias("Vulnerabilities"))).alias("Results"))
     report.write.partitionBy("host").json(where)
-    read = spark.read.schema(feeds.REPORT + ", host string").json(where)
-    flat = read.select("host", F.explode("Results").alias("r")).select("host", F.explode("r.Vulnerabilities").alias("x"))
-    return flat.groupBy(F.col("host").alias("hostname"), F.col("x.VulnerabilityID").alias("cve_id"), F.col("x.PkgName").alias("package_name"), F.col("x.InstalledVersion").alias("installed_version"), F.col("x.FixedVersion").alias("fixed_raw"), F.col("x.Severity").alias("severity")).agg(F.count("*").alias("n"))
+    return feeds.scan_reports(spark, where, lines=True).groupBy("hostname", "cve_id", "package_name", "installed_version", "fixed_raw", "severity").agg(F.count("*").alias("n"))
 
 
 @query
@@ -254,10 +326,8 @@ def store_reconcile(spark, sf_dir):
 
 @query
 def version_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     v = Tables(spark, sf_dir).findings.where("fixed_version IS NOT NULL").select(F.col("fixed_version").alias("version")).distinct()
-    return v.withColumn("version_rank", F.rank().over(Window.orderBy(version_key(F.col("version"))))).select("version", F.col("version_rank").cast("long").alias("version_rank"))
+    return merge.ranked(v, version_key(F.col("version")), "version_rank", lambda df: written(df, "ranges")).select("version", F.col("version_rank").cast("long").alias("version_rank"))
 
 
 @query
@@ -294,6 +364,26 @@ def factors(spark, sf_dir):
     return risk.explain(Tables(spark, sf_dir).view)
 
 
+@query
+def factors_json(spark, sf_dir):
+    """What is stored of each assessment, read back from its JSON text."""
+    f = risk.factors_json(Tables(spark, sf_dir).view)
+    at = lambda path: F.get_json_object("factors", path)
+    return f.select("finding_id", "policy_version", at("$.components.severity.points").cast("decimal(5,2)").alias("severity"), at("$.components.exploit.reason").alias("exploit"), at("$.components.exposure.environment").alias("environment"), at("$.components.asset.data_classification").alias("data"), at("$.band_floor.rule").alias("floor"), at("$.band_floor.scored_band").alias("scored_band"))
+
+
+@query
+def factors_reshaped(spark, sf_dir):
+    """Factors of an old shape rewritten to the present one."""
+    v = Tables(spark, sf_dir).view
+    component = lambda c, most: F.struct(F.col(c).cast("string").alias("points"), F.lit(most).alias("max"))
+    sla = F.when(F.col("finding_id") % 3 > 0, F.struct(F.col("sla_rule").alias("rule"), F.col("kev_deadline_passed"), F.col("kev_due_date").cast("string").alias("kev_due_date")))
+    old = F.struct(F.struct(component("severity_points", "40").alias("severity"), component("exploit_points", "30").alias("exploit")).alias("components"), F.col("floor_rule").alias("band_floor_rule"), F.col("scored_band"), sla.alias("sla"))
+    made = v.select("finding_id", risk.reshape_factors(F.to_json(old)).alias("factors"))
+    at = lambda path: F.get_json_object("factors", path)
+    return made.select("finding_id", at("$.components.severity.points").cast("decimal(5,2)").alias("severity"), at("$.components.exploit.max").alias("max"), at("$.band_floor.rule").alias("floor"), at("$.band_floor.scored_band").alias("scored_band"), at("$.band_floor_rule").alias("old_floor"), at("$.sla.rule").alias("sla"), at("$.sla.kev_deadline_passed").alias("passed"), at("$.sla.kev_due_date").alias("due"))
+
+
 def _two_runs(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A history in which every third finding scored a point more, and the new run."""
     new = t.view.select("finding_id", F.lit(risk.POLICY).alias("policy_version"), "risk_band", "due_date", "risk_score")
@@ -344,6 +434,13 @@ def fix_actions(spark, sf_dir):
     return a.withColumn("requirements", F.coalesce(asked, F.lit(""))).drop("version_requirements")
 
 
+@query
+def fix_actions_filtered(spark, sf_dir):
+    """The most urgent actions of two bands and a team; their targets are those of all bands."""
+    a = correlate.fix_actions(Tables(spark, sf_dir).kept_view, bands=["critical", "medium"], teams=["asia"], limit=40)
+    return a.select("idempotency_key", "title", "risk_band", "due_date", "fixed_version", "asset_count", "finding_count")
+
+
 @query
 def package_targets(spark, sf_dir):
     return correlate.package_targets(Tables(spark, sf_dir).view)
@@ -351,7 +448,7 @@ def package_targets(spark, sf_dir):
 
 @query
 def version_requirements(spark, sf_dir):
-    return correlate.requirements(Tables(spark, sf_dir).view)
+    return correlate.requirements(Tables(spark, sf_dir).view).where("has_fix").drop("kev_listed")
 
 
 @query
@@ -371,7 +468,10 @@ def mixed_bands(spark, sf_dir):
 
 @query
 def target_violations(spark, sf_dir):
-    return correlate.target_violations(Tables(spark, sf_dir).view)
+    """Of the actions a quarter each gets a target below all fixes, one of another system, and a key that isn't its own."""
+    a = Tables(spark, sf_dir).actions.withColumn("n", F.when(F.col("has_fix"), F.conv(F.substring("idempotency_key", 1, 6), 16, 10).cast("long") % 4))
+    foreign = F.expr("CASE os_family WHEN 'rhel' THEN '99.0-r1' ELSE '99.0-1.el9' END")
+    return correlate.target_violations(a.withColumns({"fixed_version": F.when(F.col("n") == 0, "0.0.1").when(F.col("n") == 1, foreign).otherwise(F.col("fixed_version")), "idempotency_key": F.when(F.col("n") == 2, "one-key").otherwise(F.col("idempotency_key"))}))
 
 
 # Reports
@@ -506,7 +606,9 @@ def fact_chunks(spark, sf_dir):
 
 @query
 def documents_assembled(spark, sf_dir):
-    return retrieval.documents_assembled(Tables(spark, sf_dir).chunks).withColumn("text", F.md5(F.col("text").cast("binary")))
+    t = Tables(spark, sf_dir)
+    titles = t.cves.where("cve_key % 3 <> 0").select("cve_id", F.expr("CASE WHEN cve_key % 3 = 1 THEN upper(description) ELSE '' END").alias("title"))
+    return retrieval.documents_assembled(t.chunks, titles).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 @query
@@ -524,9 +626,10 @@ def postings(spark, sf_dir):
 
 
 def _two_words(rows: DataFrame, key: str) -> DataFrame:
-    """A query of the first two different longer words of each text."""
-    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{4,}"), 0)), 1, 2)
-    return rows.select(F.col(key).alias("query_id"), F.array_join(words, " ").alias("query"), F.size(words).alias("n")).where("n = 2").drop("n")
+    """A query of the two longest different words of each whole text, the longer one first."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{4,}"), 0))
+    best = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)["w"]
+    return rows.select(F.col(key).alias("query_id"), F.array_join(best, " ").alias("query"), F.size(best).alias("n")).where("n = 2").drop("n")
 
 
 @query
@@ -580,13 +683,12 @@ def embed_hash(spark, sf_dir):
 
 
 def _branches(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Lexical and dense rankings of documents for every fiftieth vector, whose document's words are the query."""
+    """Lexical rankings of all documents, for the words of every fiftieth, and dense ones of all vectors, for that document's."""
     q, e = _vectors(t)
-    docs = t.table("documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id")
+    docs = t.table("documents")
     asked = _two_words(docs.where("doc_id % 50 = 0"), "doc_id")
     lexical = retrieval.lexical_search(asked, retrieval.postings(docs, "doc_id", "text"), "doc_id", retrieval.CANDIDATES)
-    dense = retrieval.dense_search(q.drop("label"), e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), retrieval.CANDIDATES).withColumnRenamed("vec_id", "doc_id")
-    return lexical, dense
+    return lexical, retrieval.dense_search(q.drop("label"), e, retrieval.CANDIDATES).withColumnRenamed("vec_id", "doc_id")
 
 
 @query
@@ -605,35 +707,45 @@ def hybrid_topk(spark, sf_dir):
 
 @query
 def mode_comparison(spark, sf_dir):
-    """How often each mode's hits are of the query's language."""
+    """How often each mode's hits are chunks of the id that a question is about, with and without the restriction to named ids."""
     t = Tables(spark, sf_dir)
-    lexical, dense = _branches(t)
-    lang = t.table("documents").select("doc_id", "lang")
-    modes = {"lexical": lexical.where("rank <= 8"), "dense": dense.where("rank <= 8"), "hybrid": retrieval.fuse(lexical, dense, "doc_id")}
+    sample = retrieval.query_sample(t.cves, t.findings)
+    asked = sample.select(F.col("cve_id").alias("query_id"), F.concat(F.lit('"'), "cve_id", F.lit('" OR '), F.element_at(F.split("description", " "), -1)).alias("query"), F.concat(F.lit("how do we fix "), "cve_id", F.lit(": "), "description").alias("content"))
+    asked = written(asked, "asked")
     out = None
-    for mode, hits in modes.items():
-        rows = hits.join(lang, "doc_id").join(lang.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("want")), "query_id")
-        one = rows.agg(F.count("*").alias("hits"), F.round(F.avg((F.col("lang") == F.col("want")).cast("int")), 4).alias("on_target")).select(F.lit(mode).alias("mode"), "hits", "on_target")
-        out = one if out is None else out.unionByName(one)
-    return out
+    for prefilter in (False, True):
+        hits = retrieval.chunk_search(asked, t.chunks, prefilter=prefilter, modes=retrieval.MODES).withColumn("prefilter", F.lit(prefilter))
+        out = hits if out is None else out.unionByName(hits)
+    good = F.startswith("chunk", F.concat("query_id", F.lit("#")))
+    return out.groupBy("mode", "prefilter").agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("hits"), F.round(F.avg(good.cast("int")), 4).alias("on_target"))
+
+
+def _expected(q: DataFrame, e: DataFrame) -> DataFrame:
+    """For each query the number of other vectors with its label, counted by label."""
+    return q.join(e.groupBy("label").agg(F.count("*").alias("n")), "label").select("query_id", (F.col("n") - 1).alias("n")).where("n > 0")
 
 
 @query
 def retrieval_eval(spark, sf_dir):
     q, e = _vectors(Tables(spark, sf_dir))
-    want = q.select("query_id", "label").join(e.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
-    return retrieval.evaluate(retrieval.dense_search(q.drop("label"), e, 8).select("query_id", "vec_id"), want, 8)
+    hits = retrieval.dense_search(q.drop("label"), e, 8).join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", F.col("label").alias("want")), "query_id")
+    return retrieval.evaluate_found(hits.select("query_id", (F.col("label") == F.col("want")).alias("good")), _expected(q, e), 8)
 
 
 @query
 def eval_grid(spark, sf_dir):
-    """Recall of the approximate search against the exact one, by the number of hash tables and how far it reaches."""
+    """Recall and precision against exact search: exact and hashed, by tables and reach, over all vectors and over those of the query's label."""
     q, e = _vectors(Tables(spark, sf_dir))
-    want = retrieval.dense_search(q.drop("label"), e, 8).select("query_id", "vec_id")
     out = None
-    for tables in (2, 6):
-        for reach in (1.1, 1.3):
-            one = retrieval.evaluate(retrieval.ann_search(q.drop("label"), e, 8, tables=tables, reach=reach).select("query_id", "vec_id"), want, 8).select(F.lit(tables).alias("tables"), F.lit(reach).alias("reach"), "queries", "recall_at_k", "precision_at_k")
+    for filtered in (False, True):
+        want = written(retrieval.dense_search(q if filtered else q.drop("label"), e, 8, on=["label"] if filtered else None).select("query_id", "vec_id"), "exact")
+        settings = [("exact", 0, 0.0)] + [("hashed", tables, reach) for tables in (2, 8) for reach in (1.1, 1.3)]
+        for backend, tables, reach in settings:
+            if backend == "exact":
+                hits = want
+            else:
+                hits = retrieval.ann_search(q.drop("label"), e, 8, tables=tables, reach=reach, labels=("label", q, e) if filtered else None).select("query_id", "vec_id")
+            one = retrieval.evaluate(hits, want, 8).select(F.lit(backend).alias("backend"), F.lit(filtered).alias("filtered"), F.lit(tables).alias("tables"), F.lit(reach).alias("reach"), "queries", "recall_at_k", "precision_at_k")
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -648,18 +760,14 @@ def query_sample(spark, sf_dir):
 def prefilter_ids(spark, sf_dir):
     """Chunks that searches naming an id may find."""
     t = Tables(spark, sf_dir)
-    asked = t.cves.where("cve_key % 10 = 1").select(F.col("cve_key").alias("query_id"), F.concat(F.lit("how to fix "), F.lower("cve_id")).alias("query"))
+    asked = t.cves.select(F.col("cve_key").alias("query_id"), F.concat(F.lit("how to fix "), F.lower("cve_id")).alias("query"))
     return retrieval.named_ids(asked).join(t.chunks, "cve_id").select("query_id", "cve_id", "chunk_index")
 
 
 @query
 def plan_context(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/fathomline-shared")
-    # Both are used several times: computed once, and the plan stays small.
-    actions, chunks = t.actions.checkpoint(), t.chunks.checkpoint()
-    return retrieval.plan_context(actions, chunks).select("idempotency_key", "cve_id", F.size("context").alias("parts"), F.get("context", 0).alias("first"), F.length("prompt").alias("prompt_chars"))
+    return retrieval.plan_context(t.actions, t.chunks).select("idempotency_key", "cve_id", "chunk_ids", F.get("context", 0).alias("first"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 # Plans
@@ -706,7 +814,26 @@ def plans_with_context(spark, sf_dir):
 @query
 def action_plan_flags(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return reports.plan_flags(t.actions, t.plans).select("idempotency_key", "has_plan", "plan_grounded")
+    return reports.plan_flags(t.actions, t.plans).select("idempotency_key", "title", "owner_team", "package_name", "os_family", "risk_band", "fixed_version", "due_date", "asset_count", "finding_count", "hostnames", "has_plan", "plan_grounded")
+
+
+@query
+def plan_detail(spark, sf_dir):
+    """One plan by its id."""
+    p = Tables(spark, sf_dir).plans
+    return reports.plan_by_id(p, p.agg(F.min("plan_id").alias("plan_id"))).select("plan_id", "cve_id", "package_name", "fixed_version", "markdown", "grounded", "created_at")
+
+
+@query
+def draft_markdown(spark, sf_dir):
+    """Drafts for all actions as markdown."""
+    a = Tables(spark, sf_dir).actions
+    steps = F.when(F.col("has_fix"), F.array(F.concat(F.lit("Take a snapshot of "), "package_name"), F.lit("Upgrade"))).otherwise(F.array().cast("array<string>"))
+    draft = F.struct(
+        F.col("title").alias("summary"), steps.alias("steps"), F.when(F.col("has_fix"), F.array(F.concat(F.lit("upgrade "), "package_name"))).alias("commands"), F.when(~F.col("has_fix"), "Isolate the hosts.").otherwise("").alias("compensating_controls"),
+        F.concat(F.lit("Go back to "), "installed_version").alias("rollback"), (F.col("internet_facing_count") > 0).alias("requires_reboot"),
+    )
+    return a.select("idempotency_key", worklist_ops.draft_markdown(draft).alias("markdown"))
 
 
 @query
@@ -751,8 +878,16 @@ def plan_persist(spark, sf_dir):
 
 @query
 def run_outcomes(spark, sf_dir):
-    rows = Tables(spark, sf_dir).plans.select(F.expr("CASE WHEN NOT grounded THEN 'ungrounded' WHEN n % 5 = 0 THEN 'cached' WHEN n % 17 = 0 THEN 'error' ELSE 'grounded' END").alias("status"))
-    return worklist_ops.run_outcomes(rows)
+    return worklist_ops.run_outcomes(_runs(Tables(spark, sf_dir)))
+
+
+def _runs(t: Tables) -> DataFrame:
+    return t.plans.select(F.col("plan_id").alias("idempotency_key"), F.expr("CASE WHEN NOT grounded THEN 'ungrounded' WHEN n % 5 = 0 THEN 'cached' WHEN n % 19 = 0 THEN 'error' ELSE 'grounded' END").alias("status"))
+
+
+@query
+def run_failures(spark, sf_dir):
+    return worklist_ops.failures(_runs(Tables(spark, sf_dir)))
 
 
 @query
@@ -816,18 +951,29 @@ def ticket_links(spark, sf_dir):
     return tickets.links(t.actions.where("risk_band <> 'low'"), every, every.where("finding_id % 2 = 0"))
 
 
+def _covering(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Tickets over all findings, by package and asset group, with their links; and which have nothing open."""
+    f = t.findings.withColumn("idempotency_key", F.concat_ws("/", "package_name", (F.col("asset_id") % 50).cast("string"), F.substring("installed_version", 1, 6)))
+    f = written(f.select("idempotency_key", "finding_id", "status"), "covering")
+    filed = f.select("idempotency_key").distinct().withColumns({"title": F.concat(F.lit("Upgrade "), "idempotency_key"), "state": F.when(F.split("idempotency_key", "/")[1].cast("int") % 4 > 0, "open").otherwise("dropped")})
+    return filed, tickets.closable(filed, f.select("idempotency_key", "finding_id"), f)
+
+
 @query
 def closable_tickets(spark, sf_dir):
-    """Of tickets over every finding, by package and asset group, those with nothing open."""
-    f = Tables(spark, sf_dir).findings.withColumn("idempotency_key", F.concat_ws("/", "package_name", (F.col("asset_id") % 50).cast("string"), F.substring("installed_version", 1, 6)))
-    filed = f.select("idempotency_key").distinct().withColumns({"title": F.concat(F.lit("Upgrade "), "idempotency_key"), "state": F.lit("open")})
-    return tickets.closable(filed, f.select("idempotency_key", "finding_id"), f)
+    return _covering(Tables(spark, sf_dir))[1]
+
+
+@query
+def close_tickets(spark, sf_dir):
+    """The ticket table after those with nothing open are closed."""
+    return tickets.close(*_covering(Tables(spark, sf_dir))).select("idempotency_key", "state")
 
 
 @query
 def tracker_payload(spark, sf_dir):
     p = tickets.tracker_payload(Tables(spark, sf_dir).tickets)
-    return p.select("idempotency_key", F.get_json_object("issue", "$.fields.summary").alias("summary"), F.get_json_object("issue", "$.fields.priority.name").alias("priority"), F.get_json_object("issue", "$.fields.duedate").alias("duedate"), F.get_json_object("issue", "$.fields.labels[0]").alias("label"), F.get_json_object("alternative", "$.title").alias("title"))
+    return p.select("idempotency_key", F.get_json_object("issue", "$.fields.summary").alias("summary"), F.get_json_object("issue", "$.fields.priority.name").alias("priority"), F.get_json_object("issue", "$.fields.duedate").alias("duedate"), F.get_json_object("issue", "$.fields.labels[0]").alias("label"), F.get_json_object("alternative", "$.title").alias("title"), F.get_json_object("alternative", "$.labels[0]").alias("other_label"))
 
 
 # Streams
@@ -836,17 +982,29 @@ def tracker_payload(spark, sf_dir):
 @query
 def stream_findings(spark, sf_dir):
     """Seven scans, one micro-batch each, merged into the findings table."""
-    import uuid
-
-    where = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/fathomline-shared'}/stream-{uuid.uuid4().hex}"
-    t = Tables(spark, sf_dir)
-    rows = t.staged
+    where = scratch(spark, "stream")
+    # Scans arrive one after another, each in so many files as its rows need, and a batch takes the files of one.
+    rows = written(Tables(spark, sf_dir).staged, "staged")
+    files = max(1, rows.count() // (7 * 1_000_000))
     for scan in range(1, 8):
-        rows.where(F.col("scan_id") == scan).coalesce(1).write.parquet(f"{where}/in/scan={scan}")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*")
-    empty = fx.findings_of(rows)
-    stream.stream_merge(source, f"{where}/out", fx.findings_of, f"{where}/checkpoint", empty)
-    return stream.latest_snapshot(spark, f"{where}/out", 7).select(*fx.IDENTITY, "first_seen")
+        rows.where(F.col("scan_id") == scan).repartition(files).write.parquet(f"{where}/in/scan={scan}")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{where}/in/*")
+    stream.stream_merge(source, f"{where}/out", fx.findings_of, f"{where}/checkpoint", parts=8)
+    return stream.current(spark, f"{where}/out").select(*fx.IDENTITY, "first_seen", "last_scan_id", "status")
+
+
+@query
+def quota_stream(spark, sf_dir):
+    """Calls and weight of each key in sliding windows, as a stream over the events."""
+    where = scratch(spark, "quota")
+    e = Tables(spark, sf_dir).table("events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("weight"))
+    e.write.parquet(f"{where}/in")
+    source = spark.readStream.schema(e.schema).parquet(f"{where}/in")
+    audit = stream.stream_quota(source, 86_400, 43_200, "3650 days")
+    # Complete mode: the few windows of the table are written anew with each batch.
+    write = lambda df, _: df.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "key", "calls", "used").write.mode("overwrite").parquet(f"{where}/out")
+    audit.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out").select("start", "key", "calls", F.round("used", 4).alias("used"))
 
 
 @query

@@ -12,10 +12,13 @@ RECORD = f"""id string, published string, lastModified string, metrics struct<cv
     descriptions array<struct<lang: string, value: string>>, weaknesses array<struct<description: array<struct<value: string>>>>, references array<struct<url: string>>"""
 
 
-def scan_reports(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each vulnerability of each report file, in report order; the host is the file's name."""
-    files = spark.read.schema(REPORT).option("multiLine", True).json(path)
-    host = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+def scan_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A row for each vulnerability of each report, in report order.
+
+    A report is a file, named by its host; with `lines` a line of the files below host=NAME, so that many fit a file.
+    """
+    files = spark.read.schema(REPORT).option("multiLine", not lines).json(path)
+    host = F.regexp_extract(F.col("_metadata.file_path"), r"/host=([^/]+)/", 1) if lines else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     results = files.select(host.alias("hostname"), F.posexplode("Results").alias("r", "result"))
     rows = results.select("hostname", "r", F.col("result.Type").alias("package_type"), F.posexplode("result.Vulnerabilities").alias("v", "x"))
     return rows.select(
@@ -32,9 +35,9 @@ def best_cvss(scores: Column) -> Column:
     return F.coalesce(*named, rest["value"])
 
 
-def exploited_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """One row per listed id; blank values are null, rows without an id are left out."""
-    x = spark.read.schema(CATALOGUE).option("multiLine", True).json(path).select(F.explode("vulnerabilities").alias("x"))
+def exploited_catalogue(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per listed id of catalogue files (with `lines`, a catalogue is a line); blank values are null, rows without an id are left out."""
+    x = spark.read.schema(CATALOGUE).option("multiLine", not lines).json(path).select(F.explode("vulnerabilities").alias("x"))
     text = lambda f: F.nullif(F.trim(f"x.{f}"), F.lit(""))
     rows = x.select(
         text("cveID").alias("cve_id"), F.try_to_date(text("dateAdded"), "yyyy-MM-dd").alias("date_added"), F.try_to_date(text("dueDate"), "yyyy-MM-dd").alias("due_date"),

@@ -9,23 +9,40 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import ingest, risk
 
 
-def stream_merge(source: DataFrame, path: str, to_findings: Callable[[DataFrame], DataFrame], checkpoint: str, schema_of: DataFrame) -> None:
+#: Parts of the table of findings, by a hash of the asset.
+PARTS = 64
+
+
+def stream_merge(source: DataFrame, path: str, to_findings: Callable[[DataFrame], DataFrame], checkpoint: str, parts: int = PARTS) -> None:
     """Merge each micro-batch of scan rows into the table of findings below `path`.
 
-    Each batch writes a new snapshot, named by its id; a batch that runs again reads the same snapshot before it and
-    writes the same one, so the merge is idempotent.
+    A batch writes anew the parts of the table that its assets lie in, below its number, and no others. A part's rows
+    are those of the last batch that wrote it. A batch that runs again reads what the batches before it wrote and
+    writes the same, so the merge is idempotent.
     """
+    part = F.pmod(F.xxhash64("asset_id"), F.lit(parts)).cast("int")
 
     def merge_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], schema_of.schema)
-        ingest.merge_findings(old, to_findings(batch)).write.mode("overwrite").parquet(f"{path}/{number}")
+        found = to_findings(batch).withColumn("part", part)
+        touched = [r.part for r in found.select("part").distinct().collect()]  # at most `parts`
+        old = current(spark, path, number)
+        old = old.where(F.col("part").isin(touched)).drop("batch") if old is not None else spark.createDataFrame([], found.schema)
+        after = ingest.merge_findings(old.drop("part"), found.drop("part")).withColumn("part", part)
+        after.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
 
     source.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_snapshot(spark: SparkSession, path: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/{batches - 1}")
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table as the batches (those before number `before`) left it; null without any. Folders tell which batch wrote a part last; no data is read for that."""
+    if before == 0:
+        return None
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    last = rows.groupBy("part").agg(F.max("batch").alias("batch"))  # of partition columns alone
+    return rows.join(F.broadcast(last), ["part", "batch"], "left_semi")
 
 
 def incremental_score(findings: DataFrame, cves: DataFrame, assets: DataFrame, since: str) -> DataFrame:
