@@ -4,23 +4,27 @@ Every document stands in its source's shuffled queue once for each epoch. Its vi
 source's tokens up to and with it, divided by the source's target weight; the mix takes documents in the
 order of their finish times until the budget is spent.
 
-Both running sums are taken in two levels: sums per bucket first (pre-aggregated before the shuffle), a
-running sum over the buckets, then a window inside each bucket (of the global order, only inside the slot
-where the budget ends). So neither a source with most of the rows nor the global order ever lies in one task.
+The queues are made of narrow rows, without texts. Both running sums are taken in two levels: sums per bucket first
+(pre-aggregated before the shuffle), a running sum over the buckets, then a window inside each bucket. The global
+order is cut by ranges of finish times, each finer than the last, until the range in which the budget ends holds few
+rows: only these are put in order together. What the mix takes of a source is then a beginning of its queue, so its
+last place for each epoch, a row for each source, is all that the documents themselves are compared with.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .session import Tables, broadcast_if_small
+
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Budget as a share of all words, and how often a source may be gone through.
 BUDGET, EPOCHS = 1.5, 2
 #: Buckets of a source's shuffled queue and of the finish times.
 BUCKETS = 1 << 12
-#: Slots of the global order of finish times in a round of the queues (a finish time of 1 is the source's target).
-GRID = 1 << 13
+#: Slots into which a range of finish times is cut (a finish time of 1 is the source's target), and rows that are put in order together.
+GRID, FEW = 1 << 10, 100_000
 
 
 def size_of(text: str | Column = "text") -> Column:
@@ -52,55 +56,66 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return share.select("source", "source_size", "weight", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_water") * F.col("weight"))).alias("target"))
 
 
-def _queues(rows: DataFrame, starts: DataFrame) -> DataFrame:
-    """rows (source, size, _key, _b and more) with source_size, target and the finish time of the first epoch."""
-    starts = starts.select(F.col("source").alias("_s"), F.col("_b").alias("_sb"), "_before", "source_size", "target")
-    in_bucket = Window.partitionBy("source", "_b").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    queue = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb"))).withColumn("_at", F.col("_before") + F.sum("size").over(in_bucket))
-    return queue.withColumn("_finish", F.when(F.col("target") > 0, F.col("_at") / F.col("target"))).drop("_s", "_sb", "_before", "_b", "_at")
-
-
-def _finish(epoch: int) -> Column:
-    return F.col("_finish") + F.try_divide(F.col("source_size") * epoch, F.col("target"))
+def _last_taken(queue: DataFrame, total: int, epochs: int) -> tuple | None:
+    """The last (finish, key, doc_id) in the global order of the queues' entries whose running sum is within `total`; null without any."""
+    finish = [F.col("finish") + F.try_divide(F.col("source_size") * e, F.col("target")) for e in range(epochs)]
+    entries = queue.where("size > 0 AND target > 0").select("size", "key", "doc_id", F.explode(F.array(*finish)).alias("finish"))
+    low, high, left = 0.0, None, total
+    while True:
+        inside = entries.where(F.col("finish") >= low)
+        if high is not None:
+            inside = inside.where(F.col("finish") < high)
+        every = inside.agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("finish").alias("low"), F.max("finish").alias("high")).first()
+        if not every.n or every.size <= left:
+            return inside.agg(F.max(F.struct("finish", "key", "doc_id")).alias("m")).first().m
+        width = (every.high - every.low) / GRID
+        if every.n <= FEW or width <= 0 or every.low + width == every.low:
+            order = Window.orderBy("finish", "key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            found = inside.withColumn("run", F.sum("size").over(order)).where(F.col("run") <= left).agg(F.max(F.struct("finish", "key", "doc_id")).alias("m")).first().m
+            return found or entries.where(F.col("finish") < low).agg(F.max(F.struct("finish", "key", "doc_id")).alias("m")).first().m
+        slot = F.least(F.floor((F.col("finish") - every.low) / width), F.lit(GRID - 1))
+        slots = {r.slot: r.size for r in inside.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size")).collect()}  # at most GRID rows
+        for i in sorted(slots):
+            if slots[i] > left:
+                low, high = every.low + i * width, (every.low + (i + 1) * width if i < GRID - 1 else high)
+                break
+            left -= slots[i]
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, buckets: int = BUCKETS) -> DataFrame:
     """The columns of docs (but for clashing names) with size, source_size, target and taken, one row for each row.
 
     taken: words that the mix takes of the row: its size times the epochs whose finish time comes before the budget
-    is spent. The order is by a hash of seed, doc_id and text, so reruns agree; repeated rows each have a place in
-    the queue, next to each other. Null or blank texts have size 0 and taken 0; a null source is a source of its
-    own, the last. An empty table gives an empty result.
+    is spent. The order is by a hash of seed, doc_id and text, so reruns agree. Rows that equal each other in source,
+    doc_id and text share a place in the queue, and are taken together. Null or blank texts have size 0 and taken 0; a
+    null source is a source of its own, the last. An empty table gives an empty result. Long texts are read whole.
     """
+    tables = Tables(docs.sparkSession, "mix")
     spread = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.select(*spread, size_of().alias("size"), key.alias("_key"), F.pmod(key, F.lit(buckets)).alias("_b"))
-    slim = rows.select("doc_id", "source", "size", "_key", "_b")
-    sums = slim.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
-    share = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, budget, epochs)
-    in_source = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(in_source), F.lit(0)))
-    starts = starts.join(share.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t"))).drop("_t")
-
-    # Where in the global order of finish times the budget is spent: first the slot of the grid, then the row in it.
-    queue = _queues(slim, starts).where("size > 0")
-    entries = queue.select("size", "_key", "doc_id", F.explode(F.array(*map(_finish, range(epochs)))).alias("finish"))
-    entries = entries.withColumn("slot", F.least(F.floor(F.col("finish") * GRID), F.lit(2 * GRID)))
-    slots = entries.groupBy("slot").agg(F.sum("size").alias("n"))
-    running = slots.withColumn("sum", F.sum("n").over(Window.orderBy("slot"))).withColumn("all", F.sum("n").over(Window.partitionBy()) * (budget / epochs))
-    cut = running.where(F.col("sum") > F.col("all")).orderBy("slot").select("slot", (F.col("all") - F.col("sum") + F.col("n")).alias("left")).first()
-    last = None
-    if cut:
-        inside = entries.where(F.col("slot") == cut.slot).withColumn("_run", F.sum("size").over(Window.orderBy("finish", "_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-        last = inside.where(F.col("_run") <= cut.left).agg(F.max(F.struct("finish", "_key")).alias("last")).first().last
-
-    def takes(e: int) -> Column:
-        if cut is None:
-            return F.lit(True)
-        before = F.least(F.floor(_finish(e) * GRID), F.lit(2 * GRID)) < cut.slot
-        if last is None:
-            return before
-        return before | (_finish(e) < last.finish) | ((_finish(e) == last.finish) & (F.col("_key") <= last._key))
-
-    taken = sum((F.when(takes(e), F.col("size")).otherwise(0) for e in range(epochs)), F.lit(0))
-    return _queues(rows, starts).withColumn("taken", F.coalesce(taken, F.lit(0)).cast("long")).select(*spread, "size", "source_size", "target", "taken")
+    slim = tables.keep(docs.select("doc_id", "source", size_of().alias("size"), key.alias("key")).withColumn("b", F.pmod("key", F.lit(buckets))))
+    sums = slim.groupBy("source", "b").agg(F.sum("size").alias("sum"))
+    share = tables.keep(targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, budget, epochs))
+    in_source = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("before", F.coalesce(F.sum("sum").over(in_source), F.lit(0))).select(F.col("source").alias("_s"), F.col("b").alias("_b"), "before")
+    in_bucket = Window.partitionBy("source", "b").orderBy("key", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    queue = slim.where("size > 0").withColumn("run", F.sum("size").over(in_bucket)).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b") == F.col("_b")))
+    of_source = share.select(F.col("source").alias("_t"), "source_size", "target")
+    queue = queue.join(broadcast_if_small(of_source), F.col("source").eqNullSafe(F.col("_t")))
+    queue = tables.keep(queue.select("doc_id", "source", "size", "key", "b", "source_size", "target", F.try_divide(F.col("before") + F.col("run"), F.col("target")).alias("finish")))
+    total = share.agg(F.sum("source_size")).first()[0] or 0
+    last = _last_taken(queue, int(total * budget), epochs)
+
+    # The last place of each source's queue that the mix takes, for each epoch.
+    place = F.struct("b", "key", "doc_id")
+    ends = []
+    for e in range(epochs):
+        finish = F.col("finish") + F.try_divide(F.col("source_size") * e, F.col("target"))
+        within = F.lit(False) if last is None else F.struct(finish, "key", "doc_id") <= F.struct(F.lit(last.finish), F.lit(last.key), F.lit(last.doc_id).cast(docs.schema["doc_id"].dataType))
+        ends.append(F.max(F.when(within, place)).alias(f"end{e}"))
+    cuts = share.select("source", "source_size", "target").join(queue.groupBy(F.col("source").alias("_t")).agg(*ends), F.col("source").eqNullSafe(F.col("_t")), "left").drop("_t")
+    cuts = tables.keep(cuts)
+    packed = docs.select(F.struct(*[F.col(c) for c in spread]).alias("_row"), F.col("source").alias("_s"), size_of().alias("size"), F.struct(F.pmod(key, F.lit(buckets)).alias("b"), key.alias("key"), "doc_id").alias("_place"))
+    joined = packed.join(broadcast_if_small(cuts), F.col("_s").eqNullSafe(F.col("source")))
+    taken = sum((F.when(F.col("_place") <= F.col(f"end{e}"), F.col("size")).otherwise(0) for e in range(epochs)), F.lit(0))
+    return joined.select("_row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
