@@ -10,7 +10,7 @@ in arrays and already reduced to one entry a task. Then matches are extended fro
 
 Runs that also start in a smaller document cover words to remove, and neighbouring runs join to maximal repeats.
 
-The sets of anchors travel back as filters of a fixed number of bits. They only save work: what they let through in
+The sets of anchors travel back as filters of a bounded number of bits. They only save work: what they let through in
 error finds no partner among the exact hashes.
 """
 
@@ -30,10 +30,13 @@ from .textbytes import _GRAM_BASES, SPACED, U, Texts, Words, _ranges, grams, sli
 LENGTH, ANCHOR = 13, 5
 #: Two hashes of a text: with the doc_id they tell rows apart.
 ROW = ["row1", "row2"]
-#: Bits of the filter of shared anchors (16 MB): documented bound of what is broadcast.
-FILTER_BITS = 27
-#: Exchanged packs per shuffle partition, so that partitions come out even.
+#: Bits of the filter of shared anchors, by the size of the texts: at least 2**20, and at most 2**29 (64 MB, the bound of
+#: what is broadcast).
+FILTER_BITS = (20, 29)
+#: Exchanged packs per shuffle partition, so that partitions come out even and a pack is a small part of one.
 PACKS = 8
+#: Entries of a pack after which equal keys are brought together.
+HELD = 4_000_000
 
 NEVER = np.iinfo(np.int64).max
 
@@ -150,18 +153,35 @@ def _emit(found, names: list[str], bits: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    """(pack, keys, smallest document, many) for each pack of this partition; a pack's entries are held at once."""
-    by: dict[int, list] = {}
+    """(pack, keys, smallest document, many) for each pack; packs come one after another, and one's entries are held at once."""
+
+    def out(pack, held):
+        *keys, doc, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pack, *_least_per_key(keys, doc, many)
+
+    now, held, size = None, [], 0
     for batch in batches:
-        for pack, *cols in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            by.setdefault(pack, []).append([np.frombuffer(c, _TYPES[n]) for c, n in zip(cols, names, strict=True)])
-    for pack in list(by):
-        *keys, doc, many = (np.concatenate(x) for x in zip(*by.pop(pack), strict=True))
-        yield pack, *_least_per_key(keys, doc, many)
+        for i in range(batch.num_rows):
+            pack = batch.column(0)[i].as_py()
+            if held and pack != now:
+                yield out(now, held)
+                held, size = [], 0
+            now = pack
+            held.append([np.frombuffer(batch.column(n)[i].as_py(), _TYPES[n]) for n in names])
+            size += len(held[-1][0])
+            if size > HELD and len(held) > 1:  # equal keys of many tasks come down to one entry each
+                *keys, doc, many = (np.concatenate(x) for x in zip(*held, strict=True))
+                keys, doc, many = _least_per_key(keys, doc, many)
+                held = [[*keys, doc, many]]
+                size = len(doc) // 2
+    if held:
+        yield out(now, held)
 
 
 def _dealt(rows: DataFrame, function, names: list[str]) -> DataFrame:
-    return rows.mapInArrow(function, "pack int, " + ", ".join(f"{n} binary" for n in names)).repartition(partitions(rows.sparkSession), "pack")
+    """What `function` yields, by pack: Spark's sort brings a pack's rows together, and spills where it must."""
+    made = rows.mapInArrow(function, "pack int, " + ", ".join(f"{n} binary" for n in names))
+    return made.repartition(partitions(rows.sparkSession), "pack").sortWithinPartitions("pack")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
@@ -174,13 +194,16 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
                 yield g, ids[at:to], rows[at:to]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_bits: int | None = None) -> DataFrame:
     """doc_id, row1, row2 (two hashes of the text), gone: the maximal stretches [a, b) of words in runs of `length` words that also start in a smaller document.
 
     Only rows with such runs; rows that equal each other in doc_id and text come once.
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    if filter_bits is None:  # a slot for each eight bytes of text: about one for each word
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        filter_bits = min(max((size // 8).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     bits = min(_packs(spark), filter_bits - 3)
     rows = docs.select("doc_id", "text", *_row("text"))
 
@@ -275,7 +298,7 @@ def _small(found: DataFrame) -> DataFrame:
 OUT = "n_words long, n_removed long, n_repeats long, kept_sha256 string, kept string"
 
 
-def dedup(docs: DataFrame, keep: list[str] | None = None, with_text: bool = True, length: int = LENGTH, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS) -> DataFrame:
+def dedup(docs: DataFrame, keep: list[str] | None = None, with_text: bool = True, length: int = LENGTH, anchor: int = ANCHOR, filter_bits: int | None = None) -> DataFrame:
     """`keep` columns of docs (default: doc_id) and OUT, one row for each row of docs.
 
     A word goes if it lies in a run of `length` words that also starts in a document with a smaller doc_id; runs are
