@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, chat, decontaminate, mixing, near_dedup, pii, substring, token_counts, toxicity, warc
-from .session import scratch
+from .session import Tables, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), f"{where}/archives")
-    captures = warc.read_archives(spark, f"{where}/archives")
+    captures = Tables(spark, "captures").keep(warc.read_archives(spark, f"{where}/archives"))
     warc.build_index(captures, f"{where}/index")
     return warc.resolve(spark, captures, f"{where}/index").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

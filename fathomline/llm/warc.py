@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -27,6 +28,8 @@ from .session import checkpoint
 #: Payloads of at least so many bytes are stored once; the others that equal them become revisit records.
 REVISIT_BYTES = 0
 RECORDS_PER_ARCHIVE = 2000
+#: Bytes that are read at a time to find a header's end.
+CHUNK = 1 << 16
 #: Captures in an index block, at least; blocks grow when the directory would exceed MOST_BLOCKS entries.
 BLOCK_CAPTURES = 512
 MOST_BLOCKS = 1 << 16
@@ -62,6 +65,7 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
 
     Of equal payloads the row with the largest page_id is the response. A null html is empty, a null url has no
     header line; null ids lose to others, and equal rows with the largest id are all responses. No rows, no record.
+    Other columns don't matter. A page is one value, of up to 2 GB.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html"))
     big = rows.where(F.col("bytes") >= revisit_bytes)
@@ -86,46 +90,70 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
 _plain = lambda s: s.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def _parse(data: bytes, at: int) -> tuple[dict, int, bytes]:
-    """Headers, end of the record and payload of the record at `at`."""
-    end = data.index(b"\r\n\r\n", at)
-    fields = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-    size = int(fields["Content-Length"])
-    block = data[end + 4 : end + 4 + size]
-    if data[at : at + 8] != b"WARC/1.1" or len(block) != size:
-        raise ValueError(f"no whole WARC record at byte {at}")
-    return fields, end + 4 + size, block[block.index(b"\r\n\r\n") + 4 :]
+def _capture(file: str, at: int, header: bytes, block: bytes) -> dict:
+    """The row of the record at byte `at` of a file."""
+    lines = header.decode().split("\r\n")
+    fields = dict(x.split(": ", 1) for x in lines[1:])
+    payload = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
+    url, other = fields.get("WARC-Target-URI"), fields.get("WARC-Refers-To-Target-URI")
+    row = {"file": file, "offset": at, "length": len(header) + 4 + len(block), "record_type": fields["WARC-Type"], "page_id": _id(fields.get("WARC-Record-ID")), "url": url and _plain(url), "refers_to": _id(fields.get("WARC-Refers-To")), "refers_to_url": other and _plain(other)}
+    return row | {"payload_bytes": len(payload), "payload_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode()}
 
 
 def _id(value: str | None) -> int | None:
     return int(value[len("<urn:page:") : -1]) if value else None
 
 
-def _capture(file: str, at: int, data: bytes, base: int = 0) -> tuple[dict, int]:
-    fields, end, payload = _parse(data, at)
-    url, other = fields.get("WARC-Target-URI"), fields.get("WARC-Refers-To-Target-URI")
-    row = {"file": file, "offset": base + at, "length": end - at, "record_type": fields["WARC-Type"], "page_id": _id(fields.get("WARC-Record-ID")), "url": url and _plain(url), "refers_to": _id(fields.get("WARC-Refers-To")), "refers_to_url": other and _plain(other)}
-    return row | {"payload_bytes": len(payload), "payload_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode()}, end
+def _whole(stream, size: int) -> bytes:
+    data = stream.read(size)
+    if len(data) < size:
+        raise ValueError("an archive ends within a record")
+    return data
+
+
+def _records(file: str, stream, size: int) -> Iterator[dict]:
+    """The rows of an archive's records, of which one is held at a time."""
+    at, held = 0, b""
+    while at < size:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            held += _whole(stream, min(CHUNK, size - at - len(held)) or 1)
+        header, held = held[:end], held[end + 4 :]
+        length = re.search(rb"\r\nContent-Length: ([0-9]+)$", header)
+        if not header.startswith(b"WARC/1.1\r\n") or not length:
+            raise ValueError(f"no WARC record at byte {at} of {file}")
+        need = int(length[1]) + 4  # with the blank lines after it
+        if len(held) < need:
+            held = b"".join([held, _whole(stream, need - len(held))])
+        yield _capture(file, at, header, held[: need - 4])
+        held, at = held[need:], at + end + 4 + need
 
 
 _ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split(" ") for x in CAPTURE.split(", "))])
 
 
+def _open(file: str):
+    store, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+    return store, inside
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            data, at, rows = content.as_py(), 0, []
-            while at < len(data):
-                row, at = _capture(file.as_py(), at, data)
-                rows.append(row)
-                at += 4
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+        for file, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            store, inside = _open(file)
+            with store.open_input_stream(inside) as stream:
+                rows = _records(file, stream, size)
+                while some := list(itertools.islice(rows, 1000)):
+                    yield pa.RecordBatch.from_pylist(some, _ARROW)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives (CAPTURE). A revisit's payload is empty here; resolve() fetches it."""
+    """A row for each record of the archives (CAPTURE). A revisit's payload is empty here; resolve() fetches it.
+
+    Archives are read as streams, a record at a time, so their sizes don't matter. To be used several times, the
+    result is best written first.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(_scan, CAPTURE)
+    return files.select("path", "length").mapInArrow(_scan, CAPTURE)
 
 
 def _blocks(size: int):
@@ -194,9 +222,10 @@ def read_ranges(captures: DataFrame) -> DataFrame:
             rows = []
             for file, at, size in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
                 if file != name:
-                    store, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
+                    store, inside = _open(file)
                     name, opened = file, store.open_input_file(inside)
-                rows.append(_capture(file, 0, opened.read_at(size, at), at)[0])
+                header, _, block = opened.read_at(size, at).partition(b"\r\n\r\n")
+                rows.append(_capture(file, at, header, block))
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, CAPTURE)
