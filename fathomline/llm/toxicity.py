@@ -195,12 +195,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, trees: int = 20, depth: int = 4) -> Model:
     """Learn from at most `rows` rows of labels (doc_id, toxic) that aren't held out and have a document.
 
-    Several labels of a document count as toxic if one does; null labels and ids are left out. With fewer than five
+    Several labels of a document count as toxic if one does; of several texts under one id, that with the least hash
+    is learnt from, so reruns agree; null labels and ids are left out. With fewer than five
     documents of either kind in a part, the model gives every document the mean label (0 without any).
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(rows)  # narrow rows, bounded
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(20))
     sample = checkpoint(texts.withColumn("part", F.when(part < 9, 0).when(part < 16, 1).otherwise(2)))
     counts = {(r.part, r.toxic): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
