@@ -245,6 +245,7 @@ ORACLES = {
     "report_flatten": sql("SELECT 'host-' || (row_id % 5) AS hostname, cve_id, package_name, installed_version, fixed_raw, CASE row_id % 3 WHEN 0 THEN 'HIGH' ELSE 'LOW' END AS severity, count(*) AS n FROM staged GROUP BY ALL", "staged"),
     "store_reconcile": "SELECT count(*) FILTER (WHERE doc_id % 10 <> 1) AS source_rows, count(*) FILTER (WHERE doc_id % 10 <> 2) AS target_rows, count(*) FILTER (WHERE doc_id % 10 = 2) AS missing, count(*) FILTER (WHERE doc_id % 10 = 1) AS surplus, count(*) FILTER (WHERE doc_id % 10 = 3) AS changed, count(*) = 0 AS in_sync FROM documents",
     "version_order": sql(f", x AS (SELECT DISTINCT fixed_version AS version FROM findings WHERE fixed_version IS NOT NULL) SELECT version, rank() OVER (ORDER BY {key('version')}) AS version_rank FROM x", "findings"),
+    "version_compare": sql(f"SELECT installed_version, fixed_version, CASE WHEN a > b THEN 1 WHEN a < b THEN -1 WHEN a = b THEN 0 END AS \"order\" FROM (SELECT installed_version, fixed_version, {key('installed_version')} AS a, CASE WHEN fixed_version IS NOT NULL THEN {key('fixed_version')} END AS b FROM (SELECT DISTINCT installed_version, fixed_version FROM findings))", "findings"),
     "fix_selection": sql("SELECT fixed_raw, installed_version, fixed_version FROM chosen", "chosen"),
     "risk_components": sql("SELECT finding_id, cvss_base, cvss_source, severity_points, exploit_points, exploit_reason, exposure_points, exposure_reason, criticality_points, data_points, asset_points FROM v", "v"),
     "risk_scored": sql("SELECT finding_id, risk_score, scored_band, risk_band, floor_rule FROM v", "v"),
@@ -258,7 +259,9 @@ ORACLES = {
         SELECT finding_id, severity_points AS severity, NULL::VARCHAR AS max, floor_rule AS floor, CASE WHEN floor_rule IS NOT NULL THEN scored_band END AS scored_band, NULL::VARCHAR AS old_floor, CASE WHEN finding_id % 3 > 0 THEN sla_rule END AS sla,
             CASE WHEN finding_id % 3 > 0 AND kev_deadline_passed THEN 'true' END AS passed, CASE WHEN finding_id % 3 > 0 THEN cast(kev_due_date AS VARCHAR) END AS due FROM v""", "v"),
     "score_changes": sql("SELECT count(*) AS evaluated, count(*) FILTER (WHERE finding_id % 3 = 0) AS inserted, count(*) FILTER (WHERE finding_id % 3 <> 0) AS unchanged FROM v", "v"),
-    "history_after_run": sql("SELECT is_current, count(*) AS rows, sum(risk_score) AS score FROM (SELECT CASE WHEN finding_id % 3 = 0 THEN risk_score + 1 ELSE risk_score END AS risk_score, finding_id % 3 <> 0 AS is_current FROM v UNION ALL SELECT risk_score, true FROM v WHERE finding_id % 3 = 0) GROUP BY ALL", "v"),
+    "history_after_run": sql("""
+        SELECT finding_id, '2026.09.1' AS policy_version, risk_band, due_date, cast(CASE WHEN finding_id % 3 = 0 THEN risk_score + 1 ELSE risk_score END AS DECIMAL(5,2)) AS risk_score, finding_id % 3 <> 0 AS is_current FROM v
+        UNION ALL SELECT finding_id, '2026.09.1', risk_band, due_date, risk_score, true FROM v WHERE finding_id % 3 = 0""", "v"),
     "current_backfill": sql("SELECT finding_id, last_scan_id AS scan_id FROM (SELECT asset_id, cve_id, package_name, installed_version, min(finding_id) AS finding_id, max(scan_id) AS last_scan_id FROM staged GROUP BY ALL)", "staged"),
     "latest_assessment": sql("SELECT finding_id, last_scan_id AS scan_id FROM (SELECT asset_id, cve_id, package_name, installed_version, min(finding_id) AS finding_id, max(scan_id) AS last_scan_id FROM staged GROUP BY ALL)", "staged"),
     "history_prune": sql("SELECT is_current, count(*) AS rows, count(*) FILTER (WHERE NOT is_current AND computed_at < DATE '1997-01-01') AS pruned, count(*) FILTER (WHERE is_current OR computed_at >= DATE '1997-01-01') AS explained FROM (SELECT row_id % 4 = 0 AS is_current, seen_at AS computed_at FROM staged) GROUP BY ALL", "staged"),
@@ -299,7 +302,7 @@ ORACLES = {
     "id_extraction": sql("SELECT cve_key, list_sort(list_distinct([cve_id, 'CVE-1999-0001'])) AS ids FROM cves", "cves"),
     "command_extraction": sql("SELECT plan_id, CASE WHEN fixed_version IS NULL THEN [] ELSE [CASE os_family WHEN 'debian' THEN 'apt-get install ' || package_name || '=' WHEN 'rhel' THEN 'dnf install ' || package_name || '-' ELSE 'apk add ' || package_name || '=' END || CASE WHEN n % 7 = 0 THEN fixed_version || '9' ELSE fixed_version END] END AS commands FROM plans", "plans"),
     "split_text": "WITH RECURSIVE" + split("documents", "doc_id", "text") + " SELECT doc_id, cast(idx - 1 AS INTEGER) AS chunk_index, content FROM parts",
-    "corpus_facts": sql("SELECT c.cve_id, coalesce(n, 0) AS n_fixes, p AS first_package FROM cves c LEFT JOIN (SELECT cve_id, count(*) AS n, min(package_name) AS p FROM (SELECT DISTINCT cve_id, package_name, installed_version, fixed_version FROM findings) GROUP BY ALL) f ON c.cve_id = f.cve_id", "findings"),
+    "corpus_facts": sql("SELECT c.cve_id, coalesce(n, 0) AS n_fixes, p AS fixes FROM cves c LEFT JOIN (SELECT cve_id, count(*) AS n, list(package_name || ' ' || installed_version || ' ' || coalesce(fixed_version, '-') ORDER BY package_name, installed_version, fixed_version) AS p FROM (SELECT DISTINCT cve_id, package_name, installed_version, fixed_version FROM findings) GROUP BY ALL) f ON c.cve_id = f.cve_id", "findings"),
     "fact_chunks": sql("", "whole").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + split("whole", "cve_id, header, part, package_name", "body") + " SELECT cve_id, cast(row_number() OVER (PARTITION BY cve_id ORDER BY part, package_name, idx) - 1 AS INTEGER) AS chunk_index, header || '. ' || content AS content FROM parts",
     "documents_assembled": _chunked("""
         SELECT p.cve_id, CASE WHEN any_value(c.cve_key) % 3 = 1 THEN upper(any_value(c.description)) ELSE p.cve_id || ' advisory' END AS title, [p.cve_id] AS cve_ids, count(*) AS chunks, md5(string_agg(header || '. ' || content, chr(10) || chr(10) ORDER BY part, package_name, idx)) AS text

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixtures as fx
 from .functions import text
-from .functions.versions import choose_fix, version_key
+from .functions.versions import choose_fix, compare, version_key
 from .operators import correlate, grounding as grounding_ops, ingest, merge, reports, retrieval, risk, tickets, worklist as worklist_ops
 from .session import scratch, written
 from .sources import feeds
@@ -330,6 +330,13 @@ def version_order(spark, sf_dir):
     return merge.ranked(v, version_key(F.col("version")), "version_rank", lambda df: written(df, "ranges")).select("version", F.col("version_rank").cast("long").alias("version_rank"))
 
 
+@query
+def version_compare(spark, sf_dir):
+    """Each installed version against its fix."""
+    f = Tables(spark, sf_dir).findings.select("installed_version", "fixed_version").distinct()
+    return f.withColumn("order", compare(F.col("installed_version"), F.col("fixed_version")))
+
+
 @query
 def fix_selection(spark, sf_dir):
     rows = Tables(spark, sf_dir).staged.where("fixed_raw IS NOT NULL").select("fixed_raw", "installed_version").distinct()
@@ -386,7 +393,7 @@ def factors_reshaped(spark, sf_dir):
 
 def _two_runs(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A history in which every third finding scored a point more, and the new run."""
-    new = t.view.select("finding_id", F.lit(risk.POLICY).alias("policy_version"), "risk_band", "due_date", "risk_score")
+    new = t.once("view", lambda: t.view.select("finding_id", "risk_band", "due_date", "risk_score")).select("finding_id", F.lit(risk.POLICY).alias("policy_version"), "risk_band", "due_date", "risk_score")
     return new.withColumns({"risk_score": F.expr("cast(CASE WHEN finding_id % 3 = 0 THEN risk_score + 1 ELSE risk_score END AS decimal(5,2))"), "is_current": F.lit(True)}), new
 
 
@@ -400,8 +407,7 @@ def score_changes(spark, sf_dir):
 @query
 def history_after_run(spark, sf_dir):
     history, new = _two_runs(Tables(spark, sf_dir))
-    after = risk.append_history(history, risk.changed(new, history.where("is_current")))
-    return after.groupBy("is_current").agg(F.count("*").alias("rows"), F.sum("risk_score").alias("score"))
+    return risk.append_history(history, risk.changed(new, history.where("is_current"))).select("finding_id", "policy_version", "risk_band", "due_date", "risk_score", "is_current")
 
 
 def _raw_history(t: Tables) -> DataFrame:
@@ -596,7 +602,8 @@ def split_text(spark, sf_dir):
 def corpus_facts(spark, sf_dir):
     t = Tables(spark, sf_dir)
     f = retrieval.corpus_facts(t.cves, t.findings)
-    return f.select("cve_id", F.size(F.coalesce("fixes", F.array())).alias("n_fixes"), F.get("fixes", 0)["package_name"].alias("first_package"))
+    told = F.transform("fixes", lambda x: F.concat_ws(" ", x["package_name"], x["installed_version"], F.coalesce(x["fixed_version"], F.lit("-"))))
+    return f.select("cve_id", F.size(F.coalesce("fixes", F.array())).alias("n_fixes"), told.alias("fixes"))
 
 
 @query
