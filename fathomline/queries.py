@@ -568,7 +568,7 @@ def team_workload(spark, sf_dir):
 @query
 def overview(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return reports.overview(t.view, t.actions)
+    return reports.overview(t.kept_view, t.actions)
 
 
 # Text and retrieval
@@ -947,7 +947,7 @@ def ticket_upsert(spark, sf_dir):
 
 
 def _action_findings(t: Tables) -> DataFrame:
-    v = t.view.withColumn("has_fix", F.col("fixed_version").isNotNull())
+    v = t.kept_view.withColumn("has_fix", F.col("fixed_version").isNotNull())
     return v.select(correlate.action_key(F.col("has_fix")).alias("idempotency_key"), "finding_id")
 
 
