@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .session import Tables, broadcast_if_small
+from .session import Tables, bound_batches, broadcast_if_small
 from .textbytes import _GRAM_BASES, PLAIN, Texts, Words, _ranges, slices
 
 #: Words of a window. A shorter benchmark text is one window.
@@ -243,6 +243,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
     text of any length is one part of a shard, and is indexed whole.
     """
     spark, keep = docs.sparkSession, keep or ["doc_id"]
+    bound_batches(spark)
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
     n, blocks = _blocks(benchmark, block_chars)
     text = ["_text1", "_text2"] if n > 1 else []

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .session import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: An address' local part; what follows its @; and the other base patterns. A number is tried from its first digit
 #: only: from a later one it could match no more. So the work is in proportion to the text, whatever its runs.
@@ -252,6 +254,7 @@ def detect(docs: DataFrame, keep: list[str] | None = None, with_masked: bool = F
     length are read whole, in time in proportion. with_masked adds the text with its spans masked, null without spans.
     """
     keep = keep or ["doc_id"]
+    bound_batches(docs.sparkSession)
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,5 +75,8 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Hand texts to Python workers in batches of about `size`, however long they are: a worker then needs a bounded memory."""
+    """Hand texts to Python workers in batches of about `size`, however long they are: a worker then needs a bounded memory.
+
+    Every operator that hands out texts sets this alike, so none depends on what ran before.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

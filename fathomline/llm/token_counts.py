@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import pii
-from .session import Tables
+from .session import Tables, bound_batches
 
 #: Where public vocabularies lie; a parameter of every function that reads one.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -183,6 +183,7 @@ TREE = "tree binary, n_pieces long, tokens long, n_edits long, pieces_encoded lo
 
 
 def _with_counter(spark, vocabulary: str, pattern: str):
+    bound_batches(spark)
     with open(vocabulary, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())  # a vocabulary: a fixed size
     return lambda: Counter(sent.value, pattern)

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .session import checkpoint
+from .session import bound_batches, checkpoint
 from .textbytes import LOWER, U, Texts, _BASES, _ranges, slices
 
 #: Labelled rows that the fit takes at most: those with the least hashes of their ids.
@@ -135,6 +135,7 @@ def features(texts: Texts, lexicon: Lexicon) -> np.ndarray:
 
 def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """`keep` columns and `_features`, an array of doubles."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
