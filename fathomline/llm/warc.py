@@ -23,11 +23,13 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .session import checkpoint
+from .session import Tables, checkpoint
 
 #: Payloads of at least so many bytes are stored once; the others that equal them become revisit records.
 REVISIT_BYTES = 0
 RECORDS_PER_ARCHIVE = 2000
+#: Bytes of the table of repeated payloads (digest, first page and its URL) that may be broadcast.
+SMALL_BYTES = 32 << 20
 #: Bytes that are read at a time to find a header's end.
 CHUNK = 1 << 16
 #: Captures in an index block, at least; blocks grow when the directory would exceed MOST_BLOCKS entries.
@@ -69,9 +71,11 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html"))
     big = rows.where(F.col("bytes") >= revisit_bytes)
-    # Cut off here, so that the join deals both sides out by itself and can split a payload that many pages have.
-    first = checkpoint(big.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 AND first.page_id IS NOT NULL").select(F.col("digest").alias("_d"), F.col("bytes").alias("_b"), "first"))
-    rows = rows.join(first, (F.col("digest") == F.col("_d")) & (F.col("bytes") == F.col("_b")), "left")
+    # Written out, so that its size is known: a small table goes to the pages, and beyond that the join deals both sides
+    # out by itself and can split a payload that many pages have.
+    first = Tables(pages.sparkSession, "repeated").keep(big.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 AND first.page_id IS NOT NULL").select(F.col("digest").alias("_d"), F.col("bytes").alias("_b"), "first"))
+    size = first.agg(F.sum(F.octet_length("_d") + F.coalesce(F.octet_length("first.url"), F.lit(0)) + 24)).first()[0] or 0
+    rows = rows.join(F.broadcast(first) if size <= SMALL_BYTES else first, (F.col("digest") == F.col("_d")) & (F.col("bytes") == F.col("_b")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), "html"))
     head = F.concat(

@@ -35,6 +35,13 @@ def test_round_trip(spark, tmp_path):
     assert spark.createDataFrame([(u,) for u in urls[:4]], "u string").select(A.surt(A.F.col("u"))).collect()[0][0] == "com,example,b,a:8080)/p?q=1#z"
 
 
+def test_repeated_payloads_beyond_a_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/{i}", "same" if i % 3 else f"own{i}") for i in range(60)]
+    small = sorted(map(tuple, run(spark, rows, f"file://{tmp_path}/a")[1].collect()))
+    monkeypatch.setattr(A, "SMALL_BYTES", 0)
+    assert sorted(map(tuple, run(spark, rows, f"file://{tmp_path}/b")[1].collect())) == small and sum(r[3] == "revisit" for r in small) == 39
+
+
 def test_edges(spark, tmp_path):
     assert run(spark, [], f"file://{tmp_path}/a")[1].count() == 0
     rows = [(None, None, "q"), (5, "u", "q"), (5, "u", "q"), (2, "u", "r")]
