@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .session import bound_batches, checkpoint, partitions
+from .session import Tables, bound_batches, partitions
 from .textbytes import _GRAM_BASES, SPACED, U, Texts, Words, _ranges, grams, slices, slide, within
 
 #: Words of a repeat, at least, and of an anchor.
@@ -237,7 +237,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, filter_
             yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int32()), pa.array([_flags(h[again], bits, filter_bits)], pa.binary()), none, none, none], names=["pack", "bits", "h1", "h2", "least"])
 
     names = ["h", "h1", "h2", "doc", "many"]
-    met = checkpoint(_dealt(rows, _emit(lambda b: (x[:4] for x in segments(b)), names, bits), names).mapInArrow(different, "pack int, bits binary, h1 long, h2 long, least long"))
+    met = Tables(spark, "segments").keep(_dealt(rows, _emit(lambda b: (x[:4] for x in segments(b)), names, bits), names).mapInArrow(different, "pack int, bits binary, h1 long, h2 long, least long"))
     whole = met.where("pack IS NULL").select("h1", "h2", "least")
     ends = spark.sparkContext.broadcast(_whole(met.where("pack IS NOT NULL").select("pack", "bits"), bits, filter_bits))
 
@@ -308,7 +308,7 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, with_text: bool = True
     """
     keep = keep or ["doc_id"]
     slim = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    found = _small(checkpoint(repeats(slim, length, anchor, filter_bits).select(F.col("doc_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in ROW], "gone")))
+    found = _small(Tables(docs.sparkSession, "repeats").keep(repeats(slim, length, anchor, filter_bits).select(F.col("doc_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in ROW], "gone")))
     rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     same = [h == F.col(f"_{c}") for h, c in zip(_row("_text"), ROW, strict=True)]
     joined = rows.join(found, [F.col("_doc").eqNullSafe(F.col("_d")), *same], "left").drop("_d", "_row1", "_row2")
