@@ -35,6 +35,8 @@ ROW = ["row1", "row2"]
 FILTER_BITS = (20, 29)
 #: Exchanged packs per shuffle partition, so that partitions come out even and a pack is a small part of one.
 PACKS = 8
+#: Bytes of text that are hashed at a time: a worker needs some 60 times as much for it.
+SLICE = 2 << 20
 #: Entries of a pack after which equal keys are brought together.
 HELD = 4_000_000
 
@@ -188,7 +190,7 @@ def _slices(batches: Iterator[pa.RecordBatch], length: int, anchor: int):
     """(Grams, ids, rows) of each slice that has runs. A row of rows is a text's two hashes."""
     for batch in batches:
         ids, rows = _ids(batch, "doc_id"), np.stack([batch.column(c).to_numpy() for c in ROW], 1)
-        for at, to, texts in slices(batch.column("text")):
+        for at, to, texts in slices(batch.column("text"), SLICE):
             g = Grams(texts, length, anchor)
             if g.ok.any():
                 yield g, ids[at:to], rows[at:to]
