@@ -1,10 +1,10 @@
-"""Queries op1 to op10 over the given tables, and SQL for those that SQL can express."""
+"""Queries op1 to op13 over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, decontaminate, mixing, near_dedup, pii, substring, token_counts, toxicity, warc
+from . import ann, chat, decontaminate, mixing, near_dedup, pii, sequences, substring, token_counts, toxicity, warc
 from .session import Tables, scratch
 
 
@@ -63,6 +63,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = scratch(spark, "sequences")
+    sequences.write(table(spark, sf_dir, "documents"), where)
+    return sequences.read_documents(spark, where)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op8_near_dedup": op8,
     "op9_mixing": op9,
     "op10_substring_dedup": op10,
+    "op11_token_files": op11,
     "pipeline": pipeline,
 }
 
