@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, decontaminate, mixing, near_dedup, pii, sequences, substring, token_counts, toxicity, warc
+from . import ann, chat, collocations, decontaminate, mixing, near_dedup, pii, sequences, substring, token_counts, toxicity, warc
 from .session import Tables, scratch
 
 
@@ -69,6 +69,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.read_documents(spark, where)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op9_mixing": op9,
     "op10_substring_dedup": op10,
     "op11_token_files": op11,
+    "op12_collocations": op12,
     "pipeline": pipeline,
 }
 
@@ -113,4 +118,28 @@ ORACLES = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
             cast(sum(length(role) + length(escaped) + 24) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+            SELECT lang, 1 AS size, unnest(w) AS phrase FROM w
+            UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+            UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+        f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+        n AS (SELECT lang, cast(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+        cuts AS (SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS k FROM c),
+        parts AS (SELECT *, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM cuts),
+        scored AS (
+            SELECT parts.*, fl.a AS l, fr.a AS r, cast(1000000::HUGEINT * parts.a * parts.a // (fl.a::HUGEINT * fr.a) AS BIGINT) AS score
+            FROM parts JOIN f AS fl ON fl.lang = parts.lang AND fl.phrase = x AND fl.size = k JOIN f AS fr ON fr.lang = parts.lang AND fr.phrase = y AND fr.size = parts.size - k),
+        low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        held AS (
+            SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a AS most FROM c WHERE size = 3
+            UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE size = 3),
+        gone AS (SELECT lang, phrase, max(most) AS most FROM held GROUP BY ALL),
+        left_over AS (SELECT low.* FROM low LEFT JOIN gone USING (lang, phrase) WHERE size = 3 OR most IS NULL OR 100 * most < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM left_over JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
