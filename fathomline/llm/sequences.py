@@ -37,6 +37,8 @@ VOCABULARY, END = "/opt/tokenizers/word_bpe_49k.json", 1
 LENGTH, BATCH, FILE = 2048, 64, 1 << 15
 #: Words that a worker remembers the ids of.
 REMEMBERED = 1_000_000
+#: Words that are encoded together.
+TOGETHER = 500
 #: Documents of a batch of a file's directory.
 DOCUMENTS = 1 << 14
 
@@ -62,12 +64,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as f:
-            self.by_word = bool(json.load(f)["model"].get("end_of_word_suffix"))
-        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix)
+        size = self.tokenizer.get_vocab_size()
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _remember(self, words: list[str]) -> None:
+        """Words of letters alone are encoded many at a time and divided where a word ends: each has one end at least, so as many ends as words are one each."""
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        runs = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.type)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(run):
+                data, at = ids.tobytes(), [0, *(ends * self.type.itemsize).tolist()]
+                self.known.update((w, data[a:b]) for w, (a, b) in zip(run, itertools.pairwise(at), strict=True))
+            else:
+                rest += run
+        self.known.update(zip(rest, self._bytes(rest), strict=True))
 
     def encode(self, texts: Texts, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, each with the end id; and how many each has."""
@@ -79,8 +101,8 @@ class Encoder:
         words = _cut(texts)
         lengths = words.ends - words.starts
         inside = np.zeros(len(words.data) + 1, np.int8)
-        inside[words.starts] += 1
-        np.subtract.at(inside, words.ends, 1)
+        inside[words.starts] += 1  # no two words start, or end, at one place
+        inside[words.ends] -= 1
         letters = words.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         column = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(letters)).dictionary_encode()
@@ -88,7 +110,7 @@ class Encoder:
         new = [w for w in once if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, once
-        self.known.update(zip(new, self._bytes(new), strict=True))
+        self._remember(new)
         own = [self.known[w] for w in once]
         # Ids of each word of the slice, gathered from those of the different words.
         size = np.array([len(x) for x in own], np.int64) // self.type.itemsize
@@ -103,6 +125,16 @@ class Encoder:
         return ids, counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    """A worker's own, for all its tasks: with what it remembers."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
+
+
 def _cut(texts: Texts) -> Words:
     """What white space divides, with a comma or full stop that ends it after a letter or digit cut off."""
     words = texts.words(SPACED)
@@ -169,7 +201,7 @@ def _write(folder: str, vocabulary: str, end: int, length: int, per_batch: int,
     """mapInArrow function: sorted rows (doc_id, text) to files, of which it yields the manifest's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, own, encoder, shard, made = TaskContext.get().partitionId(), uuid.uuid4().hex, Encoder(vocabulary), None, []
+        part, own, encoder, shard, made = TaskContext.get().partitionId(), uuid.uuid4().hex, _encoder(vocabulary), None, []
         for batch in batches:
             for at, to, texts in slices(batch.column("text")):
                 ids, counts = encoder.encode(texts, end)
