@@ -2,8 +2,8 @@
 
 Phrases of one to three words are counted, shortest first: a task counts the different ones of a slice of text exactly,
 by dictionary codes, then Spark adds the slices up. Longer phrases are counted where the shorter ones in them are
-frequent enough, as theirs can't be more; filters of a bounded number of bits say so, and what they let through in
-error only costs work.
+frequent enough, as theirs can't be more, and pairs where their hashes are, which are counted first; filters of a bounded
+number of bits say so, and what they let through in error only costs work.
 
 The counts then are one stream, kept twice: sorted by the words from the last to the first (suffix order), then from
 the first to the last (prefix order). In either order a phrase comes right after the shorter ones that it ends with, or
@@ -29,6 +29,8 @@ from .textbytes import _BASES, U, Texts, _ranges, mix, slices
 LEAST, TOP, INSIDE = 10, 2000, 50
 #: Bits of a filter: 16 for each frequent phrase, at least 2**16 and at most 2**29 (64 MB, the bound of what is broadcast).
 FILTER_BITS = (16, 29)
+#: Bytes of text that are coded at a time.
+SLICE = 1 << 20
 #: Parts in which a filter is put together.
 PARTS_BITS = 6
 
@@ -72,6 +74,10 @@ def _hash(columns: list[pa.Array]) -> np.ndarray:
     return out
 
 
+def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return mix(one * U(_BASES[1]) + two)
+
+
 def _count(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different codes, how often each occurs, and the place of each entry among them."""
     coded = pa.array(codes).dictionary_encode()
@@ -86,7 +92,7 @@ def _counts(docs: DataFrame, size: int, found: Callable[[Slice], tuple[list[np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, texts in slices(batch.column("text")):
+            for at, to, texts in slices(batch.column("text"), SLICE):
                 s = Slice(texts, batch.column("lang").slice(at, to - at))
                 codes, n = found(s)
                 if len(n):
@@ -97,29 +103,35 @@ def _counts(docs: DataFrame, size: int, found: Callable[[Slice], tuple[list[np.n
     return rows.groupBy(*names[:-1]).agg(F.sum("a").alias("a"))
 
 
-def _filter(rows: DataFrame, columns: list[str]):
-    """Broadcast (bits, bytes): the filter of the rows' hashes; 64 MB at most, whatever the data."""
+def _hashes(rows: DataFrame, words: list[str]) -> DataFrame:
+    """h: of each row (lang and one or two words) the hash that Slice gives its phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [_hash([batch.column("lang"), batch.column(w)]) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array((each[0] if len(each) == 1 else _pair_hash(*each)).view(np.int64))], names=["h"])
+
+    return rows.select("lang", *words).mapInArrow(run, "h long")
+
+
+def _filter(rows: DataFrame):
+    """Broadcast (bits, bytes): the filter of the hashes h of the rows of a written table; 64 MB at most, whatever the data."""
     spark = rows.sparkSession
     bits = min(max((16 * rows.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     size = 1 << (bits - PARTS_BITS)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = (_hash([batch.column(c) for c in columns]) >> U(64 - bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((slot // size).astype(np.int32)), pa.array((slot % size).astype(np.int32))], names=["part", "slot"])
-
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
-            part, slot = (batch.column(c).to_numpy() for c in ("part", "slot"))
+            part, slot = np.divmod((batch.column("h").to_numpy().view(U) >> U(64 - bits)).astype(np.int64), size)
             for p in np.unique(part).tolist():
                 parts.setdefault(p, np.zeros(size, bool))[slot[part == p]] = True
         for p, f in parts.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bits": [np.packbits(f).tobytes()]})
 
-    made = rows.select(*columns).mapInArrow(slots, "part int, slot int").repartition(min(partitions(spark), 1 << PARTS_BITS), "part").mapInArrow(flags, "part int, bits binary")
+    by_part = rows.select("h").repartition(min(partitions(spark), 1 << PARTS_BITS), F.shiftrightunsigned("h", 64 - PARTS_BITS))
     whole = np.zeros(1 << (bits - 3), np.uint8)
-    for r in made.collect():  # 2**PARTS_BITS rows
+    for r in by_part.mapInArrow(flags, "part int, bits binary").collect():  # 2**PARTS_BITS rows
         whole[r.part * size // 8 : (r.part + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
     return spark.sparkContext.broadcast((bits, whole.tobytes()))
 
@@ -140,34 +152,47 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, tables: Tables | None = N
         return [np.arange(len(s.word))], np.bincount(s.code, minlength=len(s.word))
 
     words = tables.keep(_counts(rows, 1, single))
-    frequent = _filter(words.where(F.col("a") >= least), ["lang", "w1"])
+    frequent = _filter(tables.keep(_hashes(words.where(F.col("a") >= least), ["w1"])))
 
-    def pairs_of(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places of pairs of frequent words, the different pairs as code * codes + code, their counts, and each place's pair."""
-        often = _in(frequent, s.hashes())[s.code]
+    def pairs_of(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of pairs of frequent words, the different pairs as code * codes + code, their counts, each place's pair, and the pairs' hashes."""
+        h = s.hashes()
+        often = _in(frequent, h)[s.code]
         first = np.flatnonzero(s.follows[:-1] & often[:-1] & often[1:]) if len(s.code) else np.zeros(0, np.int64)
-        return first, *_count(s.code[first] * len(s.word) + s.code[first + 1])
+        once, n, at = _count(s.code[first] * len(s.word) + s.code[first + 1])
+        one, two = np.divmod(once, max(1, len(s.word)))
+        return first, once, n, at, _pair_hash(h[one], h[two])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, texts in slices(batch.column("text"), SLICE):
+                _, _, n, _, h = pairs_of(Slice(texts, batch.column("lang").slice(at, to - at)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    # Pairs' hashes are counted first: most pairs of frequent words are rare, and needn't be counted as words.
+    likely = _filter(tables.keep(rows.mapInArrow(hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")))
 
     def double(s: Slice):
-        _, once, n, _ = pairs_of(s)
-        return list(np.divmod(once, max(1, len(s.word)))), n
+        _, once, n, _, h = pairs_of(s)
+        keep = _in(likely, h)
+        return list(np.divmod(once[keep], max(1, len(s.word)))), n[keep]
 
     pairs = tables.keep(_counts(rows, 2, double).where(F.col("a") >= least))
-    often_two = _filter(pairs, ["lang", "w1", "w2"])
+    often_two = _filter(tables.keep(_hashes(pairs, ["w1", "w2"])))
 
     def triple(s: Slice):
-        first, once, _, at = pairs_of(s)
+        first, once, _, at, h = pairs_of(s)
         words = max(1, len(s.word))
-        one, two = np.divmod(once, words)
-        good = _in(often_two, _hash([s.lang.take(pa.array(one)), s.word.take(pa.array(one)), s.word.take(pa.array(two))]))[at] if len(once) else np.zeros(0, bool)
+        good = _in(often_two, h)[at]
         first, at = first[good], at[good]
         run = np.flatnonzero(first[1:] == first[:-1] + 1)  # this pair's second word starts the next pair
         both, n, _ = _count(at[run] * words + s.code[first[run] + 2])
         pair, last = np.divmod(both, words)
+        one, two = np.divmod(once, words)
         return [one[pair], two[pair], last], n
 
     triples = tables.keep(_counts(rows, 3, triple).where(F.col("a") >= least))
-    for b in (frequent, often_two):
+    for b in (frequent, likely, often_two):
         b.unpersist()
     return words, pairs.select("lang", "w1", "w2", F.lit(None).cast("string").alias("w3"), "a").unionByName(triples)
 
