@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, collocations, decontaminate, mixing, near_dedup, pii, sequences, substring, token_counts, toxicity, warc
+from . import ann, chat, collocations, decontaminate, divergence, mixing, near_dedup, pii, sequences, substring, token_counts, toxicity, warc
 from .session import Tables, scratch
 
 
@@ -73,6 +73,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op10_substring_dedup": op10,
     "op11_token_files": op11,
     "op12_collocations": op12,
+    "op13_source_divergence": op13,
     "pipeline": pipeline,
 }
 
@@ -142,4 +147,28 @@ ORACLES = {
         left_over AS (SELECT low.* FROM low LEFT JOIN gone USING (lang, phrase) WHERE size = 3 OR most IS NULL OR 100 * most < 50 * a)
         SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
         FROM left_over JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS every FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(every) AS whole FROM k GROUP BY lang),
+        x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.every FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        y AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM x),
+        p AS (
+            SELECT lang, source, term, n, 1 + cast(1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS BIGINT) AS p, 1 + cast(1000000000::HUGEINT * (every + 2) // (whole + 2 * v) AS BIGINT) AS q
+            FROM y JOIN v USING (lang)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, cast(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+            FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+            UNION ALL SELECT a.lang, a.source, b.source, 0 FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM k)),
+        terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+        UNION ALL
+        SELECT * FROM (
+            SELECT lang, source, 'term' AS part, item, value, cast(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 10""",
 }
