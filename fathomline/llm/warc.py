@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
-Archives are written by Spark's text sink, whose line separator is the blank lines that end a WARC record, so
-any file system that Spark writes to will do. The index sorts captures by their reversed-host URL key into
+Archives are written by Spark's text sink, whose line separator is the blank lines that end a WARC record, and read
+through pyarrow's file systems: local or mounted folders, hdfs, s3 and gs. The index sorts captures by their reversed-host URL key into
 compressed blocks (a Parquet table) and keeps a sparse directory of the blocks' first keys. A lookup finds its
 block in the directory and its capture in the block, each by binary search, and then reads only the record's
 byte range from the archive.
@@ -37,7 +37,7 @@ BLOCK_CAPTURES = 512
 MOST_BLOCKS = 1 << 16
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-CAPTURE = "file string, offset long, length long, record_type string, page_id long, url string, refers_to long, refers_to_url string, payload_bytes long, payload_digest string"
+CAPTURE = "file string, offset long, length long, record_type string, page_id long, url string, refers_to long, refers_to_url string, payload_bytes long, payload_digest string, told_digest string"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -65,7 +65,7 @@ def _field(name: str, value: Column) -> Column:
 def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """One WARC record (column `value`, without the blank lines at its end) for each row of pages (page_id, url, html).
 
-    Of equal payloads the row with the largest page_id is the response. A null html is empty, a null url has no
+    Of equal payloads the row with the largest page_id is the response; a page_id may have several payloads. A null html is empty, a null url has no
     header line; null ids lose to others, and equal rows with the largest id are all responses. No rows, no record.
     Other columns don't matter. A page is one value, of up to 2 GB.
     """
@@ -100,7 +100,8 @@ def _capture(file: str, at: int, header: bytes, block: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in lines[1:])
     payload = memoryview(block)[block.index(b"\r\n\r\n") + 4 :]
     url, other = fields.get("WARC-Target-URI"), fields.get("WARC-Refers-To-Target-URI")
-    row = {"file": file, "offset": at, "length": len(header) + 4 + len(block), "record_type": fields["WARC-Type"], "page_id": _id(fields.get("WARC-Record-ID")), "url": url and _plain(url), "refers_to": _id(fields.get("WARC-Refers-To")), "refers_to_url": other and _plain(other)}
+    told = (fields.get("WARC-Payload-Digest") or "").removeprefix("sha1:")
+    row = {"file": file, "offset": at, "length": len(header) + 4 + len(block), "record_type": fields["WARC-Type"], "page_id": _id(fields.get("WARC-Record-ID")), "url": url and _plain(url), "refers_to": _id(fields.get("WARC-Refers-To")), "refers_to_url": other and _plain(other), "told_digest": told}
     return row | {"payload_bytes": len(payload), "payload_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode()}
 
 
@@ -135,6 +136,10 @@ def _records(file: str, stream, size: int) -> Iterator[dict]:
 _ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (x.split(" ") for x in CAPTURE.split(", "))])
 
 
+#: What a capture is looked up by.
+KEY = ("key", "page_id", "digest")
+
+
 def _open(file: str):
     store, inside = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
     return store, inside
@@ -166,10 +171,10 @@ def _blocks(size: int):
 
         def block(rows):
             data = zlib.compress("\n".join(json.dumps(r) for r in rows).encode())
-            return pa.RecordBatch.from_pydict({"block": [(part << 32) + made], "first_key": [rows[0][0]], "first_page": [rows[0][1]], "n": [len(rows)], "data": [data]})
+            return pa.RecordBatch.from_pydict({"block": [(part << 32) + made], "first_key": [rows[0][0]], "first_page": [rows[0][1]], "first_digest": [rows[0][2]], "n": [len(rows)], "data": [data]})
 
         for batch in batches:
-            rows += map(list, zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "offset", "length")), strict=True))
+            rows += map(list, zip(*(batch.column(c).to_pylist() for c in (*KEY, "file", "offset", "length")), strict=True))
             while len(rows) >= size:
                 yield block(rows[:size])
                 rows, made = rows[size:], made + 1
@@ -180,26 +185,27 @@ def _blocks(size: int):
 
 
 def build_index(captures: DataFrame, path: str) -> None:
-    """The block table of the response records of read_archives(), by reversed-host key and page_id."""
+    """The block table of the response records of read_archives(), by reversed-host key, page_id and payload digest."""
     spark = captures.sparkSession
-    rows = captures.where("record_type = 'response' AND page_id IS NOT NULL").select(surt(F.col("url")).alias("key"), "page_id", "file", "offset", "length")
+    rows = captures.where("record_type = 'response' AND page_id IS NOT NULL").select(surt(F.col("url")).alias("key"), "page_id", F.col("told_digest").alias("digest"), "file", "offset", "length")
     size = max(BLOCK_CAPTURES, -(-rows.count() // MOST_BLOCKS))
-    ordered = rows.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    ordered.mapInArrow(_blocks(size), "block long, first_key string, first_page long, n long, data binary").write.parquet(path)
+    ordered = rows.repartitionByRange("key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest")
+    ordered.mapInArrow(_blocks(size), "block long, first_key string, first_page long, first_digest string, n long, data binary").write.parquet(path)
 
 
 def lookup(spark: SparkSession, index: str, wanted: DataFrame) -> DataFrame:
-    """Captures (key, page_id, file, offset, length) of the distinct rows of wanted (key, page_id)."""
+    """Captures (key, page_id, digest, file, offset, length) of the distinct rows of wanted (key, page_id, digest); of several captures with all three alike, one."""
     blocks = spark.read.parquet(index)
     # At most MOST_BLOCKS entries and one more for each partition of the index.
-    entries = sorted(((r.first_key, r.first_page), r.block) for r in blocks.select("first_key", "first_page", "block").collect())
+    entries = sorted(((r.first_key, r.first_page, r.first_digest), r.block) for r in blocks.select("first_key", "first_page", "first_digest", "block").collect())
     sent = spark.sparkContext.broadcast(([e[0] for e in entries], [e[1] for e in entries]))
+    found = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts, ids = sent.value
         for batch in batches:
-            found = [bisect.bisect_right(firsts, x) - 1 for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] if i >= 0 else None for i in found], pa.int64()), batch.column(0), batch.column(1)], names=["block", "key", "page_id"])
+            at = [bisect.bisect_right(firsts, x) - 1 for x in zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] if i >= 0 else None for i in at], pa.int64()), *(batch.column(c) for c in KEY)], names=["block", *KEY])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,14 +213,15 @@ def lookup(spark: SparkSession, index: str, wanted: DataFrame) -> DataFrame:
             for data, keys in zip(batch.column("data"), batch.column("wanted"), strict=True):
                 lines = [json.loads(x) for x in zlib.decompress(data.as_py()).decode().split("\n")]
                 for k in keys.as_py():
-                    at = bisect.bisect_left(lines, [k["key"], k["page_id"]])
-                    if at < len(lines) and lines[at][:2] == [k["key"], k["page_id"]]:
-                        rows.append(dict(zip(("key", "page_id", "file", "offset", "length"), lines[at], strict=True)))
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+                    own = [k[c] for c in KEY]
+                    at = bisect.bisect_left(lines, own)
+                    if at < len(lines) and lines[at][:3] == own:
+                        rows.append(dict(zip(found.names, lines[at], strict=True)))
+            yield pa.RecordBatch.from_pylist(rows, found)
 
-    placed = wanted.select("key", "page_id").distinct().mapInArrow(place, "block long, key string, page_id long").where("block IS NOT NULL")
-    by_block = placed.groupBy("block").agg(F.collect_list(F.struct("key", "page_id")).alias("wanted"))  # no more than the block has
-    return by_block.join(blocks, "block").select("data", "wanted").mapInArrow(search, "key string, page_id long, file string, offset long, length long")
+    placed = wanted.select(*KEY).distinct().mapInArrow(place, "block long, key string, page_id long, digest string").where("block IS NOT NULL")
+    by_block = placed.groupBy("block").agg(F.collect_list(F.struct(*KEY)).alias("wanted"))  # no more than the block has
+    return by_block.join(blocks, "block").select("data", "wanted").mapInArrow(search, "key string, page_id long, digest string, file string, offset long, length long")
 
 
 def read_ranges(captures: DataFrame) -> DataFrame:
@@ -236,10 +243,15 @@ def read_ranges(captures: DataFrame) -> DataFrame:
 
 
 def resolve(spark: SparkSession, captures: DataFrame, index: str) -> DataFrame:
-    """captures with the full payload's size and digest also for revisits, taken from the records they refer to."""
-    revisit = captures.where("record_type = 'revisit'").withColumn("key", surt(F.col("refers_to_url")))
-    found = checkpoint(read_ranges(lookup(spark, index, revisit.select("key", F.col("refers_to").alias("page_id")))).dropDuplicates(["page_id", "url"]))
-    found = found.select(F.col("page_id").alias("_p"), surt(F.col("url")).alias("_k"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d"))
-    full = revisit.join(found, (F.col("refers_to") == F.col("_p")) & (F.col("key") == F.col("_k"))).select("page_id", "_n", "_d", "record_type", "refers_to")
+    """captures with the full payload's size and digest also for revisits, taken from the records they refer to.
+
+    A revisit's record is the one with the URL key and page_id that it refers to and with its own payload's digest: an id may
+    have several payloads.
+    """
+    revisit = captures.where("record_type = 'revisit'").select(surt(F.col("refers_to_url")).alias("key"), F.col("refers_to"), F.col("told_digest").alias("digest"), "page_id", "record_type")
+    found = read_ranges(lookup(spark, index, revisit.select("key", F.col("refers_to").alias("page_id"), "digest")))
+    # Captures of equal payloads under one id and key are one, however their hosts were written.
+    found = checkpoint(found.select(F.col("page_id").alias("_p"), surt(F.col("url")).alias("_k"), F.col("told_digest").alias("_t"), F.col("payload_bytes").alias("_n"), F.col("payload_digest").alias("_d")).dropDuplicates(["_p", "_k", "_t"]))
+    full = revisit.join(found, (F.col("refers_to") == F.col("_p")) & (F.col("key") == F.col("_k")) & (F.col("digest") == F.col("_t"))).select("page_id", "_n", "_d", "record_type", "refers_to")
     same = captures.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return same.unionByName(full.withColumnsRenamed({"_n": "payload_bytes", "_d": "payload_digest"}))

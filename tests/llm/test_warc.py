@@ -30,7 +30,7 @@ def test_round_trip(spark, tmp_path):
     want = {(i, len((t or "").encode()), digest(t), "response" if best[t or ""] == i else "revisit", None if best[t or ""] == i else best[t or ""]) for i, _, t in rows}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(rows)
     assert {(r.page_id, r.url) for r in captures.collect()} == {(i, u) for i, u, _ in rows}
-    keys = spark.createDataFrame([("org,x)", 10**9), ("zz", 3)], "key string, page_id long")
+    keys = spark.createDataFrame([("org,x)", 10**9, "A"), ("zz", 3, "")], "key string, page_id long, digest string")
     assert A.lookup(spark, f"file://{tmp_path}/index", keys).count() == 0
     assert spark.createDataFrame([(u,) for u in urls[:4]], "u string").select(A.surt(A.F.col("u"))).collect()[0][0] == "com,example,b,a:8080)/p?q=1#z"
 
@@ -47,3 +47,10 @@ def test_edges(spark, tmp_path):
     rows = [(None, None, "q"), (5, "u", "q"), (5, "u", "q"), (2, "u", "r")]
     got = run(spark, rows, f"file://{tmp_path}/b")[1].collect()
     assert sorted((r.page_id or -1, r.record_type, r.refers_to) for r in got) == [(-1, "revisit", 5), (2, "response", None), (5, "response", None), (5, "response", None)]
+
+
+def test_an_id_with_several_payloads(spark, tmp_path):
+    rows = [(5, "http://A.org/x", "AAA"), (5, "http://a.org/x", "BBBBBB"), (3, "http://b.org", "AAA"), (2, "http://c.org", "AAA"), (1, "u", "BBBBBB"), (5, "http://a.ORG/x", "AAA")]
+    got = run(spark, rows, f"file://{tmp_path}/a")[1].collect()
+    want = [(i, len(t), digest(t), "response" if i == 5 else "revisit", None if i == 5 else 5) for i, _, t in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
