@@ -42,14 +42,13 @@ def _fine(vectors: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(fine, F.lit(False)))
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
     """vec_id and embedding (array of double) of the rows that take part: no null, non-finite or zero vector, no null id.
 
-    Vectors of several lengths can't be compared: those of the length that most have (of equally many, the longest) stay.
+    Vectors of several lengths can't be compared: with `length`, only those of that length.
     """
     rows = _fine(vectors)
-    lengths = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("embedding") == (lengths[0].d if lengths else 0))
+    return rows if length is None else rows.where(F.size("embedding") == length)
 
 
 def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +135,9 @@ class Index:
 
 
 def _centroids(sample: DataFrame, column: str, k: int) -> np.ndarray:
+    different = sample.select(column).distinct().limit(k + 1).collect()
+    if len(different) <= k:  # each is its own centroid
+        return np.array(sorted(r[0].toArray().tolist() for r in different))
     model = KMeans(featuresCol=column, k=k, maxIter=12, seed=3, initSteps=2).fit(sample)
     return np.array(model.clusterCenters())
 
@@ -297,15 +299,20 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard: int =
 
     Returns query_id, rank (from 1), vec_id, score: the cosine in double precision on the vectors as given; ties go to
     the smaller vec_id. Queries and vectors that usable() leaves out take no part. With fewer candidates than `top`,
-    all are returned. A repeated query counts once; of several vectors under one query's id the least, component by
-    component, is asked. Repeated vectors are entries of their own. Other columns don't matter.
+    all are returned. A repeated query counts once; of several vectors of one length under one query's id the least,
+    component by component, is asked. Vectors of another length aren't candidates: each length has an index of its own.
+    Repeated vectors are entries of their own. Other columns don't matter.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    index, entries = index or build(usable(vectors), top=top)
-    if index is None:
+    lengths = [r.d for r in _fine(vectors).select(F.size("embedding").alias("d")).distinct().collect()] if index is None else [index[0].dims] if index[0] else []
+    found = None
+    for d in sorted(lengths):
+        one, entries = index or build(usable(vectors, d), top=top)
+        asked = usable(queries, d).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        near = compare(entries, asked, one, top, shard, block).select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = _fine(queries).where(F.size("embedding") == index.dims).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    found = compare(entries, asked, index, top, shard, block).select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
