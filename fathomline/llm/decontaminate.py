@@ -250,12 +250,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
     if text:
         slim = slim.withColumns({"_text1": F.xxhash64("text"), "_text2": F.xxhash64(F.lit(17), "text")})
     schema = T.StructType([*(slim.schema[c] for c in [*keep, *text]), *T.StructType.fromDDL(SCHEMA)])
-    parts = []
+    if n == 1:
+        return slim.mapInArrow(_scan(spark.sparkContext.broadcast(Probes(next(blocks), window)), [*keep, *text]), schema)
+    # One block after another: its results are written, and its broadcast is gone before the next one's.
+    parts, tables = [], Tables(spark, "blocks")
     for items in blocks:
         sent = spark.sparkContext.broadcast(Probes(items, window))
-        parts.append(slim.mapInArrow(_scan(sent, [*keep, *text]), schema))
-    if n == 1:
-        return parts[0]
+        parts.append(tables.keep(slim.mapInArrow(_scan(sent, [*keep, *text]), schema)))
+        sent.destroy()
     # Several blocks: a row is its kept columns and its text, by two hashes. Equal rows have equal results, so of those
     # one is kept for each block, with their number, before the blocks' results meet.
     every = parts[0].withColumn("_block", F.lit(0))

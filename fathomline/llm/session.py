@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_local: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the setting is missing, as in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/fathomline-shared"
+    """spark.checkpoint.dir. Only where that isn't set, as in tests on one machine, a temporary folder that goes with the process."""
+    global _local
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="fathomline-")
+        atexit.register(shutil.rmtree, _local, ignore_errors=True)
+    return f"file://{_local}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
