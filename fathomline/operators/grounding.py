@@ -16,20 +16,25 @@ CHECKS = ["grounded", "names_target", "has_commands", "commands_match_os", "has_
 
 
 def check_grounding(plans: DataFrame) -> DataFrame:
-    """plans (markdown, context array, required array) with report columns: ids and versions that the context lacks, forbidden commands, required versions not named, passed, reason."""
-    said = X.one_space(F.col("markdown"))
-    context = X.one_space(F.array_join("context", " "))
-    rows = plans.withColumns({"_said": said, "_context": context})
+    """plans (markdown, context array, required array) with report columns: ids and versions that the context lacks, forbidden commands, required versions not named, passed, reason.
+
+    A null text is empty, a null context (also one of no chunks) holds nothing, so that any id or version in the text lacks
+    evidence; null required versions, and nulls among them or the chunks, ask for nothing.
+    """
+    said = X.one_space(F.coalesce("markdown", F.lit("")))
+    none = F.array().cast("array<string>")
+    context = X.one_space(F.array_join(F.coalesce("context", none), " "))
+    rows = plans.withColumns({"_said": said, "_context": context, "_required": F.array_compact(F.coalesce("required", none))})
     rows = rows.withColumns({"checked_cves": X.cve_ids(F.col("_said")), "checked_versions": X.versions(F.col("_said")), "forbidden": X.forbidden(F.col("_said"))})
     rows = rows.withColumns({
         "ungrounded_cves": F.filter("checked_cves", lambda c: ~F.contains(F.upper("_context"), c)), "ungrounded_versions": F.filter("checked_versions", lambda v: ~F.contains(F.col("_context"), v)),
-        "missing_required": F.filter("required", lambda v: (v != "") & ~F.contains(F.col("_said"), v)), "context_chars": F.length("_context"),
+        "missing_required": F.filter("_required", lambda v: (v != "") & ~F.contains(F.col("_said"), v)), "context_chars": F.length("_context"),
     })
     empty = [F.size(c) == 0 for c in ("ungrounded_cves", "ungrounded_versions", "forbidden", "missing_required")]
     rows = rows.withColumn("passed", empty[0] & empty[1] & empty[2] & empty[3])
     told = lambda words, c: F.when(F.size(c) > 0, F.concat(F.lit(words), F.array_join(c, ", ")))
     reason = F.concat_ws("; ", told("ids without evidence: ", "ungrounded_cves"), told("versions without evidence: ", "ungrounded_versions"), told("forbidden commands: ", "forbidden"), told("target not named: ", "missing_required"))
-    return rows.withColumn("reason", F.when(F.col("passed"), "grounded").otherwise(reason)).drop("_said", "_context")
+    return rows.withColumn("reason", F.when(F.col("passed"), "grounded").otherwise(reason)).drop("_said", "_context", "_required")
 
 
 def _any(text: Column, words: list[str]) -> Column:

@@ -310,6 +310,7 @@ ORACLES = {
     "prefilter_ids": _chunked("SELECT c.cve_key AS query_id, c.cve_id, cast(row_number() OVER (PARTITION BY c.cve_id ORDER BY part, package_name, idx) - 1 AS INTEGER) AS chunk_index FROM parts p JOIN cves c ON p.cve_id = c.cve_id"),
     "corpus_rebuild": "WITH RECURSIVE revised AS (SELECT doc_id, 'Revision 2.' || chr(10) || text AS text FROM documents WHERE text IS NOT NULL)," + split("revised", "doc_id", "text") + " SELECT doc_id, count(*) AS chunks, cast(max(idx) - 1 AS INTEGER) AS last_index FROM parts GROUP BY ALL",
     "postings": "SELECT term, count(*) AS places, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL",
+    "index_terms": "SELECT term, cast(count(*) AS BIGINT) AS docs, cast(sum(n) AS BIGINT) AS places, cast(max(n) AS INTEGER) AS best, min(doc_id) AS first FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term",
     "lexical_topk": _lexical("benchmark", "item_id", "true") + """
         SELECT query_id, doc_id, round(score, 6) AS score, cast(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 10""",
     "lexical_web": _lexical("benchmark", "item_id", "true") + """,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import fixtures as fx
 from .functions import text
 from .functions.versions import choose_fix, compare, version_key
-from .operators import correlate, grounding as grounding_ops, ingest, merge, reports, retrieval, risk, tickets, worklist as worklist_ops
+from .operators import correlate, grounding as grounding_ops, index as posting_index, ingest, merge, reports, retrieval, risk, tickets, worklist as worklist_ops
 from .session import scratch, written
 from .sources import feeds
 from .streaming import findings as stream
@@ -639,11 +639,22 @@ def _two_words(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("query_id"), F.array_join(best, " ").alias("query"), F.size(best).alias("n")).where("n = 2").drop("n")
 
 
+def _index(t: Tables) -> DataFrame:
+    return posting_index.build(t.table("documents"), "doc_id", "text", scratch(t.spark, "postings"))
+
+
+@query
+def index_terms(spark, sf_dir):
+    """What the kept index holds of each term."""
+    places = F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + F.size(p))
+    return _index(Tables(spark, sf_dir)).groupBy("term").agg(F.sum("docs").alias("docs"), F.sum(places).alias("places"), F.max("best").alias("best"), F.min(F.col("base") + F.col("keys")[0]).alias("first"))
+
+
 @query
 def lexical_topk(spark, sf_dir):
+    """From the kept index."""
     t = Tables(spark, sf_dir)
-    index = retrieval.postings(t.table("documents"), "doc_id", "text")
-    found = retrieval.lexical_search(_two_words(t.table("benchmark"), "item_id"), index, "doc_id", 10)
+    found = posting_index.search(_index(t), _two_words(t.table("benchmark"), "item_id"), "doc_id", 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -654,7 +665,7 @@ def lexical_web(spark, sf_dir):
     w = _two_words(t.table("benchmark"), "item_id")
     word = lambda i: F.element_at(F.split("query", " "), i)
     asked = w.select("query_id", F.concat(F.lit('"'), "query", F.lit('" OR '), word(1), F.lit(" -"), word(2)).alias("query"))
-    return retrieval.lexical_search(asked, retrieval.postings(t.table("documents"), "doc_id", "text"), "doc_id", 10).withColumn("score", F.round("score", 6))
+    return posting_index.search(_index(t), asked, "doc_id", 10).withColumn("score", F.round("score", 6))
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -694,7 +705,7 @@ def _branches(t: Tables) -> tuple[DataFrame, DataFrame]:
     q, e = _vectors(t)
     docs = t.table("documents")
     asked = _two_words(docs.where("doc_id % 50 = 0"), "doc_id")
-    lexical = retrieval.lexical_search(asked, retrieval.postings(docs, "doc_id", "text"), "doc_id", retrieval.CANDIDATES)
+    lexical = posting_index.search(_index(t), asked, "doc_id", retrieval.CANDIDATES)
     return lexical, retrieval.dense_search(q.drop("label"), e, retrieval.CANDIDATES).withColumnRenamed("vec_id", "doc_id")
 
 
