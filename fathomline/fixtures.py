@@ -83,7 +83,10 @@ def findings_of(rows: DataFrame) -> DataFrame:
         F.min("finding_id").alias("finding_id"), F.max("scan_id").alias("last_scan_id"), F.min("fixed_raw").alias("fixed_raw"), F.min("first_seen").alias("first_seen"), F.max("seen_at").alias("last_seen"),
         F.expr("CASE WHEN bool_or(status = 'open') THEN 'open' WHEN bool_or(status = 'accepted_risk') THEN 'accepted_risk' ELSE 'fixed' END").alias("status"),
     )
-    return one.withColumn("fixed_version", choose_fix(F.col("fixed_raw"), F.col("installed_version"))).drop("fixed_raw")
+    # Fixes are chosen once for each different pair of texts: there are far fewer than findings.
+    pairs = one.where(F.col("fixed_raw").isNotNull()).select("fixed_raw", "installed_version").distinct()
+    chosen = pairs.withColumn("fixed_version", choose_fix(F.col("fixed_raw"), F.col("installed_version")))
+    return one.join(chosen, ["fixed_raw", "installed_version"], "left").select(*[c for c in one.columns if c != "fixed_raw"], "fixed_version")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,16 @@ _COVERING = """
     """.lstrip()
 
 
+def _later(body: str) -> str:
+    """A body over the view with the facts of a later day."""
+    later = {
+        "assets": "SELECT * REPLACE (CASE WHEN asset_id % 13 = 0 THEN 'prod' ELSE environment END AS environment) FROM assets0",
+        "cves": "SELECT * REPLACE (CASE WHEN cve_key % 17 = 0 THEN cast(0.75 AS DECIMAL(6,5)) ELSE epss_score END AS epss_score, kev_listed OR cve_key % 101 = 7 AS kev_listed) FROM cves0",
+    }
+    names = list(CHAIN)[: list(CHAIN).index("v") + 1]
+    return "WITH " + ", ".join(f"{n}0 AS ({CHAIN[n]}), {n} AS ({later[n]})" if n in later else f"{n} AS ({CHAIN[n]})" for n in names) + " " + body
+
+
 ORACLES = {
     "assets": sql("SELECT * FROM assets", "assets"),
     "cves": sql("SELECT * FROM cves", "cves"),
@@ -395,6 +405,8 @@ ORACLES = {
     "stream_findings": sql("""
         , s AS (SELECT asset_id, cve_id, package_name, installed_version, scan_id, min(first_seen) AS first_seen, CASE WHEN bool_or(status = 'open') THEN 'open' WHEN bool_or(status = 'accepted_risk') THEN 'accepted_risk' ELSE 'fixed' END AS status FROM staged GROUP BY ALL)
         SELECT asset_id, cve_id, package_name, installed_version, arg_min(first_seen, scan_id) AS first_seen, max(scan_id) AS last_scan_id, CASE WHEN count(*) > 1 AND arg_min(status, scan_id) = 'fixed' THEN 'open' ELSE arg_min(status, scan_id) END AS status FROM s GROUP BY ALL""".lstrip(), "staged"),
+    "changed_facts": sql("SELECT 'cve' AS kind, cve_id AS key FROM cves WHERE (cve_key % 17 = 0 AND epss_score IS DISTINCT FROM 0.75) OR (cve_key % 101 = 7 AND NOT kev_listed) UNION ALL SELECT 'asset', cast(asset_id AS VARCHAR) FROM assets WHERE asset_id % 13 = 0 AND environment <> 'prod'", "facts"),
+    "changed_scores": _later("SELECT finding_id, risk_score, risk_band, due_date FROM v WHERE cve_id IN (SELECT cve_id FROM cves0 WHERE (cve_key % 17 = 0 AND epss_score IS DISTINCT FROM 0.75) OR (cve_key % 101 = 7 AND NOT kev_listed)) OR asset_id IN (SELECT asset_id FROM assets0 WHERE asset_id % 13 = 0 AND environment <> 'prod')"),
     "incremental_score": sql("SELECT finding_id, risk_score, risk_band, due_date FROM v WHERE last_seen > DATE '1998-01-01'", "v"),
     "quota_stream": "SELECT strftime(make_timestamp(cast(start * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS start, user_id AS key, count(*) AS calls, round(sum(value), 4) AS used FROM (SELECT (floor(epoch(ts) / 43200) - unnest([0, 1])) * 43200 AS start, user_id, value FROM events) GROUP BY ALL",
     "quota_audit": "SELECT event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS used, count(*) OVER w > 3 OR sum(value) OVER w > 150 AS breach FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import fixtures as fx
 from .functions import text
 from .functions.versions import choose_fix, compare, version_key
-from .operators import correlate, grounding as grounding_ops, index as posting_index, ingest, merge, reports, retrieval, risk, tickets, worklist as worklist_ops
+from .operators import changes, correlate, grounding as grounding_ops, index as posting_index, ingest, merge, reports, retrieval, risk, risk_table, tickets, worklist as worklist_ops
 from .session import scratch, written
 from .sources import feeds
 from .streaming import findings as stream
@@ -109,6 +109,24 @@ class Tables:
         }
 
 
+_kept: dict[tuple, str] = {}
+
+
+def _risk_table(spark: SparkSession, sf_dir: str) -> str:
+    """The triage table of a folder, kept for the session; written anew where one of the tables that it comes from has changed."""
+    stamps = []
+    for name in ("customer", "nation", "region", "part", "orders", "lineitem"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        stamps.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    key = (spark.sparkContext.applicationId, sf_dir, *stamps)
+    if key not in _kept:
+        path = scratch(spark, "risk")
+        view = Tables(spark, sf_dir).view
+        risk_table.write(view.select("asset_id", *reports.SHOWN), path)
+        _kept[key] = path
+    return _kept[key]
+
+
 # Sources and merges
 
 
@@ -523,27 +541,28 @@ def asset_detail(spark, sf_dir):
 
 @query
 def findings_risk(spark, sf_dir):
-    return reports.finding_list(Tables(spark, sf_dir).view)
+    return risk_table.page(spark, _risk_table(spark, sf_dir))
 
 
 @query
 def findings_due(spark, sf_dir):
-    return reports.finding_list(Tables(spark, sf_dir).view, "due_date", 100, 20, overdue_only=True, band="high")
+    return risk_table.page(spark, _risk_table(spark, sf_dir), "due_date", 100, 20, overdue_only=True, band="high")
 
 
 @query
 def findings_epss(spark, sf_dir):
-    return reports.finding_list(Tables(spark, sf_dir).view, "epss", kev_only=True, environment="prod")
+    return risk_table.page(spark, _risk_table(spark, sf_dir), "epss", kev_only=True, environment="prod")
 
 
 @query
 def findings_filtered(spark, sf_dir):
-    return reports.finding_list(Tables(spark, sf_dir).view, limit=None, team="asia", internet_facing=True, band="critical")
+    return risk_table.page(spark, _risk_table(spark, sf_dir), limit=None, team="asia", internet_facing=True, band="critical")
 
 
 @query
 def triage_queue(spark, sf_dir):
-    return reports.finding_list(Tables(spark, sf_dir).view, limit=20, band="critical")
+    """The first page of the kept table: one band's folder, and of its row groups those with the highest scores."""
+    return risk_table.page(spark, _risk_table(spark, sf_dir), limit=20, band="critical")
 
 
 @query
@@ -1031,6 +1050,31 @@ def incremental_score(spark, sf_dir):
     return stream.incremental_score(t.findings, t.cves, t.assets, "1998-01-01").select("finding_id", "risk_score", "risk_band", "due_date")
 
 
+def _new_facts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The ids and assets of a later day: some exploit scores rose, some ids were listed, some assets went to production."""
+    cves = t.cves.withColumns({
+        "epss_score": F.expr("CASE WHEN cve_key % 17 = 0 THEN cast(0.75 AS decimal(6,5)) ELSE epss_score END"), "kev_listed": F.expr("kev_listed OR cve_key % 101 = 7"),
+        "description": F.concat("description", F.lit(" (revised)")),
+    })
+    return cves, t.assets.withColumn("environment", F.expr("CASE WHEN asset_id % 13 = 0 THEN 'prod' ELSE environment END"))
+
+
+@query
+def changed_facts(spark, sf_dir):
+    """Ids and assets whose facts differ from the prints that the run before kept."""
+    t = Tables(spark, sf_dir)
+    before = written(changes.prints(t.cves, t.assets), "prints")
+    return changes.changed(before, changes.prints(*_new_facts(t)))
+
+
+@query
+def changed_scores(spark, sf_dir):
+    """The findings that changed facts concern, scored anew; no others are."""
+    t = Tables(spark, sf_dir)
+    before = written(changes.prints(t.cves, t.assets), "prints")
+    return changes.rescore(t.findings, *_new_facts(t), before).select("finding_id", "risk_score", "risk_band", "due_date")
+
+
 @query
 def quota_audit(spark, sf_dir):
     e = Tables(spark, sf_dir).table("events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("weight"))
