@@ -18,27 +18,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .session import Tables, bound_batches, broadcast_if_small
+from .textbytes import slices
 
 #: Documents that keep a term, the price's unit, what is added to a count, and terms listed for a group.
 LEAST, UNIT, ADDED, TOP = 10, 1_000_000_000, 2, 10
 #: Groups of a block and terms of a strip, about.
 ROWS, COLUMNS = 16, 4096
-#: Runs of characters that are letters or not ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of a term, in lower case: letters, and all that isn't ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
+#: Bytes of text that are counted at a time.
+SLICE = 1 << 20
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice's groups, and in these its different terms with their occurrences and the rows that have them."""
+    for batch in batches:
+        for at, to, texts in slices(batch.column("text"), SLICE):
+            lang, source = (batch.column(c).slice(at, to - at).dictionary_encode() for c in ("lang", "source"))
+            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            words = texts.words(LETTERS, lower=True)
+            terms, text = words.coded(), words.texts()
+            code, most = terms.indices.to_numpy().astype(np.int64), max(1, len(terms.dictionary))
+            unit = pa.array(group[text] * most + code).dictionary_encode()
+            of, once = unit.indices.to_numpy(), unit.dictionary.to_numpy()
+            n = np.bincount(of, minlength=len(once))
+            docs = np.bincount(of[np.unique(text * most + code, return_index=True)[1]], minlength=len(once))
+            of_group, of_term = np.divmod(once, most)
+            every = np.unique(group)
+            of_group = pa.array(np.concatenate([every, of_group]))
+            zeros = np.zeros(len(every), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    lang.dictionary.take(pc.divide(of_group, len(source.dictionary))),
+                    source.dictionary.take(pa.array(of_group.to_numpy() % len(source.dictionary))),
+                    pa.concat_arrays([pa.nulls(len(every), pa.string()), terms.dictionary.take(pa.array(of_term)).cast(pa.string())]),
+                    pa.array(np.concatenate([zeros, n])), pa.array(np.concatenate([zeros, docs])),
+                ],
+                names=["lang", "source", "term", "n", "docs"],
+            )
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) of docs (text, lang, source): occurrences of a term in a group, and rows with it; each group has a row with a null term, too."""
-    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), words.alias("words"))
-    each = lambda c, n, docs: F.transform(c, lambda w: F.struct(w.alias("term"), F.lit(n).alias("n"), F.lit(docs).alias("docs")))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("n"), F.lit(0).alias("docs")))
-    entries = rows.select("lang", "source", F.explode(F.concat(none, each(F.col("words"), 1, 0), each(F.array_distinct("words"), 0, 1))).alias("e"))
-    return entries.groupBy("lang", "source", "e.term").agg(F.sum("e.n").alias("n"), F.sum("e.docs").alias("docs"))
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    counts = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def price(n: Column, total: Column, terms: Column) -> Column:

@@ -97,6 +97,15 @@ class Words:
     def hashes(self, which: int = 0) -> np.ndarray:
         return _ranges(self.data.astype(U) + U(1), self.starts, self.ends, _BASES[which])
 
+    def coded(self) -> pa.DictionaryArray:
+        """The words, as codes of the different ones."""
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.starts] += 1  # no two words start, or end, at one place
+        inside[self.ends] -= 1
+        letters = self.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+
     def texts(self) -> np.ndarray:
         """For each word the number of its text."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
