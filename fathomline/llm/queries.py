@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,30 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_benchmark_decontamination": r"""
+        WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        windows AS (
+            SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+            FROM (SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        places AS (SELECT id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d JOIN sizes ON len(w) >= size)),
+        found AS (SELECT id, i, size, item_id FROM places JOIN windows USING (size, phrase)),
+        hit AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT id, i, size FROM found)) GROUP BY id),
+        items AS (SELECT id, list_sort(list(DISTINCT cast(item_id AS VARCHAR))) AS items FROM found GROUP BY id)
+        SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, cast(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+            coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (id) LEFT JOIN items USING (id)""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        runs AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        least AS (SELECT phrase, min(doc_id) AS first FROM runs GROUP BY phrase),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM runs JOIN least USING (phrase) WHERE first < doc_id),
+        stretches AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS n_repeats FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_repeats, 0) AS n_repeats, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN stretches USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS first FROM p),
