@@ -48,6 +48,11 @@ def groups(view: DataFrame) -> DataFrame:
     )
 
 
+def action_groups(view: DataFrame) -> DataFrame:
+    """The groups alone, a row for each action: to count them, nothing else need be built."""
+    return view.withColumn("has_fix", F.col("fixed_version").isNotNull()).select(*GROUP).distinct()
+
+
 def package_targets(view: DataFrame) -> DataFrame:
     """The highest fix of each team, package and system, whatever the band."""
     fixes = view.where(F.col("fixed_version").isNotNull()).select("owner_team", "package_name", "os_family", "fixed_version").distinct()

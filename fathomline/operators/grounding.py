@@ -44,8 +44,13 @@ def _any(text: Column, words: list[str]) -> Column:
     return out
 
 
+def _first(text: str, pattern: str, n: int = 4) -> Column:
+    """The first `n` different matches of a pattern's group, sorted."""
+    return F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))), 1, n)
+
+
 def rubric(plans: DataFrame) -> DataFrame:
-    """plans (markdown, grounded, target_version, os_family) with the seven checks, score, actionable and failures."""
+    """plans (markdown, grounded, target_version, os_family) with the seven checks, score, actionable, failures, and detail: commands, other systems' tools, the first placeholders and vague phrases."""
     rows = plans.withColumn("commands", X.commands(F.col("markdown"))).withColumn("_joined", F.array_join("commands", " "))
     joined = F.col("_joined")
     padded = F.concat(F.lit(" "), joined, F.lit(" "))
@@ -59,7 +64,12 @@ def rubric(plans: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "names_target": F.coalesce((F.col("target_version") != "") & F.contains("markdown", "target_version"), F.lit(False)), "has_commands": F.size("commands") > 0, "commands_match_os": (own | eco) & ~wrong,
         "has_rollback": F.contains(F.lower("markdown"), F.lit("rollback")), "no_placeholders": ~F.col("markdown").rlike(PLACEHOLDER), "not_vague": ~F.col("markdown").rlike(VAGUE),
-    }).drop("_joined")
+    })
+    rows = rows.withColumn("detail", F.struct(
+        F.size("commands").alias("command_count"),
+        F.array_compact(F.array(*(F.when((F.col("os_family") != s) & _any(joined, t), F.lit(s)) for s, t in TOOLS.items()))).alias("wrong_os_tooling"),
+        _first("markdown", PLACEHOLDER).alias("placeholders"), _first("markdown", VAGUE).alias("vague_phrases"),
+    )).drop("_joined")
     score = sum((F.col(c).cast("int") for c in CHECKS), F.lit(0)) / len(CHECKS)
     good = F.lit(True)
     for c in CHECKS:

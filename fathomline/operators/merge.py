@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import broadcast_if_small, written
+
 Rule = str | Callable[[Column, Column], Column]
 
 _RULES: dict[str, Callable[[Column, Column], Column]] = {
@@ -72,6 +74,61 @@ def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
+#: Rows of a leaf of a hash tree, about, and bits by which the tree widens from one level to the next.
+LEAF_ROWS, STEP = 1_000, 6
+
+
+def hash_tree(rows: DataFrame, key: str, bits: int) -> DataFrame:
+    """(level, node, rows, one, two): digests of rows by the hash of their key, from the root (level 0) to 2**bits leaves.
+
+    A digest is two sums of the rows' hashes, so their order doesn't matter, and a node's are the sums of its children's.
+    Kept beside a table, a tree spares it from being read where nothing differs.
+    """
+    content = F.struct(*rows.columns)
+    leaf = F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 64 - bits) if bits else F.lit(0).cast("long")
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), content).cast("decimal(20,0)"))
+    level = rows.groupBy(leaf.alias("node")).agg(F.count("*").alias("rows"), wide(1).alias("one"), wide(2).alias("two"))
+    tree, at = level.withColumn("level", F.lit(bits)), bits
+    while at:
+        at, by = max(0, at - STEP), min(at, STEP)
+        level = level.groupBy(F.shiftrightunsigned("node", by).alias("node")).agg(*(F.sum(c).alias(c) for c in ("rows", "one", "two")))
+        tree = tree.unionByName(level.withColumn("level", F.lit(at)))
+    return tree.select("level", "node", "rows", F.col("one").cast("decimal(38,0)").alias("one"), F.col("two").cast("decimal(38,0)").alias("two"))
+
+
+def differing_leaves(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
+    """(node) of the leaves of two hash trees whose digests differ: from the root down, only below nodes that differ."""
+    level, found = 0, None
+    while True:
+        mine, other = (t.where(F.col("level") == level).select("node", "rows", "one", "two") for t in (left, right))
+        other = other.withColumnsRenamed({c: f"_{c}" for c in ("rows", "one", "two")})
+        both = mine.join(other, "node", "full_outer")
+        if found is not None:
+            both = both.join(broadcast_if_small(found.select(F.col("node").alias("_up"))), F.shiftrightunsigned("node", by) == F.col("_up"), "left_semi")  # noqa: B023
+        same = F.lit(True)
+        for c in ("rows", "one", "two"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        found = written(both.where(~same).select("node"), "differs")
+        if level == bits:
+            return found
+        by = bits % STEP if not level and bits % STEP else STEP
+        level += by
+
+
+def reconcile_by_tree(left: DataFrame, right: DataFrame, key: str, bits: int | None = None) -> DataFrame:
+    """reconcile() that joins only the rows of leaves that differ, with `compared`: how many rows of both sides those are."""
+    if bits is None:
+        bits = max(0, (left.count() // LEAF_ROWS).bit_length())
+    right = right.select(*left.columns)
+    trees = [written(hash_tree(t, key, bits), "tree") for t in (left, right)]
+    leaves = broadcast_if_small(differing_leaves(*trees, bits))
+    leaf = F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 64 - bits) if bits else F.lit(0).cast("long")
+    some = [t.join(leaves, leaf == F.col("node"), "left_semi") for t in (left, right)]
+    found = reconcile(*some, key).select("missing", "surplus", "changed", "in_sync", (F.col("source_rows") + F.col("target_rows")).alias("compared"))
+    whole = [t.where("level = 0").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias(n)) for t, n in zip(trees, ("source_rows", "target_rows"), strict=True)]
+    return whole[0].crossJoin(whole[1]).crossJoin(found).select("source_rows", "target_rows", "missing", "surplus", "changed", "in_sync", "compared")  # one row each
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: rows of both sides, rows that only one has, rows that differ in content, and whether there is drift."""
     content = [c for c in left.columns if c != key]

@@ -73,6 +73,13 @@ def upsert(filed: DataFrame, tickets: DataFrame) -> DataFrame:
     return merge(filed, tickets, ["idempotency_key"], rules)
 
 
+def upsert_counts(filed: DataFrame, tickets: DataFrame) -> DataFrame:
+    """One row: tickets that a dispatch creates, and those that it updates; null keys are equal to each other."""
+    old = filed.select(F.col("idempotency_key").alias("_k"), F.lit(True).alias("_old")).distinct()
+    both = tickets.select("idempotency_key").distinct().join(old, F.col("idempotency_key").eqNullSafe(F.col("_k")), "left")
+    return both.agg(F.count_if(F.col("_old").isNull()).alias("created"), F.count("_old").alias("updated"))
+
+
 def links(filed: DataFrame, actions_of: DataFrame, known: DataFrame) -> DataFrame:
     """(idempotency_key, finding_id) after a dispatch: those that are missing are added."""
     fresh = actions_of.join(filed.select("idempotency_key"), "idempotency_key", "left_semi").select("idempotency_key", "finding_id").distinct()

@@ -248,12 +248,15 @@ ORACLES = {
     "epss_summary": sql("SELECT count(epss_score) AS scored, count(*) FILTER (WHERE epss_score >= 0.1) AS at_least_10pct FROM cves", "cves"),
     "cve_record_normalise": sql("""
         SELECT cve_id, description, cvss_v31_score, cvss_v40_score, coalesce(CASE WHEN cvss_v40_score IS NOT NULL THEN cvss_severity END, CASE WHEN cvss_v31_score IS NOT NULL THEN cvss_severity END) AS cvss_severity,
-            list_sort(list_distinct(['CWE-' || (cve_key % 9), 'CWE-' || (cve_key % 4)])) AS cwe_ids, ['https://example.com/' || cve_id] AS links FROM cves""", "cves"),
+            list_sort(list_distinct(['CWE-' || (cve_key % 9), 'CWE-' || (cve_key % 4)])) AS cwe_ids, ['https://example.com/' || cve_id] AS links,
+            '2001-02-' || lpad(cast(1 + cve_key % 28 AS VARCHAR), 2, '0') || ' 03:04:05' AS published, CASE WHEN cve_key % 2 = 0 THEN '2002-03-04 05:06:07' END AS last_modified,
+            CASE WHEN cvss_v31_score IS NOT NULL THEN 'v' END AS cvss_v31_vector, CASE WHEN cvss_v40_score IS NOT NULL THEN 'v' END AS cvss_v40_vector FROM cves""", "cves"),
     "record_merge": sql("SELECT cve_id, CASE WHEN cve_key % 3 = 0 THEN description || ' (revised)' ELSE description END AS description, cvss_v31_score, CASE WHEN cve_key % 3 = 0 THEN ['CWE-' || (cve_key % 9)] ELSE ['CWE-1'] END AS cwe_ids, CASE WHEN cve_key % 3 = 0 THEN DATE '2000-01-01' END AS enriched_at FROM cves", "cves"),
     "pending_enrichment": sql("SELECT cve_id FROM cves WHERE cve_key % 3 <> 0", "cves"),
     "cvss_preference": sql("SELECT cve_id, cast(CASE cve_key % 4 WHEN 0 THEN cve_key % 10 WHEN 1 THEN cve_key % 9 WHEN 2 THEN cve_key % 8 ELSE cve_key % 7 END AS DOUBLE) AS score, CASE cve_key % 4 WHEN 0 THEN 'nvd' WHEN 1 THEN 'ghsa' WHEN 2 THEN 'redhat' ELSE 'amazon' END AS vector FROM cves", "cves"),
-    "report_flatten": sql("SELECT 'host-' || (row_id % 5) AS hostname, cve_id, package_name, installed_version, fixed_raw, CASE row_id % 3 WHEN 0 THEN 'HIGH' ELSE 'LOW' END AS severity, count(*) AS n FROM staged GROUP BY ALL", "staged"),
+    "report_flatten": sql("SELECT 'host-' || (row_id % 5) AS hostname, cve_id, package_name, installed_version, fixed_raw, CASE row_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE 'UNKNOWN' END AS severity, 'About ' || cve_id AS description, CASE WHEN row_id % 2 = 0 THEN 'https://example.com/' || cve_id END AS link, seen_at AS published, NULL::VARCHAR AS last_modified, count(*) AS n FROM staged GROUP BY ALL", "staged"),
     "store_reconcile": "SELECT count(*) FILTER (WHERE doc_id % 10 <> 1) AS source_rows, count(*) FILTER (WHERE doc_id % 10 <> 2) AS target_rows, count(*) FILTER (WHERE doc_id % 10 = 2) AS missing, count(*) FILTER (WHERE doc_id % 10 = 1) AS surplus, count(*) FILTER (WHERE doc_id % 10 = 3) AS changed, count(*) = 0 AS in_sync FROM documents",
+    "reconcile_drift": "SELECT count(*) AS source_rows, count(*) FILTER (WHERE k % 3001 <> 5) AS target_rows, count(*) FILTER (WHERE k % 3001 = 5) AS missing, 0::BIGINT AS surplus, count(*) FILTER (WHERE k % 3001 <> 5 AND k % 3011 = 7) AS changed, false AS in_sync, true AS compared FROM (SELECT o_orderkey AS k FROM orders)",
     "version_order": sql(f", x AS (SELECT DISTINCT fixed_version AS version FROM findings WHERE fixed_version IS NOT NULL) SELECT version, rank() OVER (ORDER BY {key('version')}) AS version_rank FROM x", "findings"),
     "version_compare": sql(f"SELECT installed_version, fixed_version, CASE WHEN a > b THEN 1 WHEN a < b THEN -1 WHEN a = b THEN 0 END AS \"order\" FROM (SELECT installed_version, fixed_version, {key('installed_version')} AS a, CASE WHEN fixed_version IS NOT NULL THEN {key('fixed_version')} END AS b FROM (SELECT DISTINCT installed_version, fixed_version FROM findings))", "findings"),
     "fix_selection": sql("SELECT fixed_raw, installed_version, fixed_version FROM chosen", "chosen"),
@@ -351,7 +354,8 @@ ORACLES = {
     "plan_rubric": sql("""
         SELECT plan_id, grounded, fixed_version IS NOT NULL AS names_target, fixed_version IS NOT NULL AS has_commands, fixed_version IS NOT NULL AS commands_match_os, fixed_version IS NOT NULL AS has_rollback, n % 13 <> 0 AS no_placeholders, true AS not_vague,
             round((cast(grounded AS INTEGER) + 4 * cast(fixed_version IS NOT NULL AS INTEGER) + cast(n % 13 <> 0 AS INTEGER) + 1) / 7, 3) AS score, grounded AND fixed_version IS NOT NULL AND n % 13 <> 0 AS actionable,
-            list_filter([CASE WHEN NOT grounded THEN 'grounded' END, CASE WHEN fixed_version IS NULL THEN 'names_target' END, CASE WHEN fixed_version IS NULL THEN 'has_commands' END, CASE WHEN fixed_version IS NULL THEN 'commands_match_os' END, CASE WHEN fixed_version IS NULL THEN 'has_rollback' END, CASE WHEN n % 13 = 0 THEN 'no_placeholders' END], lambda x: x IS NOT NULL) AS failures FROM plans""", "plans"),
+            list_filter([CASE WHEN NOT grounded THEN 'grounded' END, CASE WHEN fixed_version IS NULL THEN 'names_target' END, CASE WHEN fixed_version IS NULL THEN 'has_commands' END, CASE WHEN fixed_version IS NULL THEN 'commands_match_os' END, CASE WHEN fixed_version IS NULL THEN 'has_rollback' END, CASE WHEN n % 13 = 0 THEN 'no_placeholders' END], lambda x: x IS NOT NULL) AS failures,
+            cast(fixed_version IS NOT NULL AS INTEGER) AS commands, []::VARCHAR[] AS wrong_os, CASE WHEN n % 13 = 0 THEN ['/path/to/'] ELSE [] END AS placeholders, []::VARCHAR[] AS vague FROM plans""", "plans"),
     "rubric_rates": sql("SELECT count(*) AS plans, round(avg(round((g + 4 * f + p + 1) / 7, 3)), 3) AS mean_score, round(avg(g * f * p), 3) AS actionable_rate, round(avg(g), 3) AS grounded_rate, round(avg(f), 3) AS names_target_rate, round(avg(f), 3) AS has_commands_rate, round(avg(f), 3) AS commands_match_os_rate, round(avg(f), 3) AS has_rollback_rate, round(avg(p), 3) AS no_placeholders_rate, 1.0 AS not_vague_rate FROM (SELECT cast(grounded AS INTEGER) AS g, cast(fixed_version IS NOT NULL AS INTEGER) AS f, cast(n % 13 <> 0 AS INTEGER) AS p FROM plans)", "plans"),
     "worst_plans": sql("""
         SELECT plan_id, score, failures FROM (
@@ -398,6 +402,7 @@ ORACLES = {
             LEFT JOIN best m ON a.idempotency_key = m.idempotency_key LEFT JOIN plans q ON m.plan_id = q.plan_id""".lstrip(), "tickets"),
     "ticket_preview": sql("SELECT t.idempotency_key, t.title, t.owner_team, t.due_date, t.finding_count, CASE WHEN a.asset_count % 3 = 0 THEN 'update' ELSE 'create' END AS would, t.grounded AS has_grounded_plan FROM tickets t JOIN actions a ON t.idempotency_key = a.idempotency_key", "tickets"),
     "ticket_upsert": sql("SELECT CASE WHEN asset_count % 3 = 0 THEN 'T-' ELSE 'N-' END || substr(idempotency_key, 1, 8) AS ticket_id, idempotency_key, title, owner_team, owner_email, risk_band, due_date, 'open' AS state FROM actions", "actions"),
+    "ticket_counts": sql("SELECT count(*) FILTER (WHERE asset_count % 3 <> 0) AS created, count(*) FILTER (WHERE asset_count % 3 = 0) AS updated FROM actions", "actions"),
     "ticket_links": sql("SELECT idempotency_key, finding_id FROM covered WHERE finding_id % 2 = 0 UNION ALL SELECT idempotency_key, finding_id FROM covered c WHERE finding_id % 2 <> 0 AND EXISTS (SELECT 1 FROM actions a WHERE a.idempotency_key = c.idempotency_key AND a.risk_band <> 'low')", "covered"),
     "closable_tickets": sql(_COVERING + "SELECT k AS idempotency_key, 'Upgrade ' || k AS title, total FROM covering WHERE filed AND still = 0", "findings"),
     "close_tickets": sql(_COVERING + "SELECT k AS idempotency_key, CASE WHEN NOT filed THEN 'dropped' WHEN still = 0 THEN 'closed' ELSE 'open' END AS state FROM covering", "findings"),
@@ -411,3 +416,4 @@ ORACLES = {
     "quota_stream": "SELECT strftime(make_timestamp(cast(start * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS start, user_id AS key, count(*) AS calls, round(sum(value), 4) AS used FROM (SELECT (floor(epoch(ts) / 43200) - unnest([0, 1])) * 43200 AS start, user_id, value FROM events) GROUP BY ALL",
     "quota_audit": "SELECT event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS used, count(*) OVER w > 3 OR sum(value) OVER w > 150 AS breach FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)",
 }
+ORACLES["stream_repeats"] = ORACLES["stream_findings"]  # repeats change nothing

@@ -286,13 +286,15 @@ def epss_summary(spark, sf_dir):
 def cve_record_normalise(spark, sf_dir):
     """Records written as JSON files, read and normalised."""
     metric = lambda c: f"CASE WHEN {c} IS NOT NULL THEN array(named_struct('type', 'Secondary', 'cvssData', named_struct('baseScore', 1D, 'vectorString', 'x', 'baseSeverity', cast(NULL AS string))), named_struct('type', 'Primary', 'cvssData', named_struct('baseScore', cast({c} AS double), 'vectorString', 'v', 'baseSeverity', cvss_severity))) END"
-    made = Tables(spark, sf_dir).cves.select(F.expr(f"""to_json(named_struct('id', cve_id, 'metrics', named_struct('cvssMetricV40', {metric("cvss_v40_score")}, 'cvssMetricV31', {metric("cvss_v31_score")}),
+    made = Tables(spark, sf_dir).cves.select(F.expr(f"""to_json(named_struct('id', cve_id, 'published', concat('2001-02-', lpad(cast(1 + cve_key % 28 AS string), 2, '0'), 'T03:04:05.000'), 'lastModified', CASE WHEN cve_key % 2 = 0 THEN '2002-03-04T05:06:07' ELSE 'soon' END, 'metrics', named_struct('cvssMetricV40', {metric("cvss_v40_score")}, 'cvssMetricV31', {metric("cvss_v31_score")}),
         'descriptions', array(named_struct('lang', 'es', 'value', 'otra'), named_struct('lang', 'en', 'value', description)),
         'weaknesses', array(named_struct('description', array(named_struct('value', concat('CWE-', cast(cve_key % 9 AS string))), named_struct('value', 'NVD-other'))), named_struct('description', array(named_struct('value', concat('CWE-', cast(cve_key % 4 AS string)))))),
         'references', array(named_struct('url', concat('https://example.com/', cve_id)))))""").alias("json"))
     path = scratch(spark, "records")
     made.write.text(path)
-    return feeds.cve_records(spark, path)
+    found = feeds.cve_records(spark, path)
+    told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select(*[c for c in found.columns if c not in ("published", "last_modified")], told("published"), told("last_modified"))
 
 
 @query
@@ -324,12 +326,13 @@ def report_flatten(spark, sf_dir):
     """Reports of five hosts, written as JSON files and read by the report reader."""
     where = scratch(spark, "reports")
     rows = Tables(spark, sf_dir).staged.withColumn("host", F.expr("concat('host-', cast(row_id % 5 AS string))"))
-    item = F.struct(F.col("cve_id").alias("VulnerabilityID"), F.col("package_name").alias("PkgName"), F.col("installed_version").alias("InstalledVersion"), F.col("fixed_raw").alias("FixedVersion"), F.expr("CASE row_id % 3 WHEN 0 THEN 'HIGH' ELSE 'LOW' END").alias("Severity"))
+    item = F.struct(F.col("cve_id").alias("VulnerabilityID"), F.col("package_name").alias("PkgName"), F.col("installed_version").alias("InstalledVersion"), F.col("fixed_raw").alias("FixedVersion"), F.expr("CASE row_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' END").alias("Severity"),
+        F.expr("concat('About ', cve_id)").alias("Description"), F.expr("CASE WHEN row_id % 2 = 0 THEN array(concat('https://example.com/', cve_id)) END").alias("References"), F.expr("cast(seen_at AS string)").alias("PublishedDate"), F.lit("unknown").alias("LastModifiedDate"))
     # A report holds some thousand rows of a host, so the number of reports grows with the table.
     parts = max(1, rows.count() // (5 * ENTRIES))
     report = rows.groupBy("host", F.pmod(F.xxhash64("row_id"), F.lit(parts)).alias("part")).agg(F.collect_list(item).alias("v")).select("host", F.array(F.struct(F.lit("os-pkgs").alias("Type"), F.col("v").alias("Vulnerabilities"))).alias("Results"))
     report.write.partitionBy("host").json(where)
-    return feeds.scan_reports(spark, where, lines=True).groupBy("hostname", "cve_id", "package_name", "installed_version", "fixed_raw", "severity").agg(F.count("*").alias("n"))
+    return feeds.scan_reports(spark, where, lines=True).groupBy("hostname", "cve_id", "package_name", "installed_version", "fixed_raw", "severity", "description", F.get("links", 0).alias("link"), F.col("published").cast("date").alias("published"), "last_modified").agg(F.count("*").alias("n")).withColumn("last_modified", F.col("last_modified").cast("string"))
 
 
 @query
@@ -339,6 +342,15 @@ def store_reconcile(spark, sf_dir):
     return merge.reconcile(d.where("doc_id % 10 <> 1"), other, "doc_id")
 
 
+@query
+def reconcile_drift(spark, sf_dir):
+    """Two stores that drifted by a few rows: digests of a tree tell which leaves to compare."""
+    t = Tables(spark, sf_dir)
+    d = written(t.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("string").alias("day")), "store")
+    other = d.where("o_orderkey % 3001 <> 5").withColumn("o_custkey", F.expr("CASE WHEN o_orderkey % 3011 = 7 THEN o_custkey + 1 ELSE o_custkey END"))
+    return merge.reconcile_by_tree(d, other, "o_orderkey").withColumn("compared", F.col("compared") < F.col("source_rows"))
+
+
 # Versions
 
 
@@ -587,7 +599,7 @@ def team_workload(spark, sf_dir):
 @query
 def overview(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return reports.overview(t.kept_view, t.actions)
+    return reports.overview(t.kept_view, correlate.action_groups(t.kept_view))
 
 
 # Text and retrieval
@@ -827,7 +839,7 @@ def ungrounded_clusters(spark, sf_dir):
 
 @query
 def plan_rubric(spark, sf_dir):
-    return grounding_ops.rubric(Tables(spark, sf_dir).plans).select("plan_id", *grounding_ops.CHECKS, "score", "actionable", "failures")
+    return grounding_ops.rubric(Tables(spark, sf_dir).plans).select("plan_id", *grounding_ops.CHECKS, "score", "actionable", "failures", F.col("detail.command_count").alias("commands"), F.col("detail.wrong_os_tooling").alias("wrong_os"), F.col("detail.placeholders").alias("placeholders"), F.col("detail.vague_phrases").alias("vague"))
 
 
 @query
@@ -976,6 +988,12 @@ def ticket_upsert(spark, sf_dir):
     return tickets.upsert(_filed(t), new)
 
 
+@query
+def ticket_counts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return tickets.upsert_counts(_filed(t), t.tickets)
+
+
 def _action_findings(t: Tables) -> DataFrame:
     v = t.kept_view.withColumn("has_fix", F.col("fixed_version").isNotNull())
     return v.select(correlate.action_key(F.col("has_fix")).alias("idempotency_key"), "finding_id")
@@ -1030,6 +1048,23 @@ def stream_findings(spark, sf_dir):
     return stream.current(spark, f"{where}/out").select(*fx.IDENTITY, "first_seen", "last_scan_id", "status")
 
 
+@query
+def stream_repeats(spark, sf_dir):
+    """The seven scans again, each delivered twice, the first once more when it is late, and the stream stopped after the fourth: the same table."""
+    where = scratch(spark, "repeats")
+    rows = written(Tables(spark, sf_dir).staged.withColumn("scanned_at", F.expr("timestamp '2000-01-01 00:00:00' + make_interval(0, 0, 0, cast(scan_id AS int))")), "staged")
+    files = max(1, rows.count() // (7 * 1_000_000))
+    deliveries = [[1], [2, 1], [3, 2], [4, 3], [5, 4], [6, 5], [7, 6], [7, 1]]
+    for some in (deliveries[:4], deliveries[4:]):
+        for scans in some:
+            for scan in scans:
+                rows.where(F.col("scan_id") == scan).repartition(files).write.parquet(f"{where}/in/n={scans[0]}-{len(scans)}-{scan}-{scans[-1]}")
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(f"{where}/in/*")
+        once = stream.without_repeats(source, [c for c in rows.columns if c != "scanned_at"], "scanned_at", "3 days")
+        stream.stream_merge(once.drop("scanned_at"), f"{where}/out", fx.findings_of, f"{where}/checkpoint", parts=8)
+    return stream.current(spark, f"{where}/out").select(*fx.IDENTITY, "first_seen", "last_scan_id", "status")
+
+
 @query
 def quota_stream(spark, sf_dir):
     """Calls and weight of each key in sliding windows, as a stream over the events."""

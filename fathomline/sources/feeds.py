@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 REPORT = """Results array<struct<Type: string, Vulnerabilities: array<struct<VulnerabilityID: string, PkgName: string, InstalledVersion: string,
-    FixedVersion: string, Severity: string, Title: string, CVSS: map<string, struct<V3Score: double, V3Vector: string>>>>>>"""
+    FixedVersion: string, Severity: string, Title: string, Description: string, CVSS: map<string, struct<V3Score: double, V3Vector: string>>,
+    References: array<string>, PublishedDate: string, LastModifiedDate: string>>>>"""
 CATALOGUE = "vulnerabilities array<struct<cveID: string, dateAdded: string, dueDate: string, knownRansomwareCampaignUse: string, requiredAction: string, shortDescription: string, vulnerabilityName: string>>"
 _METRIC = "array<struct<type: string, cvssData: struct<baseScore: double, vectorString: string, baseSeverity: string>>>"
 RECORD = f"""id string, published string, lastModified string, metrics struct<cvssMetricV40: {_METRIC}, cvssMetricV31: {_METRIC}, cvssMetricV30: {_METRIC}>,
@@ -15,7 +16,8 @@ RECORD = f"""id string, published string, lastModified string, metrics struct<cv
 def scan_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A row for each vulnerability of each report, in report order.
 
-    A report is a file, named by its host; with `lines` a line of the files below host=NAME, so that many fit a file.
+    Blank severities are UNKNOWN, missing links an empty array; dates are timestamps in UTC, null where they don't parse. A
+    report is a file, named by its host; with `lines` a line of the files below host=NAME, so that many fit a file.
     """
     files = spark.read.schema(REPORT).option("multiLine", not lines).json(path)
     host = F.regexp_extract(F.col("_metadata.file_path"), r"/host=([^/]+)/", 1) if lines else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
@@ -23,7 +25,8 @@ def scan_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     rows = results.select("hostname", "r", F.col("result.Type").alias("package_type"), F.posexplode("result.Vulnerabilities").alias("v", "x"))
     return rows.select(
         "hostname", (F.col("r") * 1_000_000 + F.col("v")).alias("position"), "package_type", F.col("x.VulnerabilityID").alias("cve_id"), F.col("x.PkgName").alias("package_name"), F.col("x.InstalledVersion").alias("installed_version"),
-        F.col("x.FixedVersion").alias("fixed_raw"), F.col("x.Severity").alias("severity"), F.col("x.Title").alias("title"), best_cvss(F.col("x.CVSS")).alias("cvss"),
+        F.col("x.FixedVersion").alias("fixed_raw"), F.coalesce("x.Severity", F.lit("UNKNOWN")).alias("severity"), F.col("x.Title").alias("title"), best_cvss(F.col("x.CVSS")).alias("cvss"),
+        F.col("x.Description").alias("description"), F.coalesce("x.References", F.array().cast("array<string>")).alias("links"), F.expr("try_cast(x.PublishedDate AS timestamp)").alias("published"), F.expr("try_cast(x.LastModifiedDate AS timestamp)").alias("last_modified"),
     )
 
 
@@ -63,7 +66,7 @@ def cve_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise_records(rows: DataFrame) -> DataFrame:
-    """The primary, else first, metric of each version; severity by version 4.0, 3.1, 3.0; the first English description to 8,000 characters; sorted distinct weakness ids; the first 40 links."""
+    """The primary, else first, metric of each version; severity by version 4.0, 3.1, 3.0; the first English description to 8,000 characters; sorted distinct weakness ids; the first 40 links; both dates (null where they don't parse) and the vectors of the scores."""
     m = lambda v: F.col(f"metrics.cvssMetricV{v}")
     pick = lambda v: F.coalesce(F.get(F.filter(m(v), lambda e: e["type"] == "Primary"), 0), F.get(m(v), 0))["cvssData"]
     named = lambda v: F.get(F.filter(F.transform(m(v), lambda e: e["cvssData"]["baseSeverity"]), lambda s: s.isNotNull() & (s != "")), 0)
@@ -73,4 +76,5 @@ def normalise_records(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("id").alias("cve_id"), F.nullif(F.substring(english, 1, 8000), F.lit("")).alias("description"), pick("31")["baseScore"].cast("decimal(3,1)").alias("cvss_v31_score"), pick("40")["baseScore"].cast("decimal(3,1)").alias("cvss_v40_score"),
         F.coalesce(named("40"), named("31"), named("30")).alias("cvss_severity"), F.coalesce(F.array_sort(F.array_distinct(cwes)), F.array().cast("array<string>")).alias("cwe_ids"), F.coalesce(F.slice(links, 1, 40), F.array().cast("array<string>")).alias("links"),
+        F.expr("try_cast(published AS timestamp)").alias("published"), F.expr("try_cast(lastModified AS timestamp)").alias("last_modified"), pick("31")["vectorString"].alias("cvss_v31_vector"), pick("40")["vectorString"].alias("cvss_v40_vector"),
     )

@@ -34,6 +34,15 @@ def stream_merge(source: DataFrame, path: str, to_findings: Callable[[DataFrame]
     source.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def without_repeats(source: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
+    """A stream with each row (by keys) once, however often and in whatever batches it comes within `late` of its time.
+
+    Keys are remembered until the watermark passes them. Rows that come later than that are dropped: those that came in
+    time before are only repeated by them, and others must be loaded by a run over the table.
+    """
+    return source.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
 def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
     """The table as the batches (those before number `before`) left it; null without any. Folders tell which batch wrote a part last; no data is read for that."""
     if before == 0:
