@@ -130,10 +130,10 @@ def reconcile_by_tree(left: DataFrame, right: DataFrame, key: str, bits: int | N
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """One row: rows of both sides, rows that only one has, rows that differ in content, and whether there is drift."""
+    """One row: rows of both sides, rows that only one has, rows that differ in content, and whether there is drift. A null key equals a null key."""
     content = [c for c in left.columns if c != key]
     a = left.select(F.col(key).alias("_a"), F.xxhash64(*content).alias("_ha"))
     b = right.select(F.col(key).alias("_b"), F.xxhash64(*content).alias("_hb"))
-    both = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
-    out = both.agg(F.count("_a").alias("source_rows"), F.count("_b").alias("target_rows"), F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a").isNull()).alias("surplus"), F.count_if(F.col("_ha") != F.col("_hb")).alias("changed"))
+    both = a.join(b, F.col("_a").eqNullSafe(F.col("_b")), "full_outer")
+    out = both.agg(F.count("_ha").alias("source_rows"), F.count("_hb").alias("target_rows"), F.count_if(F.col("_hb").isNull()).alias("missing"), F.count_if(F.col("_ha").isNull()).alias("surplus"), F.count_if(F.col("_ha") != F.col("_hb")).alias("changed"))
     return out.withColumn("in_sync", (F.col("missing") + F.col("surplus") + F.col("changed")) == 0)
