@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import fixtures as fx
 from .functions import text
 from .functions.versions import choose_fix, compare, version_key
-from .operators import changes, correlate, grounding as grounding_ops, index as posting_index, ingest, merge, reports, retrieval, risk, risk_table, tickets, worklist as worklist_ops
+from .operators import changes, correlate, grounding as grounding_ops, index as posting_index, ingest, merge, reports, retrieval, risk, risk_table, tickets, vectors, worklist as worklist_ops
 from .session import scratch, written
 from .sources import feeds
 from .streaming import findings as stream
@@ -723,7 +723,7 @@ def dense_topk_filtered(spark, sf_dir):
 @query
 def ann_topk(spark, sf_dir):
     q, e = _vectors(Tables(spark, sf_dir))
-    return _rounded(retrieval.ann_search(q, e, 10))
+    return _rounded(vectors.search(q.drop("label"), e, vectors.build(e), 10))
 
 
 @query
@@ -783,18 +783,17 @@ def retrieval_eval(spark, sf_dir):
 
 @query
 def eval_grid(spark, sf_dir):
-    """Recall and precision against exact search: exact and hashed, by tables and reach, over all vectors and over those of the query's label."""
+    """Recall and precision against exact search: exact, and the index by the cells looked at, over all vectors and over those of the query's label; with the share of entries that the measured number of cells holds."""
     q, e = _vectors(Tables(spark, sf_dir))
+    q, e = written(q, "queries"), written(e, "corpus")
+    index = vectors.build(e, 8)
     out = None
     for filtered in (False, True):
         want = written(retrieval.dense_search(q if filtered else q.drop("label"), e, 8, on=["label"] if filtered else None).select("query_id", "vec_id"), "exact")
-        settings = [("exact", 0, 0.0)] + [("hashed", tables, reach) for tables in (2, 8) for reach in (1.1, 1.3)]
-        for backend, tables, reach in settings:
-            if backend == "exact":
-                hits = want
-            else:
-                hits = retrieval.ann_search(q.drop("label"), e, 8, tables=tables, reach=reach, labels=("label", q, e) if filtered else None).select("query_id", "vec_id")
-            one = retrieval.evaluate(hits, want, 8).select(F.lit(backend).alias("backend"), F.lit(filtered).alias("filtered"), F.lit(tables).alias("tables"), F.lit(reach).alias("reach"), "queries", "recall_at_k", "precision_at_k")
+        for backend, probe in (("exact", 0), ("index", 1), ("index", max(1, index.probe // 2)), ("index_measured", index.probe)):
+            hits = want if backend == "exact" else vectors.search(q.select("query_id", "vector"), e, index, 8, probe, match=(q, e) if filtered else None).select("query_id", "vec_id")
+            share = F.lit(round(index.share, 4)) if backend == "index_measured" else F.lit(None).cast("double")
+            one = retrieval.evaluate(hits, want, 8).select(F.lit(backend).alias("backend"), F.lit(filtered).alias("filtered"), F.lit(probe).alias("probe"), share.alias("share"), "queries", "recall_at_k", "precision_at_k")
             out = one if out is None else out.unionByName(one)
     return out
 
