@@ -105,7 +105,7 @@ class Index:
                 heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
 
     def visited(self, x: np.ndarray, least: int) -> Iterator[list[int]]:
-        """For each unit vector the cells with entries that it visits: up to the share, and `least` entries at any rate."""
+        """For each unit vector the cells with entries that it visits: up to the share, and `least` entries at any rate, so that a few entries are found in a small index too."""
         a, b = self.distances(x)
         enough = max(least, int(np.ceil(self.share * self.counts.sum())))
         counts = self.counts.tolist()

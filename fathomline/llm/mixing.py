@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
     The budget is shared by weight; no target exceeds `epochs` times its source's size, and what is over goes to
     the others by weight until none is above. In the order of cap to weight, the sources up to some place get
-    their cap and the rest share what is left. One row per source: a table as small as the list of sources.
+    their cap and the rest share what is left. One row per source: its windows put the list of
+    sources into one task, which is fine for names of feeds and up to some millions of hosts.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     numbered = sizes.withColumn("_i", F.row_number().over(order) - 1).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_i") % len(weights) + 1).cast("int")))

@@ -276,7 +276,9 @@ def count_clean_up(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_edits, tokens_before, tokens_after, n_pieces, pieces_encoded, a row for each row of docs.
 
     The trees are kept in the shared folder; one clean-up masks personal data, the next one, on the trees that the
-    first one left, takes repeated lines away.
+    first one left, takes repeated lines away. A null text is an empty one, of no tokens; texts are read whole, however long;
+    repeated rows are counted each by itself; other columns of docs, whatever their names, don't matter. An empty table
+    gives an empty result.
     """
     trees = Tables(docs.sparkSession, "token-trees").keep(build_trees(docs.select("doc_id", "text"), vocabulary=vocabulary))
     first = edit_trees(trees.withColumn("tokens_before", F.col("tokens")), personal_data, vocabulary)

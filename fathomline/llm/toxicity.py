@@ -218,11 +218,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, trees: int = 2
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs; labels, lang, source and doc_id aren't features."""
+    """doc_id, held_out, score, predicted for each row of docs; labels, lang, source and doc_id aren't features.
+
+    Null texts score as empty ones do; texts are read whole, however long; repeated rows have the same score each; other
+    columns of either table don't matter. An empty table gives an empty result; without labels to learn from see fit().
+    """
     scored = fit(docs, labels).score(docs)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score `threshold` or more, all columns kept."""
+    """docs without those that score `threshold` or more, all columns kept, whatever their names and types; repeated rows go or stay together, null texts count as empty."""
     return model.score(docs.select(F.struct(*docs.columns).alias("_row"), "text"), ["_row"]).where(F.col("score") < threshold).select("_row.*")
