@@ -13,6 +13,7 @@ URGENCY = "CASE risk_band WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium
 HOSTS = 200
 
 
+# The forms of an action's key and title.
 def action_key(fix: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", "owner_team", "package_name", "os_family", "risk_band", F.when(fix, "fix").otherwise("nofix")), 256), 1, 32)
 

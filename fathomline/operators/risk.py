@@ -31,6 +31,7 @@ def facts(findings: DataFrame, cves: DataFrame, assets: DataFrame) -> DataFrame:
     return findings.where("status = 'open'").join(c, "cve_id").join(a, "asset_id")
 
 
+# The names of sources, reasons and rules in components(), scored() and with_sla().
 def components(rows: DataFrame) -> DataFrame:
     """The four capped components, each with what decided it."""
     label = _case(F.upper("cvss_severity"), LABEL_SCORE).cast("decimal(3,1)")

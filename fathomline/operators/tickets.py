@@ -98,6 +98,7 @@ def close(filed: DataFrame, done: DataFrame) -> DataFrame:
     return merge(filed, done.select("idempotency_key", F.lit("closed").alias("state")), ["idempotency_key"], {"state": "replace"}, insert=False)
 
 
+# The trackers' field names and types below.
 def tracker_payload(tickets: DataFrame, project: str = "SEC") -> DataFrame:
     """The fields of two kinds of trackers, as JSON text; sending them isn't done here."""
     tidy = F.transform("labels", lambda x: F.replace(F.replace(x, F.lit(":"), F.lit("-")), F.lit(" "), F.lit("-")))

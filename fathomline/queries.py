@@ -52,7 +52,12 @@ class Tables:
 
     @property
     def findings(self) -> DataFrame:
-        return fx.findings(self.spark, self.sf_dir)
+        return self._once.get("findings") or fx.findings(self.spark, self.sf_dir)
+
+    @property
+    def kept_findings(self) -> DataFrame:
+        """The findings, written: what is asked for after that builds on them, and the scanned rows are read once."""
+        return self.once("findings", lambda: fx.findings(self.spark, self.sf_dir))
 
     @property
     def view(self) -> DataFrame:
@@ -102,9 +107,9 @@ class Tables:
 
     def counted(self) -> dict[str, DataFrame]:
         """What the statistics count; the view is written once for all that build on it."""
-        open_, plans = self.kept_view, self.plans
+        found, open_, plans = self.kept_findings, self.kept_view, self.plans
         return {
-            "assets": self.assets, "cves": self.cves, "findings": self.findings, "findings_open": open_, "kev_cves": self.cves.where("kev_listed"), "chunks": self.chunks,
+            "assets": self.assets, "cves": self.cves, "findings": found, "findings_open": open_, "kev_cves": self.cves.where("kev_listed"), "chunks": self.chunks,
             "plans": plans, "plans_grounded": plans.where("grounded"), "tickets": self.tickets, "fix_actions": self.actions,
         }
 
