@@ -417,3 +417,4 @@ ORACLES = {
     "quota_audit": "SELECT event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS used, count(*) OVER w > 3 OR sum(value) OVER w > 150 AS breach FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW)",
 }
 ORACLES["stream_repeats"] = ORACLES["stream_findings"]  # repeats change nothing
+ORACLES["quota_trailing"] = ORACLES["quota_audit"]  # as a stream

@@ -1069,6 +1069,24 @@ def stream_repeats(spark, sf_dir):
     return stream.current(spark, f"{where}/out").select(*fx.IDENTITY, "first_seen", "last_scan_id", "status")
 
 
+@query
+def quota_trailing(spark, sf_dir):
+    """The audit of each event's trailing day as a stream: events come up to three hours late, in some ten deliveries."""
+    where = scratch(spark, "trailing")
+    e = Tables(spark, sf_dir).table("events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("weight"))
+    arrives = F.unix_seconds("ts") + F.pmod("event_id", F.lit(4)) * 3599
+    span = e.agg(F.min(arrives).alias("a"), F.max(arrives).alias("b")).first()
+    dealt = written(e.withColumn("n", F.floor((arrives - span.a) * 10 / (span.b - span.a + 1))), "arrivals")
+    for n in range(10):
+        dealt.where(F.col("n") == n).drop("n").coalesce(1).write.parquet(f"{where}/in/n={n}")
+    last = spark.createDataFrame([(None, None, span.b + 4 * 3600, None)], "event_id long, key long, at long, weight double")
+    last.select("event_id", "key", F.timestamp_seconds("at").alias("ts"), "weight").coalesce(1).write.parquet(f"{where}/in/n=last")
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*")
+    told = stream.stream_trailing(source, 86_400, 3, 150.0, "3 hours")
+    told.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{where}/out").select("event_id", "calls", F.round("used", 4).alias("used"), "breach")
+
+
 @query
 def quota_stream(spark, sf_dir):
     """Calls and weight of each key in sliding windows, as a stream over the events."""

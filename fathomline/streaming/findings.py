@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import ingest, risk
@@ -66,6 +69,53 @@ def quota_audit(events: DataFrame, seconds: int, most: int, weight: float) -> Da
     return out.withColumn("breach", (F.col("calls") > most) | (F.col("used") > weight))
 
 
+def _trailing(seconds: int):
+    """applyInPandasWithState function: events by key to those whose trailing window is complete, with its numbers.
+
+    The state has the times and weights of the `seconds` before the watermark, and the events after it, which others may
+    still precede. What the watermark has passed is final, as no earlier event is let in any more.
+    """
+    width = seconds * 1_000_000
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        past, ahead = (np.frombuffer(x).reshape(-1, 3) for x in state.get) if state.exists else (np.zeros((0, 3)), np.zeros((0, 3)))
+        # Whole numbers of microseconds below 2**53 are exact as doubles, and so are event ids.
+        rows = [np.stack([f["us"].to_numpy(float), f["weight"].to_numpy(float), f["event_id"].to_numpy(float)], 1) for f in ([] if state.hasTimedOut else frames) if len(f)]
+        ahead = np.concatenate([ahead, *rows])
+        ahead = ahead[np.lexsort((ahead[:, 2], ahead[:, 0]))]
+        passed = state.getCurrentWatermarkMs() * 1000
+        done = int(np.searchsorted(ahead[:, 0], passed, "right"))
+        if done:
+            every = np.concatenate([past, ahead[:done]])
+            at, sums = every[:, 0], np.concatenate([[0.0], np.cumsum(every[:, 1])])
+            now = ahead[:done]
+            first, last = np.searchsorted(at, now[:, 0] - width, "left"), np.searchsorted(at, now[:, 0], "right")
+            yield pd.DataFrame({"event_id": now[:, 2].astype("int64"), "key": [key[0]] * done, "calls": last - first, "used": sums[last] - sums[first]})
+            past, ahead = every, ahead[done:]
+        past = past[past[:, 0] >= passed - width]
+        if len(past) or len(ahead):
+            state.update((past.tobytes(), ahead.tobytes()))
+            # Wakes when the watermark passes the next event, or, without one, when the past is over.
+            next_us = ahead[0, 0] if len(ahead) else past[-1, 0] + width
+            state.setTimeoutTimestamp(int(max(next_us // 1000, state.getCurrentWatermarkMs())) + 1)
+        else:
+            state.remove()
+
+    return step
+
+
+def stream_trailing(events: DataFrame, seconds: int, most: int, weight: float, late: str) -> DataFrame:
+    """quota_audit() of a stream (event_id and key: long, ts, weight: double), each event once its window is complete.
+
+    Events may come in any order up to `late` after the newest; later ones are left out. An event is told when the
+    watermark has passed it, so a stream that ends needs a last event (with a null key, which isn't told) that is later than
+    `late` after all others. A key's state is its events of `seconds` and `late`, in one task.
+    """
+    rows = events.select("event_id", "key", "ts", "weight", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    told = rows.groupBy("key").applyInPandasWithState(_trailing(seconds), "event_id long, key long, calls long, used double", "past binary, ahead binary", "append", "EventTimeTimeout")
+    return told.where(F.col("key").isNotNull()).withColumn("breach", (F.col("calls") > most) | (F.col("used") > weight))
+
+
 def stream_quota(events: DataFrame, seconds: int, slide: int, late: str = "10 minutes") -> DataFrame:
     """The streaming form: calls and weight by key in sliding windows, with a watermark for late events."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds", f"{slide} seconds"), "key").agg(F.count("*").alias("calls"), F.sum("weight").alias("used"))

@@ -72,6 +72,23 @@ def test_repeats_and_late_rows_change_nothing(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c", "d", "e", "f"]
 
 
+def test_trailing_windows_of_a_stream_equal_those_of_a_table(spark, tmp_path):
+    rng = random.Random(5)
+    day = dt.datetime(2000, 1, 1)
+    rows = [(i, rng.randrange(4), day + dt.timedelta(minutes=rng.choice([i, i + rng.randrange(20), 10 * (i // 10)])), float(rng.randrange(50))) for i in range(400)]
+    schema = "event_id long, key long, ts timestamp, weight double"
+    parts = [rows[i : i + 80] for i in range(0, 400, 80)] + [[(None, None, day + dt.timedelta(days=9), None)]]
+    for some in (parts[:3], parts[3:]):  # stopped, and started again from the state
+        for part in some:
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={parts.index(part)}")
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+        told = stream.stream_trailing(source, 1800, 3, 60.0, "30 minutes")
+        told.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    columns = ["event_id", "key", "calls", "used", "breach"]
+    want = stream.quota_audit(spark.createDataFrame(rows, schema), 1800, 3, 60.0).select(*columns).collect()
+    assert sorted(map(tuple, spark.read.schema(told.schema).parquet(f"{tmp_path}/out").select(*columns).collect())) == sorted(map(tuple, want))
+
+
 def test_grounding_without_context_or_text(spark):
     rows = [(1, "Install 9.9.9 for CVE-2020-1234", None, ["9.9.9"]), (2, "Install 9.9.9 for CVE-2020-1234", [None], None), (3, None, None, None), (4, None, ["x"], ["1.2.3", None]), (5, "Install 9.9.9", ["go to 9.9.9"], None)]
     got = {r.id: (r.passed, r.reason) for r in grounding.check_grounding(spark.createDataFrame(rows, "id int, markdown string, context array<string>, required array<string>")).collect()}
