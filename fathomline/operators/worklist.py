@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
 from .merge import merge
 
 KEY = ["cve_id", "package_name", "os_family", "fixed_version"]
@@ -80,6 +83,31 @@ def budget_cut(rows: DataFrame, budget: int) -> DataFrame:
     return out.withColumn("planned", F.col("running") <= budget)
 
 
+def widening(actions: DataFrame, find: Callable[[DataFrame, int], DataFrame], draft: Callable[[DataFrame], DataFrame], k: int = 8, most: int = 3) -> DataFrame:
+    """The log of attempts at actions (idempotency_key): key, attempt, k, context_size, passed, outcome.
+
+    find(actions, k) gives them `context` (array of what a search for each finds, the best k; null: none), draft() a plan with
+    `passed`, what the gate says of it. What fails is searched for again with twice k, as long as that finds more; so each
+    round has the failures of the one before, and no others. Outcomes are those of attempt_outcomes(). Without a context
+    nothing is drafted.
+    """
+    log, open_, attempt = None, actions.withColumn("_before", F.lit(-1)), 1
+    while True:
+        found = find(open_, k).withColumn("context_size", F.coalesce(F.size("context"), F.lit(0)))
+        found = written(found, "found")
+        told = draft(found.where("context_size > 0")).select("idempotency_key", F.coalesce("passed", F.lit(False)).alias("passed"))
+        end = (F.lit(attempt) >= most) | (F.col("context_size") <= F.col("_before"))
+        outcome = F.when(F.col("context_size") == 0, "no_context").when(F.col("passed"), "done").when(end, "give_up").otherwise("retry")
+        tried = found.select("idempotency_key", "context_size", "_before").join(told, "idempotency_key", "left").withColumn("passed", F.coalesce("passed", F.lit(False))).withColumn("outcome", outcome)
+        tried = written(tried, "tried")
+        rows = tried.select(F.col("idempotency_key").alias("key"), F.lit(attempt).alias("attempt"), F.lit(k).alias("k"), "context_size", "passed", "outcome")
+        log = rows if log is None else log.unionByName(rows)
+        again = tried.where("outcome = 'retry'").select("idempotency_key", F.col("context_size").alias("_before"))
+        if again.isEmpty():
+            return log
+        open_, attempt, k = open_.drop("_before").join(again, "idempotency_key"), attempt + 1, 2 * k
+
+
 def attempt_outcomes(attempts: DataFrame, most: int = 3) -> DataFrame:
     """What comes after each attempt (key, attempt, context_size, passed): done, give_up after the last one or when the context didn't grow, no_context, else retry."""
     order = Window.partitionBy("key").orderBy("attempt")

@@ -418,3 +418,12 @@ ORACLES = {
 }
 ORACLES["stream_repeats"] = ORACLES["stream_findings"]  # repeats change nothing
 ORACLES["quota_trailing"] = ORACLES["quota_audit"]  # as a stream
+ORACLES["widening_retries"] = _chunked("""
+    , c AS (SELECT cve_id, package_name, part, idx, row_number() OVER (PARTITION BY cve_id ORDER BY part, package_name, idx) - 1 AS at FROM parts),
+    a AS (
+        SELECT plan_id AS key, n, count(c.at) AS chunks, min(c.at) FILTER (WHERE c.part = 2 AND c.package_name = p.package_name AND c.idx = 1) AS remedy
+        FROM plans p LEFT JOIN c ON c.cve_id = p.cve_id AND n % 19 <> 0 GROUP BY plan_id, n, p.package_name),
+    t AS (SELECT key, n, attempt, cast(2 ** (attempt - 1) AS INTEGER) AS k, cast(least(chunks, 2 ** (attempt - 1)) AS INTEGER) AS context_size, least(chunks, 2 ** (attempt - 2)) AS before, coalesce(remedy < 2 ** (attempt - 1) AND n % 5 <> 0, false) AS passed FROM a, (SELECT unnest(range(1, 7)) AS attempt)),
+    o AS (SELECT *, CASE WHEN context_size = 0 THEN 'no_context' WHEN passed THEN 'done' WHEN attempt >= 6 OR (attempt > 1 AND context_size <= before) THEN 'give_up' ELSE 'retry' END AS outcome FROM t)
+    SELECT key, cast(attempt AS INTEGER) AS attempt, k, context_size, passed, outcome FROM o
+    WHERE attempt <= (SELECT min(attempt) FROM o AS e WHERE e.key = o.key AND e.outcome <> 'retry')""")

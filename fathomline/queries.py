@@ -956,6 +956,25 @@ def attempt_outcomes(spark, sf_dir):
     return worklist_ops.attempt_outcomes(tries)
 
 
+@query
+def widening_retries(spark, sf_dir):
+    """Plans that must name their package's remedy, from the first chunks of the id, then from twice as many; some ask for what no chunk has, some find none."""
+    t = Tables(spark, sf_dir)
+    a = worklist_ops.representative(t.actions).select("idempotency_key", "cve_id", "package_name", F.conv(F.substring("idempotency_key", 1, 6), 16, 10).cast("long").alias("n"))
+    chunks = t.chunks
+
+    def find(open_: DataFrame, k: int) -> DataFrame:
+        near = open_.where("n % 19 <> 0").select("idempotency_key", "cve_id").join(chunks.where(F.col("chunk_index") < k), "cve_id")
+        best = near.groupBy("idempotency_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]).alias("context"))
+        return open_.join(best, "idempotency_key", "left")
+
+    def draft(found: DataFrame) -> DataFrame:
+        named = F.exists("context", lambda c: F.contains(c, F.concat(F.lit("Package "), "package_name", F.lit(","))))
+        return found.withColumn("passed", named & F.expr("n % 5 <> 0"))
+
+    return worklist_ops.widening(written(a, "asked"), find, draft, k=1, most=6)
+
+
 # Tickets
 
 
