@@ -117,13 +117,18 @@ class Tables:
 _kept: dict[tuple, str] = {}
 
 
-def _risk_table(spark: SparkSession, sf_dir: str) -> str:
-    """The triage table of a folder, kept for the session; written anew where one of the tables that it comes from has changed."""
+def _stamp(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What a kept table is kept for: the session, the folder, and when the tables that it comes from were changed."""
     stamps = []
-    for name in ("customer", "nation", "region", "part", "orders", "lineitem"):
+    for name in names:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         stamps.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
-    key = (spark.sparkContext.applicationId, sf_dir, *stamps)
+    return spark.sparkContext.applicationId, sf_dir, *names, *stamps
+
+
+def _risk_table(spark: SparkSession, sf_dir: str) -> str:
+    """The triage table of a folder, kept for the session; written anew where one of the tables that it comes from has changed."""
+    key = _stamp(spark, sf_dir, "customer", "nation", "region", "part", "orders", "lineitem")
     if key not in _kept:
         path = scratch(spark, "risk")
         view = Tables(spark, sf_dir).view
@@ -676,7 +681,13 @@ def _two_words(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _index(t: Tables) -> DataFrame:
-    return posting_index.build(t.table("documents"), "doc_id", "text", scratch(t.spark, "postings"))
+    """The index of the documents of a folder, kept for the session; built anew where the documents have changed."""
+    key = _stamp(t.spark, t.sf_dir, "documents")
+    if key not in _kept:
+        path = scratch(t.spark, "postings")
+        posting_index.build(t.table("documents"), "doc_id", "text", path)
+        _kept[key] = path
+    return t.spark.read.parquet(_kept[key])
 
 
 @query
