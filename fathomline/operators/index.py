@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..functions.stems import stemmed
 from ..functions.text import tokens
 from ..session import broadcast_if_small, written
 from .merge import top_k
@@ -28,15 +29,17 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def build(rows: DataFrame, key: str, text: str, path: str, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+def build(rows: DataFrame, key: str, text: str, path: str, block: int = BLOCK, buckets: int = BUCKETS, stem: bool = False) -> DataFrame:
     """Write the index of rows (key, text) below `path` and read it: bucket, term, slot, docs, best, base, keys, places.
 
     Rows of one key are one document. Rows with a null key can't be found and are left out; null texts have no terms.
+    With `stem` the terms are English stems, and searches have to say so too.
     """
     spark, whole = rows.sparkSession, isinstance(rows.schema[key].dataType, _WHOLE)
     rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     slots = max(1, -(-rows.count() // block))
-    places = rows.select("key", F.posexplode(tokens(F.col("text"))).alias("pos", "term")).groupBy("term", "key").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    words = rows.select("key", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    places = (stemmed(words, "term") if stem else words).groupBy("term", "key").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     slot = F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(slots)).cast("int")
     blocks = places.groupBy("term", slot.alias("slot")).agg(F.array_sort(F.collect_list(F.struct("key", "places"))).alias("e"), F.max(F.size("places")).alias("best"))  # the slot's documents at most
     base = F.col("e")[0]["key"]
@@ -63,12 +66,13 @@ def of_terms(index: DataFrame, terms: DataFrame, buckets: int = BUCKETS) -> Data
     return index.where(F.col("bucket").isin(buckets))
 
 
-def search(index: DataFrame, queries: DataFrame, key: str, k: int, allowed: DataFrame | None = None, first: int = FIRST, buckets: int = BUCKETS) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, key: str, k: int, allowed: DataFrame | None = None, first: int = FIRST, buckets: int = BUCKETS, stem: bool = False) -> DataFrame:
     """(query_id, key, score, rank): the same as lexical_search() over all postings, from the blocks of build().
 
-    allowed (query_id, key) restricts what a query may find, before ranking. `buckets` is that of build().
+    allowed (query_id, key) restricts what a query may find, before ranking. `buckets` and `stem` are those of build().
     """
-    terms = written(query_terms(queries), "terms")
+    terms = query_terms(queries)
+    terms = written(stemmed(terms, "term") if stem else terms, "terms")
     here = of_terms(index, terms, buckets)
     sent = broadcast_if_small(terms)
     slots = written(bounds(sent, here).withColumn("order", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "slot"))), "bounds")

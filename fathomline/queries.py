@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import fixtures as fx
-from .functions import text
+from .functions import stems, text
 from .functions.versions import choose_fix, compare, version_key
 from .operators import changes, correlate, grounding as grounding_ops, index as posting_index, ingest, merge, reports, retrieval, risk, risk_table, tickets, vectors, worklist as worklist_ops
 from .session import scratch, written
@@ -680,12 +680,12 @@ def _two_words(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("query_id"), F.array_join(best, " ").alias("query"), F.size(best).alias("n")).where("n = 2").drop("n")
 
 
-def _index(t: Tables) -> DataFrame:
-    """The index of the documents of a folder, kept for the session; built anew where the documents have changed."""
-    key = _stamp(t.spark, t.sf_dir, "documents")
+def _index(t: Tables, stem: bool = False) -> DataFrame:
+    """The index of the documents of a folder, by words or by stems, kept for the session; built anew where the documents have changed."""
+    key = (*_stamp(t.spark, t.sf_dir, "documents"), stem)
     if key not in _kept:
         path = scratch(t.spark, "postings")
-        posting_index.build(t.table("documents"), "doc_id", "text", path)
+        posting_index.build(t.table("documents"), "doc_id", "text", path, stem=stem)
         _kept[key] = path
     return t.spark.read.parquet(_kept[key])
 
@@ -705,6 +705,21 @@ def lexical_topk(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def term_stems(spark, sf_dir):
+    """The words of all documents with their stems."""
+    words = retrieval.postings(Tables(spark, sf_dir).table("documents"), "doc_id", "text").select("term").distinct()
+    return stems.stems(words, "term")
+
+
+@query
+def lexical_stemmed(spark, sf_dir):
+    """As lexical_topk, from the kept index of stems: a search meets other forms of its words."""
+    t = Tables(spark, sf_dir)
+    found = posting_index.search(_index(t, True), _two_words(t.table("benchmark"), "item_id"), "doc_id", 10, stem=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query
 def lexical_web(spark, sf_dir):
     """Phrases, alternatives and exclusions."""
@@ -742,6 +757,14 @@ def ann_topk(spark, sf_dir):
     return _rounded(vectors.search(q.drop("label"), e, vectors.build(e), 10))
 
 
+@query
+def embed_terms(spark, sf_dir):
+    """Vectors of all documents, in thousandths."""
+    d = Tables(spark, sf_dir).table("documents")
+    v = retrieval.embed_terms(d, "doc_id", "text", retrieval.fit_terms(d, "doc_id", "text"))
+    return v.select("doc_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("thousandths"))
+
+
 @query
 def embed_hash(spark, sf_dir):
     return retrieval.embed_hash(Tables(spark, sf_dir).table("documents"), "doc_id", "text").select("doc_id", F.size("embedding").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
