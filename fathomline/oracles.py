@@ -429,10 +429,12 @@ ORACLES["widening_retries"] = _chunked("""
     WHERE attempt <= (SELECT min(attempt) FROM o AS e WHERE e.key = o.key AND e.outcome <> 'retry')""")
 ORACLES["embed_terms"] = """
     WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS word FROM documents WHERE doc_id IS NOT NULL),
-    weights AS (SELECT word, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) AS weight FROM w GROUP BY word),
+    d AS (SELECT word, count(DISTINCT doc_id) AS d FROM w GROUP BY word),
+    lowest AS (SELECT greatest(1, ceil(sum(d) / 100000)) AS least, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS n FROM d),
+    weights AS (SELECT word, greatest(0, ln((n + 1) / (greatest(d, least) + 1))) AS weight FROM d, lowest),
     bits AS (SELECT word, weight, unnest(list_transform(range(8), lambda i: ('0x' || substr(word, 4 * i::INTEGER + 1, 4))::INTEGER)) AS v FROM weights),
     sums AS (SELECT doc_id, v % 384 AS place, sum(CASE WHEN (v // 384) % 2 = 0 THEN weight ELSE -weight END) AS x FROM w JOIN bits USING (word) GROUP BY ALL),
     norms AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM sums GROUP BY doc_id),
-    every AS (SELECT doc_id, unnest(range(384)) AS place FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL))
-    SELECT doc_id, list(CASE WHEN norm > 0 THEN cast(round(coalesce(x, 0) / norm * 1000) AS INTEGER) ELSE 0 END ORDER BY place) AS thousandths
+    every AS (SELECT doc_id, unnest(range(384)) AS place FROM documents WHERE doc_id IS NOT NULL)
+    SELECT doc_id, list(CASE WHEN norm > 1e-9 THEN cast(round(coalesce(x, 0) / norm * 1000) AS INTEGER) ELSE 0 END ORDER BY place) AS thousandths
     FROM every LEFT JOIN sums USING (doc_id, place) LEFT JOIN norms USING (doc_id) GROUP BY doc_id"""
