@@ -89,6 +89,26 @@ def test_trailing_windows_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     assert sorted(map(tuple, spark.read.schema(told.schema).parquet(f"{tmp_path}/out").select(*columns).collect())) == sorted(map(tuple, want))
 
 
+def test_trailing_sums_that_just_meet_the_limit(spark, tmp_path):
+    day = dt.datetime(2000, 1, 1)
+    rng = random.Random(3)
+    # 0.1 + 59.9 meets 60 and doesn't break it, whatever came before; null keys and null weights are events, too.
+    rows = []
+    for i in range(60):
+        key, x = rng.choice([1, 2, None]), round(rng.uniform(0, 59), 2)
+        rows += [(2 * i + j, key, day + dt.timedelta(hours=2 * i, minutes=20 * j), w) for j, w in enumerate((x, round(60 - x, 2) if i % 15 else None))]
+    schema = "event_id long, key long, ts timestamp, weight double"
+    for n, part in enumerate((rows, [(None, None, day + dt.timedelta(days=99), None)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={n}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    told = stream.stream_trailing(source, 1800, 3, 60.0, "30 minutes")
+    told.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    columns = ["event_id", "key", "calls", "used", "breach"]
+    want = stream.quota_audit(spark.createDataFrame(rows, schema), 1800, 3, 60.0).select(*columns).collect()
+    got = spark.read.schema(told.schema).parquet(f"{tmp_path}/out").select(*columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 120
+
+
 def test_grounding_without_context_or_text(spark):
     rows = [(1, "Install 9.9.9 for CVE-2020-1234", None, ["9.9.9"]), (2, "Install 9.9.9 for CVE-2020-1234", [None], None), (3, None, None, None), (4, None, ["x"], ["1.2.3", None]), (5, "Install 9.9.9", ["go to 9.9.9"], None)]
     got = {r.id: (r.passed, r.reason) for r in grounding.check_grounding(spark.createDataFrame(rows, "id int, markdown string, context array<string>, required array<string>")).collect()}
