@@ -61,3 +61,13 @@ def test_empty(spark, tmp_path):
     none = corpus(spark, 0).where("false")
     table = I.build(none, "doc", "text", f"file://{tmp_path}/a")
     assert I.search(table, spark.createDataFrame(QUERIES, "query_id string, query string"), "doc", 5).count() == 0
+
+
+def test_long_texts_make_more_slots(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " + "the of " * (400 if i % 10 == 0 else 3)) for i in range(60)] + [(7, "w7 again")], "doc int, text string")
+    asked = spark.createDataFrame(QUERIES + [("h", "w7 again OR the")], "query_id string, query string")
+    want = rows_of(R.lexical_search(asked, R.postings(docs, "doc", "text"), "doc", 7))
+    monkeypatch.setattr(I, "SLOT_BYTES", 2000)
+    table = I.build(docs, "doc", "text", f"file://{tmp_path}/a", block=100, buckets=8)
+    assert table.select("slot").distinct().count() > 5 and table.schema["base"].dataType == docs.schema["doc"].dataType
+    assert rows_of(I.search(table, asked, "doc", 7, buckets=8)) == want
