@@ -37,3 +37,11 @@ def test_rows_keep_their_other_columns(spark):
     rows = spark.createDataFrame([("ships", 1, "x"), ("ships", 1, "x"), (None, 2, "y"), ("sea", 3, "z")], "term string, stem int, word string")
     assert sorted(map(str, map(tuple, stemmed(rows, "term").collect()))) == sorted(map(str, [("ship", 1, "x"), ("ship", 1, "x"), (None, 2, "y"), ("sea", 3, "z")]))
     assert stemmed(rows.where("false"), "term").count() == 0
+
+
+def test_stems_are_remembered():
+    from fathomline.functions.stems import stem
+
+    stem("remembering")
+    before = stem.cache_info().hits
+    assert stem("remembering") == "rememb" and stem.cache_info().hits == before + 1
