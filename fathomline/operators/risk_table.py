@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import written
 from . import reports
 
 #: Bytes of a row group.
 GROUP = 1 << 20
+#: Rows of a range, about.
+RANGE_ROWS = 250_000
 #: Column that pages of an order start from, and whether the largest comes first.
 LED_BY = {"risk": ("risk_score", True), "due_date": ("due_date", False)}
 
@@ -23,8 +26,11 @@ def write(assessed: DataFrame, path: str, superseded: DataFrame | None = None) -
     if superseded is not None:
         rows = rows.unionByName(superseded.select(*assessed.columns).withColumn("is_current", F.lit(False)))
     order = [F.col("is_current"), F.col("risk_band"), F.desc("risk_score"), F.desc_nulls_last("epss_score"), F.col("finding_id")]
-    # Ranges are cut by the whole order, so a large band is several files.
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", GROUP).partitionBy("is_current", "risk_band").parquet(f"{path}/rows")
+    # Ranges are cut by the whole order, so a large band is several files. Their bounds are sampled: of written rows, so that
+    # nothing is worked out twice; and a range has about RANGE_ROWS, which a task sorts in memory whatever the table.
+    rows = written(rows, "assessed")
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.option("parquet.block.size", GROUP).partitionBy("is_current", "risk_band").parquet(f"{path}/rows")
     _count(assessed.sparkSession, path)
 
 

@@ -126,3 +126,13 @@ def test_vectors_without_direction_take_no_part(spark):
     assert len(got) == 8 * 3 and all(r.vec_id < 40 and r.query_id < 40 for r in got)
     label = lambda df: df.withColumn("label", F.lit(1))
     assert len(retrieval.dense_search(label(asked), label(corpus), 3, on=["label"]).collect()) == 8 * 3
+
+
+def test_ranges_hold_few_rows(spark, tmp_path, monkeypatch):
+    v = view(spark)
+    monkeypatch.setattr(risk_table, "RANGE_ROWS", 300)
+    risk_table.write(v, f"file://{tmp_path}/t")
+    files = risk_table.read(spark, f"file://{tmp_path}/t").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 8 and max(r["count"] for r in files) <= 900
+    want = [r.finding_id for r in reports.finding_list(v, "risk", 40, 10).collect()]
+    assert [r.finding_id for r in risk_table.page(spark, f"file://{tmp_path}/t", "risk", 40, 10).collect()] == want
