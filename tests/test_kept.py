@@ -136,3 +136,21 @@ def test_ranges_hold_few_rows(spark, tmp_path, monkeypatch):
     assert len(files) > 8 and max(r["count"] for r in files) <= 900
     want = [r.finding_id for r in reports.finding_list(v, "risk", 40, 10).collect()]
     assert [r.finding_id for r in risk_table.page(spark, f"file://{tmp_path}/t", "risk", 40, 10).collect()] == want
+
+
+def test_parts_grow_with_the_rows(spark, monkeypatch):
+    from fathomline import queries
+
+    monkeypatch.setattr(queries, "PART_ROWS", 100)
+    assert queries._parts(spark.range(2001)) == 21 and queries._parts(spark.range(5)) == 8
+
+
+def test_repeats_are_told_by_hashes_of_keys(spark, tmp_path):
+    schema, day = "a string, b string, at timestamp", dt.datetime(2000, 1, 1)
+    rows = [("x", None, day), (None, "x", day), ("x", None, day), ("x", "x", day), (None, None, day), (None, None, day)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    once = stream.without_repeats(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["a", "b"], "at", "1 day")
+    plan = once._jdf.queryExecution().analyzed().toString()
+    assert "_seen1" in plan.split("DeduplicateWithinWatermark")[1].split("\n")[0] and once.columns == ["a", "b", "at"]
+    once.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(str, ((r.a, r.b) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()))) == sorted(map(str, [("x", None), (None, "x"), ("x", "x"), (None, None)]))
