@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Texts are handled in slices of about so many bytes, so that numpy temporaries stay bounded.
 SLICE_BYTES = 4 << 20
+#: Words are hashed in pieces of about so many bytes: the numbers and powers of a piece take 32 bytes for each of them.
+PIECE_BYTES = 1 << 18
 
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -95,7 +97,14 @@ class Words:
         return np.diff(self.bounds)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        return _ranges(self.data.astype(U) + U(1), self.starts, self.ends, _BASES[which])
+        out, at = np.empty(len(self), U), 0
+        while at < len(self):
+            low = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, low + PIECE_BYTES, "right")))
+            values = self.data[low : self.ends[to - 1]].astype(U) + U(1)
+            out[at:to] = _ranges(values, self.starts[at:to] - low, self.ends[at:to] - low, _BASES[which])
+            at = to
+        return out
 
     def coded(self) -> pa.DictionaryArray:
         """The words, as codes of the different ones."""

@@ -21,6 +21,8 @@ from .textbytes import LOWER, U, Texts, _BASES, _ranges, slices
 
 #: Labelled rows that the fit takes at most: those with the least hashes of their ids.
 FIT_ROWS = 24_000
+#: Bytes of text whose features are made at a time.
+SLICE = 512 << 10
 #: Terms of the learnt lexicon, documents that a term needs, and log-odds from which it counts.
 TERMS, LEAST_DOCS, WEAK, STRONG = 4_000, 5, 1.5, 3.0
 #: Characters of word beginnings in the lexicon, next to whole words.
@@ -140,7 +142,7 @@ def with_features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, texts in slices(batch.column("text"), 2 << 20):
+            for at, to, texts in slices(batch.column("text"), SLICE):
                 x = features(texts, lexicon)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in keep), flat], names=[*keep, "_features"])
