@@ -1,6 +1,8 @@
 import datetime as dt
 import decimal
 
+from pyspark.sql import functions as F
+
 from fathomline.operators import risk as R
 
 D = decimal.Decimal
@@ -38,3 +40,11 @@ def test_scoring_again_writes_nothing(spark):
     moved = rows.selectExpr("finding_id", "policy_version", "risk_band", "due_date", "cast(risk_score + 1 AS decimal(5,2)) AS risk_score")
     after = R.append_history(history, R.changed(moved, history))
     assert sorted((r.finding_id, r.is_current) for r in after.collect()) == [(1, False), (1, True), (2, True)]
+
+
+def test_old_factors_are_parsed_once(spark):
+    rows = [(1, '{"components":{"severity":{"points":"4.00","max":"40"}},"band_floor_rule":"kev_floor","scored_band":"low","sla":{"rule":"r","kev_deadline_passed":false}}'), (2, '{"other":1}'), (3, None)]
+    made = spark.createDataFrame(rows, "id long, old string").select("id", R.reshape_factors(F.col("old")).alias("new"))
+    got = {r.id: r["new"] for r in made.collect()}
+    assert got == {1: '{"components":{"severity":{"points":"4.00"}},"band_floor":{"rule":"kev_floor","scored_band":"low"},"sla":{"rule":"r"}}', 2: rows[1][1], 3: None}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
