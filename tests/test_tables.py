@@ -54,3 +54,26 @@ def test_valid_ids_and_hosts(spark):
     good = ingest.valid_ids(rows)
     assert sorted(r.cve_id for r in good.collect()) == ["CVE-2020-1234", "CVE-2021-99999"]
     assert [(r.cve_id, r.asset_id) for r in ingest.resolve_assets(good, spark.createDataFrame([(7, "h1")], "asset_id int, hostname string")).collect()] == [("CVE-2020-1234", 7)]
+
+
+def test_chunks_of_asked_ids_alone(spark, monkeypatch):
+    from fathomline import queries as queries_
+    from fathomline.operators import retrieval
+
+    t = queries_.Tables(spark, "/root/testdata/sf0.001")
+    ids = t.cves.where("cve_key % 20 = 7").select("cve_id").unionByName(spark.createDataFrame([("CVE-1999-0001",), (None,)], "cve_id string"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("cve_id", "chunk_index", "content").collect())
+    want = rows(t.chunks.join(ids, "cve_id", "left_semi"))
+    made, plain = [], retrieval.fact_chunks
+
+    def fact_chunks(facts):
+        made.append(facts.select(F.count("*").alias("ids"), F.count("fixes").alias("with_fixes")).first())
+        return plain(facts)
+
+    monkeypatch.setattr(retrieval, "fact_chunks", fact_chunks)
+    assert want and rows(t.chunks_of(ids.unionByName(ids))) == want
+    assert [r.ids for r in made] == [t.cves.where("cve_key % 20 = 7").count()]
+    made.clear()
+    queries_.QUERIES["widening_retries"](spark, "/root/testdata/sf0.001")
+    every = t.cves.count()
+    assert len(made) == 1 and all(r.ids < every for r in made)
