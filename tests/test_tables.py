@@ -74,6 +74,7 @@ def test_chunks_of_asked_ids_alone(spark, monkeypatch):
     assert want and rows(t.chunks_of(ids.unionByName(ids))) == want
     assert [r.ids for r in made] == [t.cves.where("cve_key % 20 = 7").count()]
     made.clear()
-    queries_.QUERIES["widening_retries"](spark, "/root/testdata/sf0.001")
+    for name in ("plans_with_context", "widening_retries"):
+        queries_.QUERIES[name](spark, "/root/testdata/sf0.001")
     every = t.cves.count()
-    assert len(made) == 1 and all(r.ids < every for r in made)
+    assert len(made) == 2 and all(r.ids < every for r in made)
