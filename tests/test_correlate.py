@@ -53,3 +53,8 @@ def test_violations_are_found(spark):
     a = C.fix_actions(view(spark, rows))
     planted = a.withColumn("fixed_version", F.when(F.col("owner_team") == "t0", "1.1").when(F.col("owner_team") == "t1", "1.2-3.el9").otherwise(F.col("fixed_version"))).withColumn("idempotency_key", F.when(F.col("owner_team") > "t1", "k").otherwise(F.col("idempotency_key")))
     assert sorted((r.owner_team, r.violation) for r in C.target_violations(planted).collect()) == [("t0", "below_requirement"), ("t1", "foreign_system"), ("t2", "shared_key"), ("t3", "shared_key")]
+
+
+def test_rows_carry_all_hosts(spark):
+    rows = [(a, "t", "lib", "rhel", "high", "50", "CVE-2020-0001", False, "1.0", "1.2") for a in range(450)]
+    assert [r.hostnames for r in C.groups(view(spark, rows)).collect()] == [[f"h{a:04}" for a in range(450)]]
