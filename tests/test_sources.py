@@ -16,3 +16,12 @@ def test_reports_catalogue_and_scores(spark, tmp_path):
         f.write("#model:v3\ncve,epss,percentile\nCVE-1,0.5,0.9\nCVE-2,bad,0.1\n")
     assert [(r.cve_id, float(r.epss)) for r in feeds.exploit_scores(spark, str(tmp_path / "epss.csv.gz")).collect()] == [("CVE-1", 0.5)]
     assert feeds.score_model(spark, str(tmp_path / "epss.csv.gz")).first().value == "#model:v3"
+
+
+def test_reports_are_written_compressed(spark, tmp_path, monkeypatch):
+    from fathomline import queries
+
+    monkeypatch.setattr(queries, "scratch", lambda *_: f"file://{tmp_path}/reports")
+    n = queries.QUERIES["report_flatten"](spark, "/root/testdata/sf0.001").agg({"n": "sum"}).first()[0]
+    files = list(tmp_path.rglob("part-*"))
+    assert n == queries.Tables(spark, "/root/testdata/sf0.001").staged.count() and files and all(f.name.endswith(".json.gz") for f in files)
