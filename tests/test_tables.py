@@ -36,6 +36,16 @@ def test_stream_merge_keeps_untouched_parts(spark, tmp_path):
     assert got == [(1, 2, "open"), (2, 3, "open"), (3, 2, "open")]
 
 
+def test_stream_merge_deletes_what_no_batch_reads(spark, tmp_path):
+    schema = "asset_id long, cve_id string, package_name string, installed_version string, last_scan_id int, last_seen date, fixed_version string, status string"
+    for scan in range(4):
+        spark.createDataFrame([(1, "CVE-2020-1000", "p", "1", scan, None, None, "open")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={scan}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    stream.stream_merge(source, f"file://{tmp_path}/out", lambda b: b, f"file://{tmp_path}/state", parts=1)
+    assert [r.last_scan_id for r in stream.current(spark, f"file://{tmp_path}/out").collect()] == [3]
+    assert sorted(p.parent.name for p in (tmp_path / "out").glob("batch=*/part=*")) == ["batch=2", "batch=3"]
+
+
 def test_reshape_factors(spark):
     old = '{"components":{"a":{"points":"1","max":"40"},"b":{"max":"3","why":"x"}},"band_floor_rule":"kev","scored_band":"low","sla":{"rule":"r","kev_deadline_passed":false}}'
     df = spark.createDataFrame([(old,), ('{"x":1}',), (None,), ('{"components":{},"scored_band":"low"}',)], "f string")
