@@ -154,3 +154,17 @@ def test_repeats_are_told_by_hashes_of_keys(spark, tmp_path):
     assert "_seen1" in plan.split("DeduplicateWithinWatermark")[1].split("\n")[0] and once.columns == ["a", "b", "at"]
     once.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(str, ((r.a, r.b) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()))) == sorted(map(str, [("x", None), (None, "x"), ("x", "x"), (None, None)]))
+
+
+def test_what_a_stream_remembers_lies_on_disk(spark, tmp_path):
+    schema = "asset_id long, cve_id string, package_name string, installed_version string, last_scan_id int, last_seen date, fixed_version string, status string, at timestamp"
+    row = lambda a: (a, "CVE-2020-1000", "p", "1", 1, None, None, "open", dt.datetime(2000, 1, 1))
+    for n, rows in enumerate([[row(1), row(2)], [row(2), row(3)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={n}")
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    once = stream.without_repeats(source, ["asset_id"], "at", "1 day").drop("at")
+    stream.stream_merge(once, f"file://{tmp_path}/out", lambda b: b, f"file://{tmp_path}/state", parts=2)
+    assert sorted(r.asset_id for r in stream.current(spark, f"file://{tmp_path}/out").collect()) == [1, 2, 3]
+    kept = {f.suffix for f in (tmp_path / "state" / "state").rglob("*") if f.is_file() and not f.name.startswith((".", "_"))}
+    assert kept & {".zip", ".changelog"} and ".delta" not in kept and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == was
